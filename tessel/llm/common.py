@@ -39,9 +39,10 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder, so that a lost executor costs no lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df computed once and read again from a table in the shared folder: its lineage ends there, and its size is known."""
+    path = new_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def held_out(doc_id: Column) -> Column:
