@@ -7,6 +7,7 @@ from .line_dedup import OP6_SQL, op6_line_dedup
 from .minhash import op8_minhash
 from .packing import op10_packing
 from .rule_ensemble import op1_rule_ensemble
+from .spherical import op9_spherical
 
-QUERIES = {f.__name__: f for f in (op1_rule_ensemble, op2_decision_list, op6_line_dedup, op8_minhash, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_rule_ensemble, op2_decision_list, op6_line_dedup, op8_minhash, op9_spherical, op10_packing)}
 ORACLES = {"op6_line_dedup": OP6_SQL}
