@@ -29,11 +29,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, kind: str = "long") -> DataFrame:
     """edges(u, v) -> (node, component): the least node of each component, for every node that has an edge to another.
 
+    kind is the nodes' type.
     Loops and repeated edges are fine, null ends are dropped, no edges give no rows.
     """
+    edges = edges.select(F.col("u").cast(kind).alias("u"), F.col("v").cast(kind).alias("v"))
     edges = settled(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(edges)
     if state[0]:
