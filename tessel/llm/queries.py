@@ -8,8 +8,15 @@ from .minhash import op8_minhash
 from .packing import op10_packing
 from .rule_ensemble import op1_rule_ensemble
 from .spherical import op9_spherical
+from .unigram import op5_count_viterbi, op7_streaming_viterbi
 from .url_equivalence import OP4_SQL, op4_url_equivalence
 from .warc import OP3_SQL, op3_warc
 
-QUERIES = {f.__name__: f for f in (op1_rule_ensemble, op2_decision_list, op3_warc, op4_url_equivalence, op6_line_dedup, op8_minhash, op9_spherical, op10_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_rule_ensemble, op2_decision_list, op3_warc, op4_url_equivalence, op5_count_viterbi, op6_line_dedup,
+        op7_streaming_viterbi, op8_minhash, op9_spherical, op10_packing,
+    )
+}
 ORACLES = {"op3_warc": OP3_SQL, "op4_url_equivalence": OP4_SQL, "op6_line_dedup": OP6_SQL}
