@@ -45,6 +45,16 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def skew_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """left joined to right, which has been grouped by the key, where a few keys may hold most rows of left.
+
+    Adaptive execution splits a skewed join only if both sides were shuffled for the join itself; what a grouping has dealt out
+    is taken as it is, with a hot key in one task. With the key's hash as a second key both sides are dealt out anew.
+    """
+    more = lambda df: df.withColumn("_key_hash", F.xxhash64(on))
+    return more(left).join(more(right), [on, "_key_hash"], how).drop("_key_hash")
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows whose labels no model may see: crc32 of the id's text leaves 2 modulo 4."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

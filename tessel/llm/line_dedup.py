@@ -12,7 +12,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, quoted
+from .common import ASCII_SPACE, quoted, skew_join, table
 
 
 
@@ -20,6 +20,11 @@ def _text(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def _at(values: Column, positions: Column) -> Column:
+    """The values at these positions; the outer lambda has both worked out once for each row."""
+    return F.transform(F.array(values), lambda v: F.transform(positions, lambda i: F.get(v, i)))[0]
+
+
 def shared_line_positions(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """(doc_id, print, drop): for each document that loses lines, their positions. print is a hash of its text."""
     lines = docs.select("doc_id", F.xxhash64(_text("text")).alias("print"), F.posexplode(F.split(_text("text"), "\n")).alias("pos", "line"))
@@ -30,7 +35,7 @@ def shared_line_positions(docs: DataFrame, min_chars: int = 40, min_docs: int =
     shared = (
         keys.select("key", "doc_id").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
     ).where(F.col("n") >= min_docs)
-    lost = keys.join(shared.select("key", "keeper"), "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    lost = skew_join(keys, shared.select("key", "keeper"), "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("doc_id", "print").agg(F.collect_set("pos").alias("drop"))
 
 
@@ -49,15 +54,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     lines = F.split(_text("text"), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.col("_n") - 1), F.col("_drop"))
     done = joined.withColumn("_n", F.size(lines)).withColumn(
-        "_kept", F.when(F.col("_drop").isNull(), _text("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+        "_kept", F.when(F.col("_drop").isNull(), _text("text")).otherwise(F.array_join(_at(lines, kept), "\n"))
     )
     counts = F.struct(F.col("_n").cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
     return done.select(*[F.col("_kept").alias("text") if n == "text" else c for n, c in zip(names, quoted(names))], counts.alias("line_dedup"))
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 

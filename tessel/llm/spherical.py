@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, table
+from .common import settled, skew_join, table
 from .components import connected_components
 
 SIMILAR = 0.9
@@ -120,7 +120,7 @@ def _ball_of(vectors: DataFrame) -> DataFrame:
                 angles.append(0.0 if own or near[k]["vec_id"] == ids[i] else float(mine[k]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(balls, pa.int64()), pa.array(angles, pa.float64())], ["vec_id", "v", "ball", "angle"])
 
-    return keyed.join(anchors, "top").select("vec_id", "v", "anchors").mapInArrow(assign, "vec_id long, v array<double>, ball long, angle double")
+    return skew_join(keyed, anchors, "top").select("vec_id", "v", "anchors").mapInArrow(assign, "vec_id long, v array<double>, ball long, angle double")
 
 
 def _ball_pairs(balls: DataFrame, similar: float) -> DataFrame:
@@ -136,8 +136,8 @@ def _ball_pairs(balls: DataFrame, similar: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ProductCode(x.shape[1]).decode(x), pa.list_(pa.int64()))], ["ball", "filters"])
 
     lists = settled(balls.select("ball", "v").mapInArrow(decode, "ball long, filters array<long>").select("ball", F.explode("filters").alias("filter")))
-    sizes = lists.groupBy("filter").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n")).where(F.lit(True))
-    dealt = lists.join(sizes, "filter").withColumn("mine", F.pmod(F.xxhash64("ball"), F.col("n")).cast("int"))
+    sizes = lists.groupBy("filter").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    dealt = skew_join(lists, sizes, "filter").withColumn("mine", F.pmod(F.xxhash64("ball"), F.col("n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
     dealt = dealt.select("ball", "filter", "mine", other).select("ball", "filter", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     more = dealt.groupBy("filter", "i", "j").agg(F.count(F.lit(1)).alias("here")).where("here > 1").select("filter", "i", "j")
@@ -167,7 +167,7 @@ def _ball_pairs(balls: DataFrame, similar: float) -> DataFrame:
 def _open_links(open_pairs: DataFrame, members: DataFrame, similar: float) -> DataFrame:
     """(a, b, vec_id, n): over pairs of balls that are neither wholly linked nor wholly apart, each member's links in the other."""
     sizes = members.groupBy("ball").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
-    blocks = members.join(sizes, "ball").groupBy("ball", F.pmod(F.xxhash64("vec_id"), F.col("n")).alias("part")).agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
+    blocks = skew_join(members, sizes, "ball").groupBy("ball", F.pmod(F.xxhash64("vec_id"), F.col("n")).alias("part")).agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
     left = blocks.select(F.col("ball").alias("a"), F.col("rows").alias("x"))
     right = blocks.select(F.col("ball").alias("b"), F.col("rows").alias("y"))
     pairs = open_pairs.select("a", "b").join(left, "a").join(right, "b")

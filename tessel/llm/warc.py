@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table
+from .common import new_path, skew_join, table
 
 CRLF = "\r\n"
 VERSION = "WARC/1.1"
@@ -99,7 +99,7 @@ def write_warc(pages: DataFrame, path: str, least_revisit: int = LEAST_REVISIT)
     pages = pages.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
     big = pages.where(F.octet_length("payload") >= least_revisit).select("page_id", "digest")
     first = big.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
-    refers = big.join(first, "digest").where("page_id <> first").select(F.col("page_id").alias("_p"), F.col("first").alias("refers_to")).distinct()
+    refers = skew_join(big, first, "digest").where("page_id <> first").select(F.col("page_id").alias("_p"), F.col("first").alias("refers_to")).distinct()
     marked = pages.join(refers, pages.page_id == refers["_p"], "left").drop("_p")
     archived(marked).write.option("lineSep", CRLF).option("compression", "gzip").text(path)
 
