@@ -306,10 +306,10 @@ def question_intent(spark, d):
     f"""WITH {V.SENTENCES_SQL}, m AS (
       SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, text, regexp_extract(text, 'at least (\\d+)', 1) AS v, unit FROM s
     ), h AS (SELECT l_orderkey, l_linenumber, l_partkey, text, v, {_UNIT_SQL} AS u FROM m)
-    SELECT l_orderkey, l_linenumber, l_partkey, 1::INT AS hit_ord, {_sql_label('text', 'u')} AS label, v || ' ' || u AS value, u AS unit, text AS context FROM h"""
+    SELECT l_orderkey, l_linenumber, l_partkey, {_sql_label('text', 'u')} AS label, v || ' ' || u AS value, u AS unit, text AS context FROM h"""
 )
 def parameter_hits(spark, d):
-    return compare.parameter_hits(V.sentences(spark, d), "l_orderkey", "l_linenumber", "l_partkey")
+    return compare.parameter_hits(V.sentences(spark, d), "l_orderkey", "l_linenumber", "l_partkey").drop("hit_ord")
 
 
 # Comparison
