@@ -133,7 +133,9 @@ def similar(idf, a, b):
     return s.similarity(minhash.shingles(a or ""), minhash.shingles(b or ""))
 
 
-def test_minhash(spark):
+@pytest.mark.parametrize("block", [128, 2])
+def test_minhash(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(1)
     rows, n = [], 0
     for _ in range(12):
