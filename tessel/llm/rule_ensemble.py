@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     """
     sample = F.broadcast(labelled_sample(labels, label, max_rows))
     rows = _texts(docs.join(sample, "doc_id"), "doc_id", "label").select("doc_id", F.when(F.col("label") > 0, 1.0).otherwise(0.0).alias("label"), "_s.*")
-    rows = VectorAssembler(inputCols=STATISTICS, outputCol="features").transform(rows).repartition(6, "doc_id").sortWithinPartitions("doc_id", "label").persist()
+    rows = VectorAssembler(inputCols=STATISTICS, outputCol="features").transform(rows).repartition(4).sortWithinPartitions("doc_id", "label").persist()
     try:
         ones, n = rows.agg(F.coalesce(F.sum("label"), F.lit(0.0)), F.count(F.lit(1))).first()
         if ones in (0, n):
