@@ -175,7 +175,7 @@ def learn(sample: pd.DataFrame, max_rules: int = 12, least_worth: float = 0.8) -
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_LABELLED) -> DecisionList:
     """A list from at most max_rows labelled documents, none held out, of those that pass the base rules. No labels, no rules."""
     sample = F.broadcast(labelled_sample(labels, label, max_rows))
-    rows = docs.join(sample, "doc_id").select("doc_id", "label", counts().alias("_c")).where(~base_failed(F.col("_c")))
+    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "label", counts().alias("_c")).where(~base_failed(F.col("_c")))
     rows = rows.select("doc_id", (F.col("label") <= 0).alias("bad"), *[_statistic(k, F.col("_c")).alias(k) for k in STATISTICS])
     return learn(rows.toPandas().sort_values(["doc_id", "bad", *STATISTICS]).sample(frac=1, random_state=7))
 
@@ -189,8 +189,8 @@ def judge_documents(docs: DataFrame, rules: DecisionList) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the list, learned on their labelled part, keeps, with the columns of docs."""
     rules = fit(docs, labels)
-    counted = docs.withColumn("_c", counts())
-    return counted.where(~base_failed(F.col("_c")) & rules.keeps(F.col("_c"))).select(*quoted(docs.columns))
+    counted = docs.withColumn("_op2_c", counts())
+    return counted.where(~base_failed(F.col("_op2_c")) & rules.keeps(F.col("_op2_c"))).select(*quoted(docs.columns))
 
 
 def op2_decision_list(spark, sf_dir: str) -> DataFrame:

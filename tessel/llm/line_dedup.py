@@ -48,16 +48,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     doc_id is one more document, never the keeper if there is another.
     """
     names = docs.columns
-    drops = shared_line_positions(docs, min_chars, min_docs).select(F.col("doc_id").alias("_drop_id"), F.col("print").alias("_drop_print"), F.col("drop").alias("_drop"))
-    rows = docs.withColumn("_print", F.xxhash64(_text("text")))
-    joined = rows.join(drops, F.col("doc_id").eqNullSafe(F.col("_drop_id")) & (F.col("_print") == F.col("_drop_print")), "left")
+    drops = shared_line_positions(docs, min_chars, min_docs).select(F.col("doc_id").alias("_op6_drop_id"), F.col("print").alias("_op6_drop_print"), F.col("drop").alias("_op6_drop"))
+    rows = docs.withColumn("_op6_print", F.xxhash64(_text("text")))
+    joined = rows.join(drops, F.col("doc_id").eqNullSafe(F.col("_op6_drop_id")) & (F.col("_op6_print") == F.col("_op6_drop_print")), "left")
     lines = F.split(_text("text"), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.col("_n") - 1), F.col("_drop"))
-    done = joined.withColumn("_n", F.size(lines)).withColumn(
-        "_kept", F.when(F.col("_drop").isNull(), _text("text")).otherwise(F.array_join(_at(lines, kept), "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.col("_op6_n") - 1), F.col("_op6_drop"))
+    done = joined.withColumn("_op6_n", F.size(lines)).withColumn(
+        "_op6_kept", F.when(F.col("_op6_drop").isNull(), _text("text")).otherwise(F.array_join(_at(lines, kept), "\n"))
     )
-    counts = F.struct(F.col("_n").cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
-    return done.select(*[F.col("_kept").alias("text") if n == "text" else c for n, c in zip(names, quoted(names))], counts.alias("line_dedup"))
+    counts = F.struct(F.col("_op6_n").cast("long").alias("n_lines"), F.coalesce(F.size("_op6_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    return done.select(*[F.col("_op6_kept").alias("text") if n == "text" else c for n, c in zip(names, quoted(names))], counts.alias("line_dedup"))
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

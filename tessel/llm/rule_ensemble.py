@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     Without labelled rows every score is 0.5; with labels of one kind only every score is their smoothed share.
     """
     sample = F.broadcast(labelled_sample(labels, label, max_rows))
-    rows = _texts(docs.join(sample, "doc_id"), "doc_id", "label").select("doc_id", F.when(F.col("label") > 0, 1.0).otherwise(0.0).alias("label"), "_s.*")
+    rows = _texts(docs.select("doc_id", "text").join(sample, "doc_id"), "doc_id", "label").select("doc_id", F.when(F.col("label") > 0, 1.0).otherwise(0.0).alias("label"), "_s.*")
     rows = VectorAssembler(inputCols=STATISTICS, outputCol="features").transform(rows).repartition(4).sortWithinPartitions("doc_id", "label").persist()
     try:
         ones, n = rows.agg(F.coalesce(F.sum("label"), F.lit(0.0)), F.count(F.lit(1))).first()
@@ -152,8 +152,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Dat
     from .common import quoted
 
     model = fit(docs, labels)
-    scored = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit(""))).withColumn("_s", statistics(F.col("_text")))
-    return scored.where(model.score(lambda n: F.col("_s")[n]) >= threshold).select(*quoted(docs.columns))
+    scored = docs.withColumn("_op1_text", F.coalesce(F.col("text"), F.lit(""))).withColumn("_op1_s", statistics(F.col("_op1_text")))
+    return scored.where(model.score(lambda n: F.col("_op1_s")[n]) >= threshold).select(*quoted(docs.columns))
 
 
 def op1_rule_ensemble(spark, sf_dir: str) -> DataFrame:

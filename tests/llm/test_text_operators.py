@@ -13,12 +13,12 @@ from tessel.llm import decision_list, line_dedup, minhash, packing, rule_ensembl
 from tessel.llm.common import held_out
 
 EDGES = [(1, None), (2, ""), (3, " \n\t"), (4, "one two three"), (5, "x" * 50_000 + " end"), (6, "a b c d e " * 4000)]
-DOCS = "doc_id long, text string, score double, kept string, line string, label int, print string"
+DOCS = "doc_id long, text string, score double, kept string, line string, label int, print string, _c string"
 
 
 def frame(spark, rows):
     """Documents with other columns whose names operators use for themselves."""
-    return spark.createDataFrame([(i, t, 0.5, "k", "l", 7, "p") for i, t in rows], DOCS)
+    return spark.createDataFrame([(i, t, 0.5, "k", "l", 7, "p", "c") for i, t in rows], DOCS)
 
 
 def prose(rng, n):
