@@ -1,11 +1,13 @@
-"""Near-duplicates of embeddings by spherical-cap filters of structured random product codes.
+"""Near-duplicates of embeddings by spherical-cap filters of random directions.
 
-A filter is one code of each of BLOCKS parts of the space, so CODES ** BLOCKS directions need few code vectors. A vector is
-list-decoded to every direction that its cosine with reaches CAP; two vectors at a cosine of 0.9 share a direction with a
-chance of over 0.99. Vectors that share one are compared in double precision.
+A filter is the cap of all vectors whose cosine with its direction reaches a bound. The directions are drawn independently, so
+the chance that two vectors share none is (1 - q) ** count, where q, the share of directions that reach both, follows from the
+dimensions and their angle alone (see both_reach). Bound and count are chosen so that even two balls at the widest angle at
+which members may link share a filter with a chance of RECALL, and two vectors at the angle of a link with one of LINK_RECALL. Balls
+that share one are compared in double precision.
 
-Tight balls come first: vectors whose best filter is the same are held against a few anchors of it, and those within RADIUS
-of one are its ball. All of a ball are linked to each other by the triangle inequality on the sphere, and two balls are often
+Tight balls come first: vectors whose best product code (a code of each of BLOCKS parts of the space) is the same are held
+against a few anchors of it, and those within RADIUS of one are its ball. All of a ball are linked to each other by the triangle inequality on the sphere, and two balls are often
 wholly linked, or wholly apart, by their centres alone. So a group of copies counts once in the filters, however large, and
 its links are counted without being made. Only pairs of balls that their centres leave open are compared member by member,
 in blocks of bounded size.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,7 +29,9 @@ from .common import settled, skew_join, table
 from .components import connected_components
 
 SIMILAR = 0.9
-BLOCKS, CODES, CAP = 4, 24, 0.45
+BLOCKS, CODES = 4, 24
+#: The least chance that two balls which may hold a link share a filter, that of two vectors at a link's angle, and the most directions.
+RECALL, LINK_RECALL, DIRECTIONS = 0.995, 0.9995, 1 << 15
 #: Degrees around an anchor within which vectors are one ball, and anchors of a filter. Twice RADIUS is far below the link's angle.
 RADIUS, ANCHORS = 6.0, 8
 #: Members of a block in comparisons.
@@ -56,19 +61,51 @@ class ProductCode:
             key = key * CODES + s.argmax(axis=1)
         return key
 
-    def decode(self, x: np.ndarray, cap: float = CAP) -> list[np.ndarray]:
-        """For each row, the numbers of the filters at a score of at least cap, and its best in any case."""
-        scores, best = self._scores(x), self.best(x)
-        rest = np.cumsum([s.max(axis=1) for s in scores[::-1]], axis=0)[::-1]  # the most that is still to come, by part
+
+def both_reach(cap: float, angle: float, dims: int) -> float:
+    """The chance that a random direction has a cosine of at least cap >= 0 with both of two vectors at the angle.
+
+    In their plane the direction's shadow has the density (dims - 2) / 2 pi (1 - r^2)^((dims - 4) / 2); at radius r it reaches
+    both over 2 acos(cap / r) - angle of the circle.
+    """
+    r = cap + (1.0 - cap) * (np.arange(20_000) + 0.5) / 20_000
+    over = np.maximum(0.0, 2 * np.arccos(np.minimum(cap / r, 1.0)) - angle)
+    return float((r * (1 - r * r) ** ((dims - 4) / 2) * over).sum() * (dims - 2) / (2 * math.pi) * (1.0 - cap) / 20_000)
+
+
+@dataclass(frozen=True)
+class Caps:
+    """count random directions, fixed by the seed, and the cosine that a filter's vectors reach; up to BLOCK balls share one filter."""
+
+    dims: int
+    cap: float
+    count: int
+
+    @staticmethod
+    def of(dims: int, balls: int, link: float, widest: float) -> Caps:
+        """The widest caps that hold about BLOCK of the balls, in as many directions as both recalls take."""
+        if balls <= BLOCK:
+            return Caps(dims, -2.0, 1)
+        out, space = None, max(dims, 4)  # zeros added to a vector leave its angles alone
+        for cap in np.arange(0, 95) / 100:
+            reach = [(both_reach(cap, a, space), r) for a, r in ((widest, RECALL), (link, LINK_RECALL))]
+            count = max(math.ceil(math.log(1 - r) / math.log1p(-q)) if q > 1e-9 else DIRECTIONS + 1 for q, r in reach)
+            if out and count > DIRECTIONS:
+                break
+            out = Caps(dims, float(cap), count)
+            if balls * both_reach(cap, 0.0, space) <= BLOCK:
+                break
+        return out
+
+    def directions(self, seed: int = 7) -> np.ndarray:
+        return _unit(np.random.default_rng(seed).normal(size=(self.count, max(self.dims, 4))))[:, : self.dims]
+
+    def decode(self, x: np.ndarray, directions: np.ndarray) -> list[np.ndarray]:
+        """For each row, the numbers of its filters in order."""
         out = []
-        for i in range(len(x)):
-            total, key = np.zeros(1), np.zeros(1, np.int64)
-            for k, s in enumerate(scores):
-                more = rest[k + 1][i] if k + 1 < len(scores) else 0.0
-                t = total[:, None] + s[i][None, :]
-                a, b = np.nonzero(t + more >= cap)  # no other prefix can reach the cap
-                total, key = t[a, b], key[a] * CODES + b
-            out.append(np.union1d(key, best[i : i + 1]))
+        for at in range(0, len(x), 256):
+            i, k = np.nonzero(x[at : at + 256] @ directions.T >= self.cap)
+            out += np.split(k.astype(np.int32), np.searchsorted(i, np.arange(1, len(x[at : at + 256]))))
         return out
 
 
@@ -123,45 +160,68 @@ def _ball_of(vectors: DataFrame) -> DataFrame:
     return skew_join(keyed, anchors, "top").select("vec_id", "v", "anchors").mapInArrow(assign, "vec_id long, v array<double>, ball long, angle double")
 
 
+def _padded(filters: list[bytes], blank: int) -> np.ndarray:
+    sizes = np.array([len(f) // 4 for f in filters])
+    out = np.full((len(filters), max(1, sizes.max())), blank, np.int32)
+    out[np.arange(out.shape[1])[None, :] < sizes[:, None]] = np.frombuffer(b"".join(filters), np.int32)
+    return out
+
+
 def _ball_pairs(balls: DataFrame, similar: float) -> DataFrame:
     """(a, b, sure), a < b: the pairs of balls with a link, sure where all are linked; the others are still open.
 
-    Filters with many balls are dealt out as pairs of blocks of about BLOCK balls, so no task holds more than two blocks.
+    Filters with many balls are dealt out as pairs of blocks of about BLOCK balls, so no task holds more than two blocks. A pair
+    that shares several filters comes out of the first of them.
     """
+    link = math.acos(similar)
+    widest = min(math.pi, link + 2 * math.radians(RADIUS))
+    dims = balls.select(F.size("v")).first()
+    caps = Caps.of(dims[0] if dims else 1, balls.count(), link, widest)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directions = caps.directions()
         for b in batches:
             if b.num_rows:
                 x = _matrix(b.column(1))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ProductCode(x.shape[1]).decode(x), pa.list_(pa.int64()))], ["ball", "filters"])
+                found = caps.decode(x, directions)
+                columns = [pa.array([y.tobytes() for y in x], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary()), pa.array(found, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *columns], ["ball", "radius", "x", "packed", "filters"])
 
-    lists = settled(balls.select("ball", "v").mapInArrow(decode, "ball long, filters array<long>").select("ball", F.explode("filters").alias("filter")))
+    coded = settled(balls.select("ball", "v", "radius").mapInArrow(decode, "ball long, radius double, x binary, packed binary, filters array<int>"))
+    lists = coded.select("ball", F.explode("filters").alias("filter"))
     sizes = lists.groupBy("filter").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
     dealt = skew_join(lists, sizes, "filter").withColumn("mine", F.pmod(F.xxhash64("ball"), F.col("n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
     dealt = dealt.select("ball", "filter", "mine", other).select("ball", "filter", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     more = dealt.groupBy("filter", "i", "j").agg(F.count(F.lit(1)).alias("here")).where("here > 1").select("filter", "i", "j")
-    rows = dealt.join(more, ["filter", "i", "j"], "left_semi").join(balls.select("ball", "v", "radius"), "ball")
-    link = math.acos(similar)
+    rows = dealt.join(more, ["filter", "i", "j"], "left_semi").join(coded.drop("filters"), "ball")
 
     def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
+        here, i, j = key
         pdf = pdf.sort_values("ball")
         left, right = (pdf, pdf) if i == j else (pdf[pdf.mine == i], pdf[pdf.mine == j])
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": [], "sure": []})
-        x, y = _unit(np.stack(left.v.tolist())), _unit(np.stack(right.v.tolist()))
-        angle, both = _angles(x, y), left.radius.to_numpy()[:, None] + right.radius.to_numpy()[None, :]
-        single = both == 0
-        linked = np.where(single, np.clip(x @ y.T, -1, 1) >= similar, angle <= link + both + _EPS)
-        if i == j:
-            linked &= np.triu(np.ones_like(linked, bool), 1)
-        p, q = np.nonzero(linked)
+        x, y = (np.frombuffer(b"".join(side.x), np.float64).reshape(len(side), -1) for side in (left, right))
+        cosine = np.clip(x @ y.T, -1.0, 1.0)
+        near = cosine >= math.cos(widest) - _EPS
+        p, q = np.nonzero(np.triu(near, 1) if i == j else near)
+        cosine, both = cosine[p, q], left.radius.to_numpy()[p] + right.radius.to_numpy()[q]
+        angle, single = np.arccos(cosine), both == 0
+        linked = np.where(single, cosine >= similar, angle <= link + both + _EPS)
+        sure = single | (angle + both <= link - _EPS)
+        p, q, sure = p[linked], q[linked], sure[linked]
+        mine, others = _padded(left.packed.tolist(), -1), _padded(right.packed.tolist(), -2)
+        mine, others = np.where(mine < here, mine, -1), np.where(others < here, others, -2)
+        fresh = np.ones(len(p), bool)
+        for at in range(0, len(p), 4096):
+            part = slice(at, at + 4096)
+            fresh[part] = ~(mine[p[part]][:, :, None] == others[q[part]][:, None, :]).any(axis=(1, 2))
+        p, q = p[fresh], q[fresh]
         a, b = left.ball.to_numpy()[p], right.ball.to_numpy()[q]
-        sure = single[p, q] | (angle[p, q] + both[p, q] <= link - _EPS)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": sure})
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": sure[fresh]})
 
-    return rows.groupBy("filter", "i", "j").applyInPandas(compare, "a long, b long, sure boolean").distinct()
+    return rows.groupBy("filter", "i", "j").applyInPandas(compare, "a long, b long, sure boolean")
 
 
 def _open_links(open_pairs: DataFrame, members: DataFrame, similar: float) -> DataFrame:

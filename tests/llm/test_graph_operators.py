@@ -147,3 +147,36 @@ def test_spherical(spark):
     roots = union_find([(i, j) for i, v in want.items() for j in v])
     assert np.mean([got[i].component_id == roots.get(i, i) for i in want]) > 0.97
     assert spherical.linked_vectors(frame.limit(0)).count() == 0
+
+
+def at_cosine(rng, x, cosine):
+    y = rng.normal(size=x.shape)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    return cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("balls", [2_000, 50_000, 10**9])
+def test_spherical_filters_meet(balls):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    caps = spherical.Caps.of(64, balls, np.arccos(0.9), np.arccos(0.9) + np.radians(2 * spherical.RADIUS))
+    directions = caps.directions()
+    mine = caps.decode(x, directions)
+    assert len(mine) == len(x) and caps.count <= spherical.DIRECTIONS
+    for cosine, least in [(0.79, 0.985), (0.9, 0.997), (0.91, 0.997), (0.92, 0.997), (0.97, 0.997)]:
+        theirs = caps.decode(at_cosine(rng, x, cosine), directions)
+        assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(mine, theirs)]) >= least, cosine
+
+
+def test_spherical_recall_by_band(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(700, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    band = np.repeat([0.902, 0.91, 0.92, 0.95, 0.97, 0.89, 0.88], 100)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, at_cosine(rng, x, band[:, None])]))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in spherical.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(got) == 1400
+    for cosine in np.unique(band):
+        found = [got[i + 700] == (1, i) and got[i] == (1, i) for i in np.flatnonzero(band == cosine).tolist()]
+        assert np.mean(found) >= 0.99 if cosine > 0.9 else not any(found), cosine
