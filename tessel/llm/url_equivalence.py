@@ -67,12 +67,37 @@ def _targets(html: Column) -> Column:
     return F.concat(canonical, redirect)
 
 
+def resolved(base: Column, target: Column) -> Column:
+    """A link's target as an absolute URL, by the page's URL base; null for other schemes, bare fragments and a base without ://."""
+    scheme = F.regexp_extract(base, r"(?s)^(.*?:)//", 1)
+    site = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    _, path = host_and_path(base)
+    folder = F.regexp_extract(path, r"(?s)^(.*/)", 1)
+    own = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    rest = F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    steps = F.split(F.when(own.startswith("/"), own).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), own)), "/", -1)
+    kept = F.aggregate(
+        steps,
+        F.array().cast("array<string>"),
+        lambda up, s: F.when(s == ".", up).when(s == "..", F.slice(up, 1, F.greatest(F.size(up) - 1, F.lit(1)))).otherwise(F.concat(up, F.array(s))),
+    )
+    kept = F.when(F.element_at(steps, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    relative = (
+        F.when(target.startswith("//"), F.concat(scheme, target))
+        .when(own != "", F.concat(site, F.array_join(kept, "/"), rest))
+        .when(rest.startswith("?"), F.concat(site, path, rest))
+    )
+    absolute = target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://")
+    return F.when(absolute, target).when(~target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") & (F.instr(base, "://") > 0), relative)
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(url, target) of redirects and canonical links to absolute URLs, without fragments."""
+    """(url, target) of redirects and canonical links, without fragments; relative targets are resolved against the page's URL."""
     has = F.col("html").rlike(r"(?i)canonical|http-equiv")  # a cheap test before the tags are looked at
     rows = pages.where(F.col("url").isNotNull() & F.col("html").isNotNull() & has)
     rows = rows.select("url", F.explode(_targets(F.col("html"))).alias("target"))
-    return rows.where(F.instr("target", "://") > 0).select(address(F.col("url")).alias("url"), address(F.col("target")).alias("target")).where("url <> target").distinct()
+    rows = rows.withColumn("target", resolved(F.col("url"), F.col("target"))).where(F.col("target").isNotNull())
+    return rows.select(address(F.col("url")).alias("url"), address(F.col("target")).alias("target")).where("url <> target").distinct()
 
 
 def address(url: Column) -> Column:

@@ -116,6 +116,31 @@ def test_urls(spark):
     assert url_equivalence.judge(pages.limit(0)).count() == 0
 
 
+def test_relative_targets(spark):
+    base = "http://A.org/d/e/p.html?q=1/2#f"
+    want = {
+        "/fr/x": "http://A.org/fr/x", "x.html": "http://A.org/d/e/x.html", "?p=1": "http://A.org/d/e/p.html?p=1", "//h.net/x": "http://h.net/x",
+        "./x": "http://A.org/d/e/x", "../x?u=http://z/": "http://A.org/d/x?u=http://z/", "../../../..": "http://A.org/", "..": "http://A.org/d/",
+        "https://z.org/../y": "https://z.org/../y", "#top": None, "mailto:me": None,
+    }
+    links = spark.createDataFrame([(base, t) for t in want] + [("no scheme", "/x"), ("http://bare", "x"), ("http://bare?a", "?b")], "url string, target string")
+    got = {(r.url, r.target): r.to for r in links.withColumn("to", url_equivalence.resolved(warc.F.col("url"), warc.F.col("target"))).collect()}
+    assert {t: got[base, t] for t in want} == want
+    assert got["no scheme", "/x"] is None and got["http://bare", "x"] == "http://bare/x" and got["http://bare?a", "?b"] == "http://bare?b"
+
+
+def test_relative_links_spread(spark):
+    canonical = lambda u: f'<link rel="canonical" href="{u}">'
+    rows = [
+        (1, "http://a.net/x/1", canonical("/fr/x")), (2, "https://b.org/1", canonical("//c.net/es/y")), (3, "http://d.net/fr/1", ""),
+        (4, "http://d.net/go/4?a", "<meta http-equiv=refresh content='0; url=../fr/1'>"), (5, "http://e.net/es", canonical("es/7")), (6, "http://e.net/", canonical("?p=1")),
+        (7, "http://e.net/q", canonical("/?p=1")), (8, "http://e.net/es/8", canonical("/q")),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_equivalence.judge(pages).collect()}
+    assert got == dict.fromkeys(range(1, 9), "block")
+
+
 def brute_links(rows, similar=0.9):
     good = {i: np.asarray(v, float) for i, v in rows if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     links = {i: set() for i, _ in rows}
