@@ -192,6 +192,21 @@ def test_sampler_estimates_similarity():
     assert 0.7 < true < 0.9 and 0.1 < agree < 0.8
 
 
+def test_plain_near_copies_of_a_hot_group_are_candidates():
+    rng = np.random.default_rng(6)
+    missed = 0
+    for _ in range(300):  # plain 0.8, weighted about 0.55
+        h = rng.integers(0, 2**63, 1000, np.uint64) * np.uint64(2)
+        idf = np.full(1 << minhash.FREQUENCY_BITS, 6.8, np.float32)
+        idf[(h[:800] >> np.uint64(64 - minhash.FREQUENCY_BITS)).astype(np.int64)] = 2.1
+        a, b = np.unique(h[:900]), np.unique(np.concatenate([h[:800], h[900:]]))
+        s = minhash.Sampler(idf)
+        one = np.ones(900, np.int64)
+        assert s.similarity((a, one), (b, one)) == 0.8
+        missed += not (s.bands(a, one) == s.bands(b, one)).any()
+    assert missed <= 1
+
+
 def brute_plan(positions, penalties, size):
     best = {0: 0}
     for p, c in zip(positions, penalties):
