@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which every executor can read.
 
-    Only where the session names none (tests on one machine) a temporary folder takes its place.
+    Only where one process does all the work (a local master, as in tests) and the session names no folder, a temporary one takes
+    its place. Anywhere else a folder of one machine would lose rows without a word, so there the setting is required.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = getattr(spark.sparkContext, "_own_shared_dir", None)
         if not path:
             path = spark.sparkContext._own_shared_dir = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -42,7 +48,21 @@ def settled(df: DataFrame) -> DataFrame:
     """df computed once and read again from a table in the shared folder: its lineage ends there, and its size is known."""
     path = new_path(df.sparkSession, "step")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes the tables of settled frames that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._settled_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def barrier(df: DataFrame, column: str) -> DataFrame:
+    """df, with a column that no filter or projection above is pushed below: what it takes to make it is worked out once a row."""
+    return df.select(*quoted([c for c in df.columns if c != column]), F.explode(F.array(F.col(column))).alias(column))
 
 
 def skew_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
@@ -79,29 +99,15 @@ def quoted(names: list[str]) -> list[Column]:
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
-_WORDS: dict[bytes, int] = {}
-_WORDS_MOST = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word; words are runs of anything but ASCII white space. Frequent words are remembered."""
-    words = text.encode("utf-8", "surrogatepass").split()
-    known = _WORDS
-    out = np.empty(len(words), np.uint64)
-    try:
-        out[:] = [known[w] for w in words]
-    except KeyError:
-        values = []
-        for w in words:
-            v = known.get(w)
-            if v is None:
-                v = xxhash.xxh3_64_intdigest(w)
-                if len(known) < _WORDS_MOST:
-                    known[w] = v
-            values.append(v)
-        out[:] = values
-    return out
+#: Bytes that are hashed together, and the longest word that is hashed with others.
+CHUNK, LONG_WORD = 1 << 17, 1 << 12
+_BLANK = np.zeros(256, bool)
+_BLANK[[*ASCII_SPACE.encode()]] = True
+_BYTE = np.random.default_rng(3).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+# powers of an odd number and of its inverse modulo 2^64, so that a word's hash doesn't depend on where it stands
+_POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(CHUNK, _MIX)]))
+_INVERSES = np.cumprod(np.concatenate([[np.uint64(1)], np.full(CHUNK, np.uint64(pow(int(_MIX), -1, 1 << 64)))]))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -110,8 +116,70 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _words_of(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of at most CHUNK bytes: runs of anything but ASCII white space, parted at cuts too."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    black, cut = ~_BLANK[data], np.zeros(n + 1, bool)
+    cut[cuts] = cut[0] = cut[n] = True
+    begins, ends = cut[:n].copy(), cut[1:].copy()
+    begins[1:] |= ~black[:-1]
+    ends[:-1] |= ~black[1:]
+    first, last = np.flatnonzero(black & begins), np.flatnonzero(black & ends) + 1
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _POWERS[:n], out=sums[1:])
+    h = mixed((sums[last] - sums[first]) * _INVERSES[first])
+    for i in np.flatnonzero(last - first > LONG_WORD):
+        h[i] = xxhash.xxh3_64_intdigest(data[first[i] : last[i]].tobytes())
+    return h, first
+
+
+def _long_text(data: np.ndarray) -> np.ndarray:
+    """Word hashes of a text of any length, a part at a time; parts end at white space."""
+    out, at, n = [], 0, len(data)
+    while at < n:
+        end = min(at + CHUNK, n)
+        if end < n:
+            blanks = np.flatnonzero(_BLANK[data[at:end]])
+            if len(blanks):
+                end = at + int(blanks[-1]) + 1
+            else:  # one word that is longer than all that is hashed together
+                while end < n and not len(blanks := np.flatnonzero(_BLANK[data[end : end + CHUNK]])):
+                    end = min(end + CHUNK, n)
+                end += int(blanks[0]) if end < n else 0
+                out.append(np.array([xxhash.xxh3_64_intdigest(data[at:end].tobytes())], np.uint64))
+                at = end
+                continue
+        out.append(_words_of(data[at:end], np.zeros(0, np.int64))[0])
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def word_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, 64-bit word hashes, words of each row) of rows that follow each other; a null has no words.
+
+    The texts are read where Arrow has them. About CHUNK bytes, or one longer text, are hashed at a time.
+    """
+    wide = pa.types.is_large_string(texts.type)
+    offsets = np.frombuffer(texts.buffers()[1] or b"\0" * 8, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    raw = texts.buffers()[2] if len(texts) else None
+    data, at = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8), 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
+        part = data[offsets[at] : offsets[to]]
+        if len(part) > CHUNK:
+            h = _long_text(part)
+            yield at, h, np.array([len(h)])
+        else:
+            cuts = offsets[at : to + 1] - offsets[at]
+            h, first = _words_of(part, cuts)
+            yield at, h, np.diff(np.searchsorted(first, cuts))
+        at = to
+
+
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the windows of n words, in order; a shorter text has one window of all its words, an empty one none."""
+    """Hashes of the windows of n words, in order; fewer words are one window, none have none."""
     if not len(words):
         return words
     n = min(n, len(words))
@@ -120,3 +188,21 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
         h = (h ^ words[i : len(words) - n + 1 + i]) * _MIX + np.uint64(i + 1)
         h ^= h >> np.uint64(29)
     return mixed(h)
+
+
+def row_shingles(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, sizes, hashes, counts) of rows that follow each other: the distinct windows of n words of each row, in order,
+    and how often each occurs. sizes has the number of them in each row."""
+    for at, words, sizes in word_hashes(texts):
+        windows, parts, end = window_hashes(words, n) if len(words) >= n else words[:0], [], 0
+        for size in sizes.tolist():
+            begin, end = end, end + size
+            parts.append(np.sort(windows[begin : end - n + 1]) if size >= n else window_hashes(words[begin:end], n))
+        h, lengths = np.concatenate(parts), np.array([len(p) for p in parts])
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        starts = np.cumsum(lengths) - lengths
+        new[starts[lengths > 0]] = True
+        kept = np.flatnonzero(new)
+        ends = np.searchsorted(kept, np.concatenate([starts, [len(h)]]))
+        yield at, np.diff(ends), h[kept], np.diff(np.append(kept, len(h)))

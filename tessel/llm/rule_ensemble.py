@@ -7,6 +7,7 @@ column expression: the score. Scoring is a map over the documents, without a shu
 
 from __future__ import annotations
 
+import math
 import re
 import string
 from dataclasses import dataclass
@@ -17,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, held_out, labelled_sample, table
+from .common import ASCII_SPACE, barrier, held_out, labelled_sample, quoted, table
 
 #: Rows of labels that are learned from at most.
 MAX_LABELLED = 20_000
@@ -58,8 +59,8 @@ def statistics(text: Column) -> Column:
 
 
 def _texts(docs: DataFrame, *more: str) -> DataFrame:
-    """The columns that count, with the statistics worked out once in a struct."""
-    return docs.select(*more, F.coalesce(F.col("text"), F.lit("")).alias("_text")).select(*more, statistics(F.col("_text")).alias("_s"))
+    """The columns that count, with the statistics worked out once in a struct, whatever a filter above asks of them."""
+    return barrier(docs.select(*more, statistics(F.coalesce(F.col("text"), F.lit(""))).alias("_s")), "_s")
 
 
 @dataclass(frozen=True)
@@ -122,14 +123,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     try:
         ones, n = rows.agg(F.coalesce(F.sum("label"), F.lit(0.0)), F.count(F.lit(1))).first()
         if ones in (0, n):
-            import math
-
             return RuleEnsemble(math.log((ones + 1) / (n - ones + 1)), [])
         forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=64, featureSubsetStrategy="onethird", subsamplingRate=0.7, seed=seed, minInstancesPerNode=5).fit(rows)
         rules = tree_rules([t.toDebugString for t in forest.trees])
         if not rules:
-            import math
-
             return RuleEnsemble(math.log((ones + 1) / (n - ones + 1)), [])
         hits = rows.select("label", array_to_vector(F.array(*[F.when(r.column(F.col), 1.0).otherwise(0.0) for r in rules])).alias("features")).persist()
         try:
@@ -149,10 +146,8 @@ def score_documents(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.7
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of docs that the classifier, fitted on their labelled part, accepts, with the columns of docs."""
-    from .common import quoted
-
     model = fit(docs, labels)
-    scored = docs.withColumn("_op1_text", F.coalesce(F.col("text"), F.lit(""))).withColumn("_op1_s", statistics(F.col("_op1_text")))
+    scored = barrier(docs.withColumn("_op1_s", statistics(F.coalesce(F.col("text"), F.lit("")))), "_op1_s")
     return scored.where(model.score(lambda n: F.col("_op1_s")[n]) >= threshold).select(*quoted(docs.columns))
 
 
