@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, skew_join
+from .common import forget, settled, skew_join
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -31,18 +31,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60, kind: str = "long") -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, kind: str = "long", ready: bool = False) -> DataFrame:
     """edges(u, v) -> (node, component): the least node of each component, for every node that has an edge to another.
 
-    kind is the nodes' type.
-    Loops and repeated edges are fine, null ends are dropped, no edges give no rows.
+    kind is the nodes' type. Loops and repeated edges are fine, null ends are dropped, no edges give no rows. ready says that edges
+    are a stored table without any of these.
     """
-    edges = edges.select(F.col("u").cast(kind).alias("u"), F.col("v").cast(kind).alias("v"))
-    edges = settled(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = edges.select(F.col("u").cast(kind).alias("u"), F.col("v").cast(kind).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    before = None
+    if not ready:
+        edges = before = settled(edges.distinct())
     for _ in range(max_rounds):
         if _stars(edges):
             break
         edges = settled(_small_star(_large_star(edges)))
+        if before is not None:
+            forget(before)
+        before = edges
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))

@@ -1,9 +1,10 @@
 """Operators on documents: classifier, rules, line dedup, near-dedup, packing, counting and coding."""
 
 import hashlib
+import math
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -128,9 +129,25 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
-def similar(idf, a, b):
-    s = minhash.Sampler(idf)
-    return s.similarity(minhash.shingles(a or ""), minhash.shingles(b or ""))
+def word_shingles(text, n=5):
+    words = (text or "").encode().split()
+    return Counter(tuple(words[i : i + n]) for i in range(max(len(words) - n + 1, min(len(words), 1))))
+
+
+class Weighted:
+    """The weighted Jaccard similarity of texts, from word tuples and exact document frequencies."""
+
+    def __init__(self, texts):
+        self.df = Counter(s for t in texts for s in word_shingles(t))
+        self.n = len(texts)
+
+    def weights(self, text):
+        return {s: k * (1 - math.log(max(self.df[s] / self.n, minhash.FREQUENT))) for s, k in word_shingles(text).items()}
+
+    def __call__(self, a, b):
+        a, b = self.weights(a), self.weights(b)
+        shared = sum(min(w, b[s]) for s, w in a.items() if s in b)
+        return shared / (sum(a.values()) + sum(b.values()) - shared) if a and b else 0.0
 
 
 @pytest.mark.parametrize("block", [128, 2])
@@ -153,7 +170,7 @@ def test_minhash(spark, monkeypatch, block):
     rows += [(200, "a b"), (201, "a b"), (202, None), (203, None), (204, ""), (205, ""), (206, "lone words only here now then"), (207, rows[0][1])]
     docs = frame(spark, rows)
     found = minhash.near_duplicates(docs)
-    idf = minhash.inverse_frequencies(docs.select("doc_id", "text"))
+    similar = Weighted([t for _, t in rows])
     parent = {i: i for i, _ in rows}
 
     def root(i):
@@ -163,7 +180,7 @@ def test_minhash(spark, monkeypatch, block):
 
     for x, (i, a) in enumerate(rows):
         for j, b in rows[:x]:
-            if (a is not None and a == b) or similar(idf, a, b) >= 0.8:
+            if (a is not None and a == b) or similar(a, b) >= 0.8:
                 p, q = sorted((root(i), root(j)))
                 parent[q] = p
     got = {r.doc_id: r.class_id for r in found.classes.collect()}
@@ -181,30 +198,60 @@ def test_minhash_repeated_ids_and_empty(spark):
     assert minhash.near_duplicates(frame(spark, [(1, None)])).classes.count() == 1
 
 
+def test_frequent_shingles_are_exact(spark):
+    rng = random.Random(9)
+    common = [prose(rng, 8) for _ in range(6)]
+    texts = [prose(rng, 30) + " " + " ".join(c for k, c in enumerate(common) if rng.random() < 0.02 * 2**k) + " " + prose(rng, 5) for _ in range(400)] + [None, "", "a b"]
+    df = Counter(s for t in texts for s in word_shingles(t))
+    want = {int(minhash.shingles(b" ".join(s).decode())[0][0]): k / len(texts) for s, k in df.items() if k >= minhash.FREQUENT * len(texts)}
+    h, shares = minhash.frequent_shingles(frame(spark, list(enumerate(texts))).repartition(3))
+    assert dict(zip(h.tolist(), shares.tolist())) == want and len(want) > 10
+
+
 def test_sampler_estimates_similarity():
     rng = random.Random(4)
-    idf = np.ones(1 << minhash.FREQUENCY_BITS, np.float32)
-    s = minhash.Sampler(idf, samples=minhash.BANDS * minhash.ROWS)
-    words = prose(rng, 2000).split()
-    a, b = " ".join(words[:1800]), " ".join(words[200:])
-    true = similar(idf, a, b)
-    agree = (s.bands(*minhash.shingles(a)) == s.bands(*minhash.shingles(b))).mean()
-    assert 0.7 < true < 0.9 and 0.1 < agree < 0.8
+    s = minhash.Sampler(np.zeros(0, np.uint64), np.zeros(0))
+    agree = wanted = 0
+    for _ in range(30):
+        words = prose(rng, 2000).split()
+        a, b = minhash.shingles(" ".join(words[:1800])), minhash.shingles(" ".join(words[200:]))
+        wanted += s.similarity(a, b) ** minhash.ROWS / 30
+        agree += (s.bands(*a) == s.bands(*b)).mean() / 30
+    assert abs(agree - wanted) < 0.1
+
+
+def test_bands_of_several_texts_are_those_of_each():
+    rng = random.Random(5)
+    frequent = np.sort(minhash.shingles(prose(rng, 50))[0])
+    s = minhash.Sampler(frequent, np.full(len(frequent), 0.3))
+    each = [minhash.shingles(prose(rng, n)) for n in (3, 0, 700, 5, 20)] + [(frequent, np.ones(len(frequent), np.int64))]
+    together = s.bands(np.concatenate([h for h, _ in each]), np.concatenate([tf for _, tf in each]), np.array([len(h) for h, _ in each]))
+    assert (together == np.concatenate([s.bands(*x) for x in each if len(x[0])])).all()
 
 
-def test_plain_near_copies_of_a_hot_group_are_candidates():
+def test_near_copies_are_candidates():
+    """Pairs at a weighted similarity of 0.8 to 0.9, in a group that a third of all documents share, share a band."""
     rng = np.random.default_rng(6)
     missed = 0
-    for _ in range(300):  # plain 0.8, weighted about 0.55
+    for _ in range(400):
         h = rng.integers(0, 2**63, 1000, np.uint64) * np.uint64(2)
-        idf = np.full(1 << minhash.FREQUENCY_BITS, 6.8, np.float32)
-        idf[(h[:800] >> np.uint64(64 - minhash.FREQUENCY_BITS)).astype(np.int64)] = 2.1
-        a, b = np.unique(h[:900]), np.unique(np.concatenate([h[:800], h[900:]]))
-        s = minhash.Sampler(idf)
-        one = np.ones(900, np.int64)
-        assert s.similarity((a, one), (b, one)) == 0.8
+        common = np.sort(h[:900])
+        s = minhash.Sampler(common, np.full(900, 1 / 3))
+        a, b = np.unique(h[:950]), np.unique(np.concatenate([h[:900], h[950:]]))
+        one = np.ones(950, np.int64)
+        assert 0.8 < s.similarity((a, one), (b, one)) < 0.9
         missed += not (s.bands(a, one) == s.bands(b, one)).any()
-    assert missed <= 1
+    assert missed == 0
+
+
+def test_very_long_and_hard_words():
+    rng = random.Random(11)
+    words = prose(rng, 60_000).split()
+    texts = [" ".join(words), "\n\t".join(words), "x" * 400_000, "x" * 400_000 + " y", "x" * 5000 + " y"]
+    found = [minhash.shingles(t) for t in texts]
+    assert len(found[0][0]) > 59_000 and (found[0][0] == found[1][0]).all() and [len(h) for h, _ in found[2:]] == [1, 1, 1]
+    want = Counter(word_shingles(texts[0]).values())
+    assert Counter(found[0][1].tolist()) == want
 
 
 def brute_plan(positions, penalties, size):
@@ -254,6 +301,33 @@ def test_packing(spark):
     assert packing.pack_documents(frame(spark, []), packing.tokenizer_path()).count() == 0
 
 
+def cut_shares(out, ids, ends):
+    """Of the sequences' ends, how many are at documents, at sentences and elsewhere."""
+    found = [0, 0, 0]
+    for _, g in out.groupby("sequence_id"):
+        r = g.sort_values("offset").iloc[-1]
+        at = r.start + r.length
+        found[0 if at == r.doc_tokens else 1 if ends[ids[r.doc_id][at - 1]] else 2] += 1
+    return found
+
+
+def test_packing_cuts_at_boundaries(spark):
+    """Sequences end at documents and sentences; elsewhere only in a stretch without either that is longer than a sequence."""
+    rng = random.Random(18)
+    rows = [(i, ". ".join(prose(rng, rng.randint(3, 30)) for _ in range(rng.randint(1, 200)))) for i in range(120)]
+    tok = packing.encoder(packing.tokenizer_path())
+    of = lambda rows: {i: [*np.frombuffer(tok.ids(t), "<u4").tolist(), 1] for i, t in rows}
+    out = packing.pack_documents(frame(spark, rows).repartition(1), packing.tokenizer_path()).toPandas()
+    documents, sentences, inside = cut_shares(out, of(rows), tok.ends)
+    assert documents and sentences > 60 and inside <= 12  # those of the partition's remainder, in powers of two
+    used = out.groupby("sequence_id").length.sum()
+    assert (2048 - used[used & (used - 1) != 0]).sum() < 0.03 * used.sum()
+    endless = [(1, prose(rng, 9000).replace(".", " "))]  # no sentence ends in it
+    out = packing.pack_documents(frame(spark, endless), packing.tokenizer_path()).toPandas()
+    assert out.groupby("sequence_id").length.sum().max() <= 2048 and out.length.sum() == len(of(endless)[1])
+    assert cut_shares(out, of(endless), tok.ends)[2] > 5
+
+
 TEXTS = ["a  b\n\n c\t", "日本語 テスト😀 x", "  lead", " ", "\n", "é½ﬁ ab", "the quick brown fox, jumps. over!", "", "x" * 300]
 
 
@@ -288,6 +362,15 @@ def test_streaming_is_the_same_in_any_parts():
         assert s.widest < 300  # of some 1,500 characters
 
 
+def test_remembered_parts_change_nothing():
+    """One stream over the whole text gives the ids that encode gives with what it remembers, for texts of many parts."""
+    w, rng = unigram.Worker.of(unigram.model_path()), random.Random(12)
+    for t in [*TEXTS, "\n".join(prose(rng, 60) + " 日本😀  x" for _ in range(5)), " ".join(prose(rng, 1) * 40 for _ in range(6))]:
+        s = unigram.StreamingViterbi(w.v)
+        want = s.feed("▁" + t.replace(" ", "▁")) + s.finish() if t else []
+        assert list(w.encode(t)) == want == list(w.encode(t)), t
+
+
 def test_unigram_ties():
     v = unigram.Vocabulary([("a", -1.0, 0), ("b", -1.0, 1), ("ab", -2.0, 2), ("ba", -2.0, 3), ("aba", -3.0, 4)], 5, 261)
     s = unigram.StreamingViterbi(v)
