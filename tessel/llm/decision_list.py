@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, labelled_sample, quoted, table
+from .common import ASCII_SPACE, barrier, labelled_sample, quoted, table
 
 #: Rows of labels that are learned from at most.
 MAX_LABELLED = 20_000
@@ -175,7 +175,8 @@ def learn(sample: pd.DataFrame, max_rules: int = 12, least_worth: float = 0.8) -
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_LABELLED) -> DecisionList:
     """A list from at most max_rows labelled documents, none held out, of those that pass the base rules. No labels, no rules."""
     sample = F.broadcast(labelled_sample(labels, label, max_rows))
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "label", counts().alias("_c")).where(~base_failed(F.col("_c")))
+    texts = barrier(docs.select("doc_id", "text").join(sample, "doc_id"), "text")  # else the filter has all documents counted before the join
+    rows = texts.select("doc_id", "label", counts().alias("_c")).where(~base_failed(F.col("_c")))
     rows = rows.select("doc_id", (F.col("label") <= 0).alias("bad"), *[_statistic(k, F.col("_c")).alias(k) for k in STATISTICS])
     return learn(rows.toPandas().sort_values(["doc_id", "bad", *STATISTICS]).sample(frac=1, random_state=7))
 
