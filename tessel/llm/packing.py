@@ -1,7 +1,8 @@
 """Packing: documents become sequences of a fixed length by order-preserving dynamic programming.
 
-The tokens of consecutive documents form one stream for each input partition. Window cuts may fall at document ends,
-sentence ends and, for a higher penalty, at every STRIDE-th token. The cost of a plan is its padding plus its penalties; a
+The tokens of consecutive documents form one stream for each input partition. Windows are cut at document ends and, for a
+penalty, at sentence ends. Only in a stretch without either that is longer than a window may a cut fall elsewhere, for a
+penalty that outweighs the padding of most windows. The cost of a plan is its padding plus its penalties; a
 monotone queue gives the best cut for each candidate in constant time. The stream is planned in runs of bounded length, and
 the last, unfinished window of a run goes on into the next, so memory does not grow with the partition or with a text. What
 remains at the end of a partition is cut into powers of two, which need no padding. Nothing is shuffled.
@@ -24,10 +25,12 @@ from .common import table
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 END_ID = 1
-#: Between sentence ends, a cut may fall at each multiple of so many tokens.
+#: In a stretch without a boundary that is longer than a window, a cut may fall at each STRIDE-th token of the stretch.
 STRIDE = 16
 #: In padding tokens, what a cut costs inside a document at a sentence's end, and inside a sentence.
-SENTENCE_PENALTY, INSIDE_PENALTY = 1, 3
+SENTENCE_PENALTY, INSIDE_PENALTY = 8, 64
+#: Ends of tokens that end a sentence or a line: full stops, of CJK texts too, as this vocabulary shows their bytes; Ċ is a line feed.
+SENTENCE_ENDS = (".", "!", "?", "Ċ", "ãĢĤ", "ï¼ģ", "ï¼Ł")
 #: Tokens that are planned together.
 RUN = 1 << 17
 
@@ -40,7 +43,7 @@ class _Encoder:
     text, and one that holds a special token's string, is encoded as a whole.
     """
 
-    MOST = 400_000
+    MOST = 100_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -51,7 +54,7 @@ class _Encoder:
         self.ranked = self._same_by_rank(path)
         ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
-            ends[i] = token.endswith((".", "!", "?", "Ċ"))  # Ċ stands for a line feed in this vocabulary
+            ends[i] = token.endswith(SENTENCE_ENDS)
         self.ends = ends
 
     @staticmethod
@@ -81,7 +84,7 @@ class _Encoder:
 
     def _new(self, piece: str) -> bytes:
         out = self._short(piece if piece[:1] == "\n" else " " + piece)
-        if len(self.known) < self.MOST:
+        if len(piece) <= 32 and len(self.known) < self.MOST:  # so what is remembered is bounded in bytes
             self.known[piece] = out
         return out
 
@@ -154,7 +157,6 @@ class Packer:
     def _plan(self) -> list[int]:
         ids = np.frombuffer(b"".join(w[3] for w in self.waiting), "<u4")
         cost = np.full(len(ids) + 1, -1, np.int64)
-        cost[:: STRIDE] = INSIDE_PENALTY
         cost[np.flatnonzero(self.ends[ids]) + 1] = SENTENCE_PENALTY
         at = 0
         for _, start, total, part in self.waiting:
@@ -162,7 +164,11 @@ class Packer:
             if start + len(part) // 4 == total:
                 cost[at] = 0
         cost[0] = -1
-        cost[len(ids)] = max(cost[len(ids)], 0)
+        if cost[len(ids)] < 0:
+            cost[len(ids)] = INSIDE_PENALTY
+        bounds = np.concatenate([[0], np.flatnonzero(cost >= 0)])
+        for k in np.flatnonzero(np.diff(bounds) > self.size).tolist():
+            cost[bounds[k] + min(STRIDE, self.size) : bounds[k + 1] : min(STRIDE, self.size)] = INSIDE_PENALTY
         positions = np.flatnonzero(cost >= 0)
         return plan_cuts(positions.tolist(), cost[positions].tolist(), self.size)
 
