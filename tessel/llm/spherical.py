@@ -1,16 +1,20 @@
-"""Near-duplicates of embeddings by spherical-cap filters of random directions.
+"""Near-duplicates of embeddings by spherical-cap filters of structured random product codes.
 
-A filter is the cap of all vectors whose cosine with its direction reaches a bound. The directions are drawn independently, so
-the chance that two vectors share none is (1 - q) ** count, where q, the share of directions that reach both, follows from the
-dimensions and their angle alone (see both_reach). Bound and count are chosen so that even two balls at the widest angle at
-which members may link share a filter with a chance of RECALL, and two vectors at the angle of a link with one of LINK_RECALL. Balls
-that share one are compared in double precision.
+A filter is the cap of all vectors whose cosine with its direction reaches a bound. A product code gives CODES ** PARTS
+directions: the coordinates are dealt out among PARTS, each part has CODES random codewords, and a direction is one codeword
+of each. Which directions a vector reaches is decoded part by part; a choice goes on only if the best codewords of the other
+parts could still lift it over the bound. Several independent codes are used, behind one random rotation: the chance that two
+vectors at an angle share a filter of one code is measured on random pairs, which makes it a function of dimensions and angle
+alone, and bound and number of codes are chosen so that even two balls at the widest angle at which members may link share a
+filter with a chance of RECALL, and two vectors at the angle of a link with one of LINK_RECALL. Balls that share one are compared in
+double precision.
 
 Tight balls come first: vectors whose best product code (a code of each of BLOCKS parts of the space) is the same are held
 against a few anchors of it, and those within RADIUS of one are its ball. All of a ball are linked to each other by the triangle inequality on the sphere, and two balls are often
 wholly linked, or wholly apart, by their centres alone. So a group of copies counts once in the filters, however large, and
-its links are counted without being made. Only pairs of balls that their centres leave open are compared member by member,
-in blocks of bounded size.
+its links are counted without being made. Comparisons run in blocks; of the balls that are wholly linked, a block gives out
+only a count for each ball and a star for each set that hangs together, not the pairs. Only pairs of balls that their centres
+leave open are compared member by member, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -29,9 +33,14 @@ from .common import settled, skew_join, table
 from .components import connected_components
 
 SIMILAR = 0.9
-BLOCKS, CODES = 4, 24
-#: The least chance that two balls which may hold a link share a filter, that of two vectors at a link's angle, and the most directions.
-RECALL, LINK_RECALL, DIRECTIONS = 0.995, 0.9995, 1 << 15
+#: Of filters: the parts of a product code and the codewords of each.
+PARTS, CODES = 2, 16
+#: Of balls: parts and codewords of the one code by which near vectors meet.
+BLOCKS, BALL_CODES = 4, 24
+#: The least chance that two balls which may hold a link share a filter, that of two vectors at a link's angle, and the most codes.
+RECALL, LINK_RECALL, MOST_CODES = 0.995, 0.9995, 128
+#: Random pairs of vectors that measure the chance of sharing a filter: so many for each of so many codes.
+TRIALS, TRIAL_CODES = 256, 48
 #: Degrees around an anchor within which vectors are one ball, and anchors of a filter. Twice RADIUS is far below the link's angle.
 RADIUS, ANCHORS = 6.0, 8
 #: Members of a block in comparisons.
@@ -44,13 +53,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-class ProductCode:
-    """CODES random unit vectors for each of BLOCKS parts of the dimensions, fixed by the seed."""
+class BallCode:
+    """BALL_CODES random unit vectors for each of BLOCKS parts of the dimensions, fixed by the seed."""
 
     def __init__(self, dims: int, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
         self.parts = np.array_split(np.arange(dims), min(BLOCKS, dims))
-        self.codes = [_unit(rng.normal(size=(CODES, len(p)))) / math.sqrt(len(self.parts)) for p in self.parts]
+        self.codes = [_unit(rng.normal(size=(BALL_CODES, len(p)))) / math.sqrt(len(self.parts)) for p in self.parts]
 
     def _scores(self, x: np.ndarray) -> list[np.ndarray]:
         return [x[:, p] @ c.T for p, c in zip(self.parts, self.codes)]
@@ -58,24 +67,56 @@ class ProductCode:
     def best(self, x: np.ndarray) -> np.ndarray:
         key = np.zeros(len(x), np.int64)
         for s in self._scores(x):
-            key = key * CODES + s.argmax(axis=1)
+            key = key * BALL_CODES + s.argmax(axis=1)
         return key
 
 
-def both_reach(cap: float, angle: float, dims: int) -> float:
-    """The chance that a random direction has a cosine of at least cap >= 0 with both of two vectors at the angle.
+def reach(cap: float, dims: int) -> float:
+    """The share of the sphere whose cosine with a direction is at least cap."""
+    t = np.linspace(-1.0, 1.0, 20_001)[1:-1]
+    density = (1 - t * t) ** ((dims - 3) / 2)
+    return float(density[t >= cap].sum() / density.sum())
 
-    In their plane the direction's shadow has the density (dims - 2) / 2 pi (1 - r^2)^((dims - 4) / 2); at radius r it reaches
-    both over 2 acos(cap / r) - angle of the circle.
-    """
-    r = cap + (1.0 - cap) * (np.arange(20_000) + 0.5) / 20_000
-    over = np.maximum(0.0, 2 * np.arccos(np.minimum(cap / r, 1.0)) - angle)
-    return float((r * (1 - r * r) ** ((dims - 4) / 2) * over).sum() * (dims - 2) / (2 * math.pi) * (1.0 - cap) / 20_000)
+
+class ProductCode:
+    """CODES random codewords for each of PARTS sets of coordinates, fixed by the seed."""
+
+    def __init__(self, dims: int, seed: int) -> None:
+        rng = np.random.default_rng([17, seed])
+        self.parts = np.array_split(rng.permutation(dims), PARTS)
+        self.words = [_unit(rng.normal(size=(CODES, len(p)))).T / math.sqrt(PARTS) for p in self.parts]
+
+    def decode(self, x: np.ndarray, cap: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, direction) for all directions of the code that rows of x reach."""
+        scores = [x[:, p] @ w for p, w in zip(self.parts, self.words)]
+        best = np.array([s.max(axis=1) for s in scores])
+        rows, total, found = np.arange(len(x)), np.zeros(len(x)), np.zeros(len(x), np.int64)
+        for k, s in enumerate(scores):
+            at, word = np.nonzero(total[:, None] + s[rows] >= (cap - best[k + 1 :].sum(axis=0)[rows])[:, None])
+            total, found, rows = total[at] + s[rows[at], word], found[at] * CODES + word, rows[at]
+        return rows, found
+
+
+def at_angle(rng: np.random.Generator, x: np.ndarray, angle: float) -> np.ndarray:
+    """For each unit row of x, a random unit vector at the angle."""
+    y = rng.normal(size=x.shape)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    return math.cos(angle) * x + math.sin(angle) * _unit(y)
+
+
+def shares_filter(cap: float, angle: float, dims: int) -> float:
+    """The chance that two vectors at the angle share a filter of one code, as TRIALS random pairs for each of TRIAL_CODES show."""
+    rng, hits = np.random.default_rng([23, dims]), 0
+    for k in range(TRIAL_CODES):
+        code, x = ProductCode(dims, 10_000 + k), _unit(rng.normal(size=(TRIALS, dims)))
+        mine, theirs = (np.unique(r * CODES**PARTS + f) for r, f in (code.decode(x, cap), code.decode(at_angle(rng, x, angle), cap)))
+        hits += len(np.unique(np.intersect1d(mine, theirs, assume_unique=True) // CODES**PARTS))
+    return hits / (TRIALS * TRIAL_CODES)
 
 
 @dataclass(frozen=True)
 class Caps:
-    """count random directions, fixed by the seed, and the cosine that a filter's vectors reach; up to BLOCK balls share one filter."""
+    """The filters of count product codes, and the cosine that a filter's vectors reach; no code is one filter of all vectors."""
 
     dims: int
     cap: float
@@ -83,30 +124,32 @@ class Caps:
 
     @staticmethod
     def of(dims: int, balls: int, link: float, widest: float) -> Caps:
-        """The widest caps that hold about BLOCK of the balls, in as many directions as both recalls take."""
+        """The widest caps that hold about BLOCK of the balls, of as many codes as both recalls take."""
         if balls <= BLOCK:
-            return Caps(dims, -2.0, 1)
+            return Caps(dims, -2.0, 0)
         out, space = None, max(dims, 4)  # zeros added to a vector leave its angles alone
-        for cap in np.arange(0, 95) / 100:
-            reach = [(both_reach(cap, a, space), r) for a, r in ((widest, RECALL), (link, LINK_RECALL))]
-            count = max(math.ceil(math.log(1 - r) / math.log1p(-q)) if q > 1e-9 else DIRECTIONS + 1 for q, r in reach)
-            if out and count > DIRECTIONS:
-                break
-            out = Caps(dims, float(cap), count)
-            if balls * both_reach(cap, 0.0, space) <= BLOCK:
+        caps = np.arange(0, 95) / 100
+        start = next((k for k, cap in enumerate(caps) if balls * reach(cap, space) <= BLOCK), len(caps) - 1)
+        for cap in caps[start::-1]:
+            chances = [(shares_filter(cap, a, space), r) for a, r in ((widest, RECALL), (link, LINK_RECALL))]
+            count = max(math.ceil(math.log(1 - r) / math.log1p(-h)) if 0 < h < 1 else (MOST_CODES + 1 if h == 0 else 2) for h, r in chances)
+            out = Caps(dims, float(cap), min(count, MOST_CODES))
+            if count <= MOST_CODES:
                 break
         return out
 
-    def directions(self, seed: int = 7) -> np.ndarray:
-        return _unit(np.random.default_rng(seed).normal(size=(self.count, max(self.dims, 4))))[:, : self.dims]
+    def rotation(self) -> np.ndarray:
+        space = max(self.dims, 4)
+        q, r = np.linalg.qr(np.random.default_rng(29).normal(size=(space, space)))
+        return (q * np.sign(np.diag(r)))[: self.dims]
 
-    def decode(self, x: np.ndarray, directions: np.ndarray) -> list[np.ndarray]:
-        """For each row, the numbers of its filters in order."""
-        out = []
-        for at in range(0, len(x), 256):
-            i, k = np.nonzero(x[at : at + 256] @ directions.T >= self.cap)
-            out += np.split(k.astype(np.int32), np.searchsorted(i, np.arange(1, len(x[at : at + 256]))))
-        return out
+    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, filter) for all filters that rows of x reach; filters of all codes are numbered through."""
+        if not self.count:
+            return np.arange(len(x)), np.zeros(len(x), np.int64)
+        x = x @ self.rotation()
+        found = [(r, k * CODES**PARTS + f) for k in range(self.count) for r, f in [ProductCode(x.shape[1], k).decode(x, self.cap)]]
+        return np.concatenate([r for r, _ in found]), np.concatenate([f for _, f in found])
 
 
 def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -129,7 +172,7 @@ def _keyed(vectors: DataFrame) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 x = _matrix(b.column(1))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ProductCode(x.shape[1]).best(x))], ["vec_id", "v", "top"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(BallCode(x.shape[1]).best(x))], ["vec_id", "v", "top"])
 
     return vectors.mapInArrow(key, "vec_id long, v array<double>, top long")
 
@@ -160,34 +203,48 @@ def _ball_of(vectors: DataFrame) -> DataFrame:
     return skew_join(keyed, anchors, "top").select("vec_id", "v", "anchors").mapInArrow(assign, "vec_id long, v array<double>, ball long, angle double")
 
 
-def _padded(filters: list[bytes], blank: int) -> np.ndarray:
-    sizes = np.array([len(f) // 4 for f in filters])
-    out = np.full((len(filters), max(1, sizes.max())), blank, np.int32)
-    out[np.arange(out.shape[1])[None, :] < sizes[:, None]] = np.frombuffer(b"".join(filters), np.int32)
-    return out
+def _stars(p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the least node that the links p[i], q[i] reach from it."""
+    least = np.arange(n)
+    while len(p):
+        before = least.copy()
+        low = np.minimum(least[p], least[q])
+        np.minimum.at(least, p, low)
+        np.minimum.at(least, q, low)
+        least = least[least]
+        if (least == before).all():
+            break
+    return least
 
 
-def _ball_pairs(balls: DataFrame, similar: float) -> DataFrame:
-    """(a, b, sure), a < b: the pairs of balls with a link, sure where all are linked; the others are still open.
+def _compared_balls(balls: DataFrame, similar: float) -> DataFrame:
+    """(kind, a, b, n) over pairs of balls that may hold a link.
 
-    Filters with many balls are dealt out as pairs of blocks of about BLOCK balls, so no task holds more than two blocks. A pair
-    that shares several filters comes out of the first of them.
+    kind 0: n vectors in other balls are linked to all of ball a; several rows of one a add up. kind 1: a and b hang together by
+    such links. kind 2: the pair a < b is still open. Filters with many balls are dealt out as pairs of blocks of about BLOCK balls,
+    so no task holds more than two blocks. A pair that shares several filters counts in the first of them. The rows of kind 0 and 1
+    are bounded by the balls of a block, however many pairs are linked.
     """
     link = math.acos(similar)
     widest = min(math.pi, link + 2 * math.radians(RADIUS))
     dims = balls.select(F.size("v")).first()
     caps = Caps.of(dims[0] if dims else 1, balls.count(), link, widest)
+    width = max(1, -(-caps.count * CODES**PARTS // 64)) * 8
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        directions = caps.directions()
         for b in batches:
-            if b.num_rows:
-                x = _matrix(b.column(1))
-                found = caps.decode(x, directions)
-                columns = [pa.array([y.tobytes() for y in x], pa.binary()), pa.array([f.tobytes() for f in found], pa.binary()), pa.array(found, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *columns], ["ball", "radius", "x", "packed", "filters"])
-
-    coded = settled(balls.select("ball", "v", "radius").mapInArrow(decode, "ball long, radius double, x binary, packed binary, filters array<int>"))
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                x = _matrix(part.column(1))
+                rows, found = caps.decode(x)
+                bits = np.zeros((len(x), width), np.uint8)
+                np.bitwise_or.at(bits, (rows, found >> 3), (1 << (found & 7)).astype(np.uint8))
+                order = np.argsort(rows, kind="stable")
+                filters = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[order], np.arange(len(x) + 1)), pa.int32()), pa.array(found[order], pa.int32()))
+                columns = [pa.array([y.tobytes() for y in x], pa.binary()), pa.array([y.tobytes() for y in bits], pa.binary()), filters]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), *columns], ["ball", "radius", "size", "x", "bits", "filters"])
+
+    coded = settled(balls.select("ball", "v", "radius", "size").mapInArrow(decode, "ball long, radius double, size long, x binary, bits binary, filters array<int>"))
     lists = coded.select("ball", F.explode("filters").alias("filter"))
     sizes = lists.groupBy("filter").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
     dealt = skew_join(lists, sizes, "filter").withColumn("mine", F.pmod(F.xxhash64("ball"), F.col("n")).cast("int"))
@@ -197,31 +254,37 @@ def _ball_pairs(balls: DataFrame, similar: float) -> DataFrame:
     rows = dealt.join(more, ["filter", "i", "j"], "left_semi").join(coded.drop("filters"), "ball")
 
     def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        here, i, j = key
-        pdf = pdf.sort_values("ball")
-        left, right = (pdf, pdf) if i == j else (pdf[pdf.mine == i], pdf[pdf.mine == j])
+        here, i, j = map(int, key)
+        pdf = pdf.sort_values("ball", ignore_index=True)
+        side = np.arange(len(pdf))
+        left, right = (side, side) if i == j else (side[pdf.mine == i], side[pdf.mine == j])
+        ids, size, radius = pdf.ball.to_numpy(), pdf["size"].to_numpy(), pdf.radius.to_numpy()
         if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "sure": []})
-        x, y = (np.frombuffer(b"".join(side.x), np.float64).reshape(len(side), -1) for side in (left, right))
-        cosine = np.clip(x @ y.T, -1.0, 1.0)
+            return pd.DataFrame({"kind": [], "a": [], "b": [], "n": []}, dtype="int64")
+        x = np.frombuffer(b"".join(pdf.x), np.float64).reshape(len(pdf), -1)
+        cosine = np.clip(x[left] @ x[right].T, -1.0, 1.0)
         near = cosine >= math.cos(widest) - _EPS
         p, q = np.nonzero(np.triu(near, 1) if i == j else near)
-        cosine, both = cosine[p, q], left.radius.to_numpy()[p] + right.radius.to_numpy()[q]
+        cosine, p, q = cosine[p, q], left[p], right[q]
+        both = radius[p] + radius[q]
         angle, single = np.arccos(cosine), both == 0
         linked = np.where(single, cosine >= similar, angle <= link + both + _EPS)
         sure = single | (angle + both <= link - _EPS)
         p, q, sure = p[linked], q[linked], sure[linked]
-        mine, others = _padded(left.packed.tolist(), -1), _padded(right.packed.tolist(), -2)
-        mine, others = np.where(mine < here, mine, -1), np.where(others < here, others, -2)
-        fresh = np.ones(len(p), bool)
-        for at in range(0, len(p), 4096):
-            part = slice(at, at + 4096)
-            fresh[part] = ~(mine[p[part]][:, :, None] == others[q[part]][:, None, :]).any(axis=(1, 2))
-        p, q = p[fresh], q[fresh]
-        a, b = left.ball.to_numpy()[p], right.ball.to_numpy()[q]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": sure[fresh]})
-
-    return rows.groupBy("filter", "i", "j").applyInPandas(compare, "a long, b long, sure boolean")
+        # a filter below this one that both reach has the pair
+        bits = np.frombuffer(b"".join(pdf.bits), np.uint64).reshape(len(pdf), -1)[:, : here // 64 + 1].copy()
+        bits[:, -1] &= np.uint64((1 << (here % 64)) - 1)
+        fresh = np.concatenate([~(bits[p[at : at + 65_536]] & bits[q[at : at + 65_536]]).any(axis=1) for at in range(0, len(p), 65_536)] or [np.zeros(0, bool)])
+        p, q, sure = p[fresh], q[fresh], sure[fresh]
+        opened = np.stack([np.minimum(ids[p[~sure]], ids[q[~sure]]), np.maximum(ids[p[~sure]], ids[q[~sure]])])
+        p, q = p[sure], q[sure]
+        whole = np.bincount(p, size[q], len(pdf)) + np.bincount(q, size[p], len(pdf))
+        counted, least = np.flatnonzero(whole), _stars(p, q, len(pdf))
+        tied = np.flatnonzero(least != side)
+        kinds = [(0, ids[counted], ids[counted], whole[counted].astype(np.int64)), (1, ids[least[tied]], ids[tied], tied), (2, *opened, opened[0])]
+        return pd.concat([pd.DataFrame({"kind": k, "a": a, "b": b, "n": n}) for k, a, b, n in kinds])
+
+    return rows.groupBy("filter", "i", "j").applyInPandas(compare, "kind int, a long, b long, n long")
 
 
 def _open_links(open_pairs: DataFrame, members: DataFrame, similar: float) -> DataFrame:
@@ -271,20 +334,17 @@ def _linked(good: DataFrame, similar: float) -> DataFrame:
         members.groupBy("ball").agg(F.count(F.lit(1)).alias("size"), F.max("angle").alias("radius"), F.min("vec_id").alias("least"))
         .join(members.where("ball = vec_id").select("ball", "v"), "ball")
     )
-    pairs = settled(_ball_pairs(balls, similar))
-    opened = settled(_open_links(pairs.where("not sure"), members, similar))
-    sure = pairs.where("sure").select("a", "b")
-    both = sure.unionByName(sure.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    by_ball = both.join(balls.select(F.col("ball").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("whole")).withColumnRenamed("a", "ball")
+    compared = settled(_compared_balls(balls, similar))
+    opened = settled(_open_links(compared.where("kind = 2"), members, similar))
+    by_ball = compared.where("kind = 0").groupBy("a").agg(F.sum("n").alias("whole")).withColumnRenamed("a", "ball")
     by_vector = opened.groupBy("vec_id").agg(F.sum("n").alias("more"))
-    edges = sure.unionByName(opened.select("a", "b").distinct()).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    of = connected_components(edges).withColumnRenamed("node", "ball")
+    edges = compared.where("kind = 1").select("a", "b").unionByName(opened.select("a", "b")).distinct()
+    of = connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "ball")
     placed = balls.select("ball", "size", "least").join(of, "ball", "left").withColumn("component", F.coalesce("component", "ball")).join(by_ball, "ball", "left")
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    placed = placed.join(least, "component").select("ball", (F.col("size") - 1 + F.coalesce("whole", F.lit(0))).alias("n"), "component_id")
-    return members.select("vec_id", "ball").join(placed, "ball").join(by_vector, "vec_id", "left").select(
-        "vec_id", (F.col("n") + F.coalesce("more", F.lit(0))).cast("long").alias("n_links"), "component_id"
-    )
+    placed = skew_join(placed, least, "component").select("ball", (F.col("size") - 1 + F.coalesce("whole", F.lit(0))).alias("n"), "component_id")
+    counted = skew_join(members.select("vec_id", "ball"), placed, "ball").join(by_vector, "vec_id", "left")
+    return counted.select("vec_id", (F.col("n") + F.coalesce("more", F.lit(0))).cast("long").alias("n_links"), "component_id")
 
 
 def op9_spherical(spark, sf_dir: str) -> DataFrame:

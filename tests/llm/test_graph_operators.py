@@ -44,11 +44,15 @@ PAGES = "page_id long, url string, html string, payload string, digest string"
 def test_warc(spark):
     tricky = "before\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\nafter WARC/1.1\r\n" * 3
     same = "<p>é" + "x" * 200 + "</p>"
-    rows = [(5, "http://a/", same), (3, "http://b/", same), (9, None, same), (1, "http://c/\r\nX: y", None), (2, "http://d/", ""), (4, "u", "short"), (6, "u", "short"), (7, "u", tricky), (8, "u", "WARC/1.1\r\n"), (-3, "u", "\r\n\r\n"), (2**40, "u", "日本" * 100)]
+    rows = [(5, "http://a/", same), (3, "http://b/", same), (9, None, same), (1, "http://c/\r\nX: y", None), (2, "http://d/", ""), (4, "u", "short"), (6, "u", "short"), (7, "u", tricky), (8, "u", "WARC/1.1\r\n"), (20, "u", "ends in WARC/1.1"), (21, "http://x/WARC/1.1", "y"), (22, " http://x/a ", "WARC/1.1"),
+            (23, "http://y/WARC/1.1", "WARC\r\n5\r\n/1.1\r\nWARC/1.1\r\n0\r\n\r\nWARC/1.1"), (24, "u", "WARC\r\n5\r\n/1.1\r\n"), (25, "u", "éWARC/1.1日本WARC/1.1WARC"), (26, "u", "WARC"), (27, "u", "/1.1\r\n"),
+            (-3, "u", "\r\n\r\n"), (2**40, "u", "日本" * 100)]
     pages = spark.createDataFrame([(*r, "p", "d") for r in rows], PAGES)
     path = new_path(spark, "warc")
     warc.write_warc(pages, path)
     records = warc.read_warc(spark, path)
+    uris = {r.uri for r in records.collect()}
+    assert {"http://x/WARC/1.1", "http://y/WARC/1.1", "%20http://x/a%20", "http://c/%0D%0AX: y"} <= uris
     assert records.count() == 3 * len(rows) and records.where("not whole").count() == 0
     captures = {warc_id: r for r in warc.assemble(records).withColumn("page", warc.page_of(warc.F.col("capture_id"))).collect() for warc_id in [r.page]}
     assert set(captures) == {r[0] for r in rows}
@@ -64,10 +68,24 @@ def test_warc(spark):
 
 def test_warc_query(spark, tmp_path):
     same = "y" * 150
-    rows = [(1, "u", same), (2, "u", same), (3, "u", same[:99]), (4, "u", same[:99]), (5, "u", None)]
+    rows = [(1, "u", same), (2, "u", same), (3, "u", same[:99]), (4, "u", same[:99]), (5, "u", None), (6, "WARC/1.1", "WARC\r\n5\r\n/1.1\r\nWARC/1.1")]
     spark.createDataFrame([(*r, "p", "d") for r in rows], PAGES).write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.op3_warc(spark, str(tmp_path)).collect()}
-    assert got == {1: (150, "response", None), 2: (150, "revisit", 1), 3: (99, "response", None), 4: (99, "response", None), 5: (0, "response", None)}
+    assert got == {1: (150, "response", None), 2: (150, "revisit", 1), 3: (99, "response", None), 4: (99, "response", None), 5: (0, "response", None), 6: (len(rows[5][2]), "response", None)}
+    digests = {r.page_id: r.payload_digest for r in warc.op3_warc(spark, str(tmp_path)).collect()}
+    assert digests == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, _, t in rows}
+
+
+def test_foreign_records(spark, tmp_path):
+    """Records of other writers: chunks of other sizes, one that parts a character, and a record that is not whole."""
+    text = "é" * 20 + "tail"
+    raw = text.encode()
+    chunks = b"".join(b"%X;x=1\r\n" % len(c) + c + b"\r\n" for c in (raw[:7], raw[7:8], raw[8:])) + b"0\r\n\r\n"
+    block = b"HTTP/1.1 200 OK\r\ntransfer-encoding:  chunked \r\n\r\n" + chunks
+    record = lambda n: b"WARC/1.1\r\nContent-Length: %d\r\nWARC-Type: response\r\nWARC-Record-ID: <r>\r\n\r\n" % n + block + b"\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(record(len(block)) + record(len(block) + 1))
+    got = [(r.whole, r.payload) for r in warc.read_warc(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [(False, text), (True, text)]
 
 
 def test_warc_of_nothing(spark):
@@ -129,6 +147,25 @@ def test_relative_targets(spark):
     assert got["no scheme", "/x"] is None and got["http://bare", "x"] == "http://bare/x" and got["http://bare?a", "?b"] == "http://bare?b"
 
 
+def test_sql_of_links(spark, tmp_path):
+    """The query's SQL and the query on pages with links of all kinds, a hub, null and repeated urls and ties of rules."""
+    import duckdb
+
+    rng = random.Random(3)
+    hosts = ["a.net", "b.org", "www.example.com", "Example.com", "c.d.net", "com", "x.com"]
+    targets = ["/fr/x", "x.html", "?p=1", "//c.net/es/y", "../e", "./../..", "..", "#top", "mailto:m", "http://a.net/es/1", "HTTPS://B.org/q?a=1&amp;b=2", "es/.", "a//b", "?", "http://hub.org/"]
+    tag = lambda t: rng.choice([f'<link rel="canonical" href="{t}">', f"<meta http-equiv=refresh content='0; url={t}'>", f'<link rel=icon href="{t}">'])
+    rows = [(i, f"http://{rng.choice(hosts)}/{rng.choice(['en/', 'es/', 'fr/', 'q/r', '', 'fr'])}{rng.choice(['', '1', '2?z=/', 'k#f/g'])}", "x".join(tag(rng.choice(targets)) for _ in range(rng.randint(0, 2)))) for i in range(300)]
+    rows += [(300, None, tag("/fr/x")), (301, "no scheme", tag("x")), (302, "http://bare", tag("x")), (303, "http://a.net", None), (304, rows[0][1], rows[0][2])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({url_equivalence.OP4_SQL})").fetchall()
+    got = [tuple(r) for r in url_equivalence.op4_url_equivalence(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert len({r[4] for r in got if r[3] is None}) == 2
+
+
 def test_relative_links_spread(spark):
     canonical = lambda u: f'<link rel="canonical" href="{u}">'
     rows = [
@@ -180,18 +217,57 @@ def at_cosine(rng, x, cosine):
     return cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
 
 
-@pytest.mark.parametrize("balls", [2_000, 50_000, 10**9])
-def test_spherical_filters_meet(balls):
+@pytest.mark.parametrize(("dims", "balls"), [(64, 2_000), (64, 50_000), (64, 10**9), (16, 50_000), (384, 50_000)])
+def test_spherical_filters_meet(dims, balls):
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(1000, 64))
+    x = rng.normal(size=(1000, dims))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    caps = spherical.Caps.of(64, balls, np.arccos(0.9), np.arccos(0.9) + np.radians(2 * spherical.RADIUS))
-    directions = caps.directions()
-    mine = caps.decode(x, directions)
-    assert len(mine) == len(x) and caps.count <= spherical.DIRECTIONS
+    caps = spherical.Caps.of(dims, balls, np.arccos(0.9), np.arccos(0.9) + np.radians(2 * spherical.RADIUS))
+    assert caps.count <= spherical.MOST_CODES
+    pairs = lambda y: np.unique(np.stack(caps.decode(y), axis=1), axis=0)
+    mine = {tuple(r) for r in pairs(x).tolist()}
     for cosine, least in [(0.79, 0.985), (0.9, 0.997), (0.91, 0.997), (0.92, 0.997), (0.97, 0.997)]:
-        theirs = caps.decode(at_cosine(rng, x, cosine), directions)
-        assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(mine, theirs)]) >= least, cosine
+        met = {r[0] for r in pairs(at_cosine(rng, x, cosine)).tolist() if tuple(r) in mine}
+        assert len(met) / len(x) >= least, cosine
+
+
+def test_product_code_decodes_all():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 21))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    code = spherical.ProductCode(21, 4)
+    directions = np.zeros((spherical.CODES**2, 21))
+    for i in range(spherical.CODES):
+        for j in range(spherical.CODES):
+            directions[i * spherical.CODES + j, code.parts[0]] = code.words[0][:, i]
+            directions[i * spherical.CODES + j, code.parts[1]] = code.words[1][:, j]
+    assert np.allclose(np.linalg.norm(directions, axis=1), 1)
+    for cap in (0.0, 0.3, 0.5):
+        assert set(zip(*map(np.ndarray.tolist, code.decode(x, cap)))) == set(zip(*map(np.ndarray.tolist, np.nonzero(x @ directions.T >= cap))))
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_spherical_open_balls(spark, monkeypatch, block):
+    """Groups at the edge of a link, whose balls are neither wholly linked nor wholly apart, among many other vectors."""
+    monkeypatch.setattr(spherical, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    unit = lambda y: y / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = list(unit(rng.normal(size=(600, 64))))
+    for k in range(12):
+        centre = unit(rng.normal(size=(1, 64)))
+        for other in (centre, at_cosine(rng, centre, 0.905), at_cosine(rng, centre, 0.95)):  # three balls of copies, not quite equal
+            rows += list(unit(other + rng.normal(size=(3 + k, 64)) * 0.006))
+    for k in range(20):
+        rows += list(at_cosine(rng, np.repeat(unit(rng.normal(size=(1, 64))), 6, axis=0), 0.963))
+    data = [(i, v.tolist()) for i, v in enumerate(rows)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in spherical.linked_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    x = unit(np.array(rows))
+    linked = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    roots = union_find([(int(i), int(j)) for i, j in zip(*np.nonzero(linked))])
+    want = {i: (int(linked[i].sum()), roots.get(i, i)) for i in range(len(x))}
+    assert sum(n for n, _ in want.values()) > 3000
+    assert np.mean([got[i] == want[i] for i in want]) >= 0.99
+    assert sum(n for n, _ in got.values()) >= 0.995 * sum(n for n, _ in want.values()) and all(got[i][0] <= want[i][0] for i in want)
 
 
 def test_spherical_recall_by_band(spark):
