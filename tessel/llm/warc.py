@@ -5,7 +5,9 @@ metadata record, tied by WARC-Concurrent-To. A record is one value of Spark's te
 executors stream archives to any store that Spark can write to.
 
 Reading: the text reader splits archives at the version line that starts a record, so memory is bounded by the largest record.
-The writer sends a body that holds such a line in chunks (HTTP chunked coding) that part it, and the reader checks each record's length.
+The writer sees to it that this line stands nowhere else: a body that holds the version is sent in chunks (HTTP chunked coding)
+that part it, and a URI that ends in it gets a blank behind it, which readers of header lines drop. The reader takes chunks apart
+by their sizes and checks each record's length.
 
 Assembly: records that name each other as concurrent meet on one key, and each capture is one nested row.
 """
@@ -22,7 +24,6 @@ VERSION = "WARC/1.1"
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 100
 _SEPARATOR = f"{VERSION}{CRLF}"
-_DATE = "2024-01-01T00:00:00Z"
 _HTTP = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}"
 
 
@@ -42,37 +43,45 @@ def page_of(urn: Column) -> Column:
     return F.when(F.length(digits) == 16, F.shiftleft(high, 32).bitwiseOR(low))
 
 
-def _record(kind: str, record_id: Column, page: Column, block: Column, *more: Column) -> Column:
+def _uri(url: Column) -> Column:
+    """A URL as it can stand in a line: line ends, and blanks at its ends, are percent-encoded."""
+    u = F.replace(F.replace(F.coalesce(url, F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    for blank, code in ((" ", "%20"), ("\t", "%09")):
+        u = F.regexp_replace(F.regexp_replace(u, f"^{blank}", code), f"{blank}$", code)
+    return u
+
+
+def _record(kind: str, record_id: Column, date: str, block: Column, *more: Column) -> Column:
     """Text of a record without its last line end, which the writer adds."""
+    uri = _uri(F.col("url"))
     head = F.concat_ws(
         CRLF,
-        F.lit(VERSION), F.lit(f"WARC-Type: {kind}"), F.concat(F.lit("WARC-Record-ID: "), record_id), F.lit(f"WARC-Date: {_DATE}"),
-        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ")), *more,
+        F.lit(VERSION), F.lit(f"WARC-Type: {kind}"), F.concat(F.lit("WARC-Record-ID: "), record_id), F.lit(f"WARC-Date: {date}"),
+        F.concat(F.lit("WARC-Target-URI: "), uri, F.when(uri.endswith(VERSION), " ").otherwise("")), *more,
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     )
     return F.concat(head, F.lit(CRLF * 2), block, F.lit(CRLF))
 
 
-def archived(pages: DataFrame) -> DataFrame:
+def archived(pages: DataFrame, date: str) -> DataFrame:
     """pages(page_id, payload, url, refers_to) -> one row for each record, in the column value."""
     page = F.col("page_id")
     response = _id(page, "1")
     length = F.octet_length("payload").cast("string")
     digest = F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest"))
-    # a body that holds a version line is sent in chunks that part it between "WARC" and "/1.1"
+    # a body that holds the version, wherever a line end may follow it, is sent in chunks that part it between "WARC" and "/1.1"
     text = F.col("payload")
-    pieces = F.split(text, "(?<=WARC)(?=/1\\.1\r\n)")
+    pieces = F.split(text, "(?<=WARC)(?=/1\\.1)")
     chunk = lambda x: F.concat(F.lower(F.hex(F.octet_length(x).cast("long"))), F.lit(CRLF), x, F.lit(CRLF))
     chunked = F.concat(F.lit(f"{_HTTP}Transfer-Encoding: chunked{CRLF * 2}"), F.array_join(F.transform(pieces, chunk), ""), F.lit("0" + CRLF * 2))
     plain = F.concat(F.lit(f"{_HTTP}Content-Length: "), length, F.lit(CRLF * 2), text)
-    is_chunked = F.contains(text, F.lit(_SEPARATOR))
-    answer = F.when(is_chunked, chunked).otherwise(plain)
-    request = F.concat(F.lit("GET "), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " "), F.lit(f" HTTP/1.1{CRLF * 2}"))
+    answer = F.when(F.contains(text, F.lit(VERSION)), chunked).otherwise(plain)
+    request = F.concat(F.lit("GET "), _uri(F.col("url")), F.lit(f" HTTP/1.1{CRLF * 2}"))
     to = F.concat(F.lit("WARC-Concurrent-To: "), response)
     http = lambda kind: F.lit(f"Content-Type: application/http; msgtype={kind}")
-    whole = _record("response", response, page, answer, http("response"), digest)
+    whole = _record("response", response, date, answer, http("response"), digest)
     again = _record(
-        "revisit", response, page, F.lit(_HTTP + CRLF), http("response"), digest,
+        "revisit", response, date, F.lit(_HTTP + CRLF), http("response"), digest,
         F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
         F.concat(F.lit("WARC-Refers-To: "), _id(F.col("refers_to"), "1")),
     )
@@ -80,16 +89,16 @@ def archived(pages: DataFrame) -> DataFrame:
     return pages.select(
         F.explode(
             F.array(
-                _record("request", _id(page, "0"), page, request, http("request"), to),
+                _record("request", _id(page, "0"), date, request, http("request"), to),
                 F.when(F.col("refers_to").isNull(), whole).otherwise(again),
-                _record("metadata", _id(page, "2"), page, about, F.lit("Content-Type: application/warc-fields"), to),
+                _record("metadata", _id(page, "2"), date, about, F.lit("Content-Type: application/warc-fields"), to),
             )
         ).alias("value")
     )
 
 
-def write_warc(pages: DataFrame, path: str, least_revisit: int = LEAST_REVISIT) -> None:
-    """Archives of pages(page_id, url, html) under path, compressed.
+def write_warc(pages: DataFrame, path: str, least_revisit: int = LEAST_REVISIT, date: str = "2024-01-01T00:00:00Z") -> None:
+    """Archives of pages(page_id, url, html) under path, compressed; pages have no date of capture, so all records get this one.
 
     Of equal payloads of at least least_revisit bytes, that of the smallest page_id is a response and the others revisit it.
     A null html is an empty payload, a null url an empty URI. page_id must not be null (such rows are left out); rows that share one are
@@ -101,14 +110,35 @@ def write_warc(pages: DataFrame, path: str, least_revisit: int = LEAST_REVISIT)
     first = big.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
     refers = skew_join(big, first, "digest").where("page_id <> first").select(F.col("page_id").alias("_p"), F.col("first").alias("refers_to")).distinct()
     marked = pages.join(refers, pages.page_id == refers["_p"], "left").drop("_p")
-    archived(marked).write.option("lineSep", CRLF).option("compression", "gzip").text(path)
+    archived(marked, date).write.option("lineSep", CRLF).option("compression", "gzip").text(path)
 
 
 def _field(head: Column, name: str) -> Column:
-    found = F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1)
+    found = F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*?)[ \t]*\r?$", 1)
     return F.when(found != "", found)
 
 
+def _dechunked(body: Column) -> Column:
+    """What a body in HTTP chunked coding holds, by the sizes that its chunks give; null if they don't fit."""
+    # no body has more chunks than lines that begin with a hexadecimal digit
+    steps = F.sequence(F.lit(1), F.greatest(F.regexp_count(body, F.lit(r"(?m)^[0-9A-Fa-f]")), F.lit(1)))
+    start = F.struct(body.cast("binary").alias("rest"), F.array().cast("array<binary>").alias("parts"), F.lit(False).alias("ended"))
+
+    def step(now: Column, _: Column) -> Column:
+        head = F.regexp_extract(now["rest"].cast("string"), r"^[0-9A-Fa-f]{1,7}[^\r\n]*\r\n", 0)
+        size = F.coalesce(F.conv(F.regexp_extract(head, "^[0-9A-Fa-f]+", 0), 16, 10).cast("int"), F.lit(0))
+        at = F.octet_length(head)
+        more = F.struct(
+            F.substring(now["rest"], at + size + 3, F.octet_length(now["rest"])).alias("rest"),
+            F.concat(now["parts"], F.array(F.substring(now["rest"], at + 1, size))).alias("parts"), (size == 0).alias("ended"),
+        )
+        return F.when(now["ended"] | (head == ""), now).otherwise(more)
+
+    done = F.aggregate(steps, start, step)
+    joined = F.aggregate(done["parts"], F.lit("").cast("binary"), lambda a, b: F.concat(a, b)).cast("string")
+    return F.when(done["ended"], joined)
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record: warc_type, record_id, concurrent_to, refers_to, uri, date, content_type, payload_digest, block, payload, whole.
 
@@ -128,9 +158,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     )
     http = F.expr(r"substring(block, 1, instr(block, '\r\n\r\n'))")
     body = F.expr(r"substring(block, instr(block, '\r\n\r\n') + 4)")
-    # of chunks: the size lines go; the writer parts a body between "WARC" and "/1.1" only
-    chunks = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "^[0-9a-f]+\r\n", ""), "(?<=WARC)\r\n[0-9a-f]+\r\n(?=/1\\.1\r\n)", ""), "\r\n0\r\n\r\n$", "")
-    payload = F.when(F.col("warc_type") == "response", F.when(F.contains(http, F.lit("Transfer-Encoding: chunked")), chunks).otherwise(body))
+    chunked = http.rlike(r"(?im)^Transfer-Encoding:[ \t]*chunked[ \t]*\r?$")
+    payload = F.when(F.col("warc_type") == "response", F.when(chunked, _dechunked(body)).otherwise(body))
     return rows.select("*", payload.alias("payload"), (F.octet_length("block") == F.col("length")).alias("whole")).drop("length")
 
 
@@ -153,20 +182,23 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
+    """A row for each page; a record that isn't whole, or a capture without a response, is an error rather than a lost page."""
     path = new_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
-    records = read_warc(spark, path).where("whole")
+    records = read_warc(spark, path)
+    kind = F.when(F.coalesce(F.col("whole"), F.lit(False)), F.col("warc_type")).otherwise(F.raise_error(F.concat(F.lit("not whole: "), F.coalesce("record_id", F.lit("a record")))))
     # what the digest columns need of a record, so that payloads don't take part in the shuffle
     slim = records.select(
-        "warc_type", "record_id", "concurrent_to", "refers_to",
+        kind.alias("warc_type"), "record_id", "concurrent_to", "refers_to",
         F.when(F.col("warc_type") == "response", F.octet_length("payload")).otherwise(F.regexp_extract("block", r"payload-length: (\d+)", 1).try_cast("long")).alias("payload_bytes"),
         F.when(F.col("warc_type") == "response", F.sha2(F.col("payload").cast("binary"), 256)).otherwise(F.regexp_replace("payload_digest", "^sha256:", "")).alias("payload_digest"),
     )
-    return assemble(slim).where("response is not null").select(
+    got = F.when(F.col("response.warc_type").isNotNull(), F.col("response.warc_type")).otherwise(F.raise_error(F.concat(F.lit("no response: "), "capture_id")))
+    return assemble(slim).select(
         page_of(F.col("capture_id")).alias("page_id"),
         F.when(F.col("response.warc_type") == "response", F.col("response.payload_bytes")).otherwise(F.get("metadata", F.lit(0))["payload_bytes"]).cast("long").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"),
-        F.col("response.warc_type").alias("record_type"),
+        got.alias("record_type"),
         page_of(F.col("response.refers_to")).alias("refers_to"),
     )
 
