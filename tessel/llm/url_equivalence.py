@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import skew_join, table
 from .components import connected_components
 
 
@@ -127,9 +127,10 @@ def judge(pages: DataFrame, edges: DataFrame | None = None, rules: list[Rule] =
     spread = verdicts.groupBy("component").agg(
         F.when(F.max(F.col("verdict") == "allow"), "allow").when(F.max(F.col("verdict") == "block"), "block").alias("spread")
     )
-    aliases = verdicts.join(spread, "component").where("verdict is null and spread is not null").select(F.col("node").alias("_address"), "spread")
+    aliases = skew_join(verdicts, spread, "component").where("verdict is null and spread is not null").select(F.col("node").alias("_address"), "spread")
     open_rows = judged.where("own is null").withColumn("_address", address(F.col("url")))
-    reached = open_rows.join(aliases, "_address", "left").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.coalesce("spread", F.lit(default)).alias("verdict"))
+    nowhere = open_rows.where(F.col("_address").isNull()).withColumn("spread", F.lit(None).cast("string"))
+    reached = skew_join(open_rows.where(F.col("_address").isNotNull()), aliases, "_address", "left").unionByName(nowhere).select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.coalesce("spread", F.lit(default)).alias("verdict"))
     return judged.where("own is not null").select("page_id", "host", "path", "own.rule", "own.verdict").unionByName(reached)
 
 
@@ -159,16 +160,30 @@ OP4_SQL = f"""
 WITH RECURSIVE p AS (
   SELECT page_id, url, html, coalesce({_SQL_REST.format("url")}, '') AS rest, {_SQL_BARE.format("url")} AS bare FROM pages
 ), q AS (
-  SELECT page_id, html, {_SQL_HOST} AS host, {_SQL_PATH} AS path, {_SQL_ADDRESS.format("bare")} AS address FROM p
+  SELECT page_id, html, url, {_SQL_HOST} AS host, {_SQL_PATH} AS path, {_SQL_ADDRESS.format("bare")} AS address FROM p
 ), t AS (
-  SELECT address, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM q WHERE address IS NOT NULL
+  SELECT address, url, path, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM q WHERE address IS NOT NULL
 ), g AS (
-  SELECT address, CASE
+  SELECT address, url, path, CASE
     WHEN regexp_matches(tag, '(?is)^<link') AND regexp_matches(tag, '(?is)\\brel\\s*=\\s*["'']?canonical\\b') THEN regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)
     WHEN regexp_matches(tag, '(?is)^<meta') AND regexp_matches(tag, '(?is)\\bhttp-equiv\\s*=\\s*["'']?refresh\\b') THEN regexp_extract(tag, '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1)
   END AS target FROM t
+), r AS (
+  SELECT *, regexp_extract(target, '^([^?#]*)', 1) AS own, regexp_extract(target, '^[^?#]*(.*)$', 1) AS rest FROM g WHERE target IS NOT NULL
+), o AS (
+  SELECT *, string_split(CASE WHEN starts_with(own, '/') THEN own ELSE coalesce(nullif(regexp_extract(path, '(?s)^(.*/)', 1), ''), '/') || own END, '/') AS steps FROM r
+), w AS (
+  SELECT *, list_reduce(list_transform(steps, lambda s: [s]), lambda up, s: CASE WHEN s[1] = '.' THEN up WHEN s[1] = '..' THEN up[1:greatest(len(up) - 1, 1)] ELSE up || s END) AS kept FROM o
+), x AS (
+  SELECT address, CASE
+    WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.\\-]*://') THEN target
+    WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.\\-]*:') OR instr(url, '://') = 0 THEN NULL
+    WHEN starts_with(target, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || target
+    WHEN own <> '' THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || array_to_string(CASE WHEN steps[-1] IN ('.', '..') THEN kept || [''] ELSE kept END, '/') || rest
+    WHEN starts_with(rest, '?') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || path || rest
+  END AS target FROM w
 ), h AS (
-  SELECT address, {_SQL_BARE.format("target")} AS target FROM g WHERE instr(target, '://') > 0
+  SELECT address, {_SQL_BARE.format("target")} AS target FROM x WHERE target IS NOT NULL
 ), e AS (
   SELECT DISTINCT address AS u, {_SQL_ADDRESS.format("target")} AS v FROM h
 ), b AS (
