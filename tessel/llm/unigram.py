@@ -20,8 +20,8 @@ from .common import table
 
 SPACE = "▁"
 _UNKNOWN_PENALTY = 10.0
-#: Segments that a worker remembers.
-MOST = 300_000
+#: Segments that a worker remembers, and the characters of one at most, so that their bytes are bounded.
+MOST, LONGEST = 300_000, 64
 _LEAST = float("-inf")
 
 
@@ -132,53 +132,78 @@ class StreamingViterbi:
     def __init__(self, v: Vocabulary) -> None:
         self.v = v
         self.tail = ""  # the last longest - 1 characters, which pieces may still reach back into
-        self.best: dict[int, float] = {0: 0.0}
-        self.back: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.at = self.done = 0
+        # of the positions from done to at: the best score, the length of the last piece there, and its id or its character's bytes
+        self.best: list[float] = [0.0]
+        self.length: list[int] = [0]
+        self.ids: list[int | tuple[int, ...]] = [0]
         self.widest = 0  # the most positions that were ever waiting
 
     def feed(self, part: str) -> list[int]:
         v, out = self.v, []
         for start in range(0, len(part), 4 * v.longest):
             piece = part[start : start + 4 * v.longest]
-            old = len(self.tail)
-            text = self.tail + piece
-            for k, pieces in enumerate(_by_end(v, text), 1):
-                if k <= old:
-                    continue
-                self.at += 1
-                top, chosen = _LEAST, None
-                for length, score, i in pieces:
-                    s = self.best.get(self.at - length)
-                    if s is not None and s + score > top:
-                        top, chosen = s + score, (self.at - length, (i,) if i >= 0 else tuple(v.bytes_at + b for b in text[k - 1].encode("utf-8", "surrogatepass")))
-                self.best[self.at], self.back[self.at] = top, chosen
+            old, text, n = len(self.tail), self.tail + piece, len(piece)
+            base = self.at - self.done - old + 1  # where in the lists the end of text[0] stands
+            best, length, ids = self.best, self.length, self.ids
+            best += [_LEAST] * n
+            length += [0] * n
+            ids += [0] * n
+            if v.single.issuperset(piece):
+                for end, (size, score, i) in v.automaton.iter(text):
+                    if end >= old and (to := base + end) >= size:
+                        s = best[to - size] + score
+                        if s > best[to]:
+                            best[to], length[to], ids[to] = s, size, i
+            else:
+                for end, pieces in enumerate(_by_end(v, text)):
+                    to = base + end
+                    for size, score, i in pieces if end >= old else ():
+                        if to >= size and (s := best[to - size] + score) > best[to]:
+                            best[to], length[to] = s, size
+                            ids[to] = i if i >= 0 else tuple(v.bytes_at + b for b in text[end].encode("utf-8", "surrogatepass"))
+            self.at += n
             self.tail = text[-(v.longest - 1) :] if v.longest > 1 else ""
-            out += self._commit(range(max(self.done, self.at - v.longest + 1), self.at + 1))
+            if self.at - self.done >= v.longest:
+                out += self._commit(self.at - self.done - v.longest + 1)
         return out
 
-    def _commit(self, alive) -> list[int]:
-        paths = sorted(set(alive))
+    def _commit(self, first: int) -> list[int]:
+        """Gives out what the paths of all positions from first on, an index of the lists, have in common."""
+        length, last = self.length, len(self.best) - 1
+        paths = list(range(first, last + 1))
+        self.widest = max(self.widest, last)
         while len(paths) > 1:  # the furthest steps back until all stand at one boundary
-            p = self.back[paths.pop()][0]
+            p = paths.pop()
+            p -= length[p]
             if p not in paths:
                 paths.append(p)
                 paths.sort()
-        self.widest = max(self.widest, self.at - self.done)
-        boundary, out, p = paths[0], [], paths[0]
-        while p > self.done:
-            p, ids = self.back[p]
-            out.append(ids)
-        if boundary > self.done:
-            for q in range(self.done, boundary):
-                self.best.pop(q, None)
-                self.back.pop(q, None)
-            self.back.pop(boundary, None)
-            self.done = boundary
-        return [i for ids in reversed(out) for i in ids]
+        boundary = p = paths[0]
+        out: list[int] = []
+        while p > 0:
+            i = self.ids[p]
+            if isinstance(i, int):
+                out.append(i)
+            else:
+                out.extend(reversed(i))
+            p -= length[p]
+        if boundary:
+            self.done += boundary
+            del self.best[:boundary], length[:boundary], self.ids[:boundary]
+        out.reverse()
+        return out
 
     def finish(self) -> list[int]:
-        return self._commit([self.at])
+        """The ids of all that was fed; what follows is a text of its own, or starts where no piece reaches back."""
+        out = self._commit(len(self.best) - 1)
+        self.tail, self.best = "", [0.0]
+        return out
+
+    def skip(self, n: int) -> None:
+        """Goes on behind n characters that are known from elsewhere, from where no path is open to where none can be."""
+        self.at += n
+        self.done = self.at
 
 
 class Worker:
@@ -203,22 +228,27 @@ class Worker:
             r = known.get(seg)
             if r is None:
                 r = count_pieces(self.v, seg)
-                if len(known) < MOST:
+                if len(seg) <= LONGEST and len(known) < MOST:
                     known[seg] = r
             n += r[0]
             total += r[1]
         return n, total
 
     def encode(self, text: str) -> array:
-        """Ids; parts of the text between certain boundaries are encoded once and remembered."""
-        known, out = self.ids, []
+        """Ids, from one stream over the text.
+
+        At a boundary that every segmentation has, all paths of the stream have met: what lies between two of these is skipped if its
+        ids are remembered. The ids are those of the stream without that.
+        """
+        known, out, s = self.ids, [], StreamingViterbi(self.v)
         for seg in self.v.segments(text):
             r = known.get(seg)
             if r is None:
-                s = StreamingViterbi(self.v)
                 r = array("I", s.feed(seg) + s.finish()).tobytes()
-                if len(known) < MOST:
+                if len(seg) <= LONGEST and len(known) < MOST:
                     known[seg] = r
+            else:
+                s.skip(len(seg))
             out.append(r)
         ids = array("I")
         ids.frombytes(b"".join(out))
