@@ -7,8 +7,12 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: The most bytes of rows that a Python worker is sent at once, where the application sets no other bound. Texts differ much in length.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
 def prepared(spark: SparkSession) -> SparkSession:
-    """spark, with Python workers that find this package even when the driver was started in another folder.
+    """spark, with batches bounded in bytes and Python workers that find this package even when the driver was started in another folder.
 
     On a cluster the package is installed, or sent along with --py-files, and this changes nothing.
     """
@@ -17,4 +21,6 @@ def prepared(spark: SparkSession) -> SparkSession:
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if root not in paths:
         env["PYTHONPATH"] = ":".join([*paths, root])
+    if not spark.sparkContext.getConf().contains(BATCH_BYTES[0]):
+        spark.conf.set(*BATCH_BYTES)
     return spark
