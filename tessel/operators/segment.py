@@ -151,13 +151,15 @@ def packed_chunks(text: Column, size: int = 1500, overlap: int = 120) -> Column:
 
 
 def clause_chunks(found: DataFrame) -> DataFrame:
-    """Search chunks of clauses(doc_id, clause_ord, heading, text): each whole, and its parts where it is long or has parameters."""
+    """Search chunks of clauses(doc_id, clause_ord, heading, text): each as an excerpt, and excerpts of its parts where it is long or
+    has parameters. A part whose excerpt is that of the whole clause is left out."""
     text = T.compact(F.col("text"))
     base = found.withColumn("text", text).where(F.length("text") > 40)
     parts = F.when((F.length("text") > 1100) | F.col("text").rlike(X.ANCHOR), packed_chunks(F.col("text"), 1500, 140))
     rows = base.withColumn("parts", parts)
-    whole = rows.select("doc_id", "clause_ord", F.lit(0).alias("part"), "heading", "text")
-    pieces = rows.where(F.size("parts") > 1).select("doc_id", "clause_ord", "heading", F.col("text").alias("all"), F.posexplode("parts").alias("i", "text")).where(F.col("text") != F.col("all"))
+    whole = rows.select("doc_id", "clause_ord", F.lit(0).alias("part"), "heading", T.excerpt(F.col("text")).alias("text"))
+    pieces = rows.where(F.size("parts") > 1).select("doc_id", "clause_ord", "heading", T.excerpt(F.col("text")).alias("all"), F.posexplode("parts").alias("i", "text"))
+    pieces = pieces.withColumn("text", T.excerpt(F.col("text"))).where(F.col("text") != F.col("all"))
     pieces = pieces.select("doc_id", "clause_ord", (F.col("i") + 1).alias("part"), F.concat("heading", F.lit(" / parameter "), (F.col("i") + 1).cast("string")).alias("heading"), "text")
     return whole.unionByName(pieces)
 
