@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed as X
@@ -17,6 +17,12 @@ def let(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with more columns that are worked out once a row; filters above them are not pushed below with their expressions."""
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")
+    return df.select("*", made).select("*", "_once.*").drop("_once")
+
+
 def stripped(c: Column) -> Column:
     return F.regexp_replace(c, _ENDS, "")
 
@@ -41,8 +47,8 @@ def quote(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Lines as str.splitlines gives them: an end of line at the end makes no empty line."""
-    parts = F.split(c, X.LINE_BREAK)
-    return F.when(F.length(c) == 0, F.array().cast("array<string>")).otherwise(F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
+    whole = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return F.when(F.length(c) == 0, F.array().cast("array<string>")).otherwise(let(F.split(c, X.LINE_BREAK), whole))
 
 
 def clean_lines(c: Column) -> Column:
@@ -52,10 +58,15 @@ def clean_lines(c: Column) -> Column:
 
 def is_toc(line: Column) -> Column:
     """A line of a table of contents: leader dots before a page number, or mostly dots."""
-    x = stripped(line)
-    dots = F.length(x) - F.length(F.translate(x, ".…", ""))
-    rest = F.length(F.regexp_replace(x, r"(?U)[.…\s\d]", ""))
-    return (x != "") & (x.rlike(X.LEADER) | ((dots >= 8) & (rest < 40)))
+    def test(x: Column) -> Column:
+        rest = F.length(F.regexp_replace(x, r"(?U)[.…\s\d]", ""))
+        return (x != "") & (x.rlike(X.LEADER) | ((dots(x) >= 8) & (rest < 40)))
+
+    return F.when(dots(line) >= 5, let(stripped(line), test)).otherwise(line.isNull() & F.lit(None).cast("boolean"))  # fewer dots are none of either
+
+
+def dots(c: Column) -> Column:
+    return F.length(c) - F.length(F.translate(c, ".…", ""))
 
 
 def any_of(c: Column, words) -> Column:
@@ -64,10 +75,16 @@ def any_of(c: Column, words) -> Column:
 
 def requirement_numbers(c: Column) -> Column:
     """Distinct numbers with units, and numbers behind words of limits, of lines that aren't a table of contents; unsorted."""
-    text = F.array_join(F.filter(lines(c), lambda x: ~is_toc(x)), "\n")
-    technical = F.transform(F.regexp_extract_all(text, F.lit(X.TECHNICAL_NUMBER), 0), stripped)
-    limits = F.transform(F.regexp_extract_all(text, F.lit(X.BARE_LIMIT), 0), lambda m: stripped(F.regexp_extract(m, X.NUMBER, 0)))
-    return F.filter(F.array_union(technical, limits), lambda v: F.length(v) > 1)
+    # a text with few dots has no such line, and one with line feeds only needs no other line ends brought together
+    as_is = (dots(c) < 5) & ~c.rlike(X.LINE_BREAK.replace("\n", ""))
+    text = F.when(as_is, c).otherwise(F.array_join(F.filter(lines(c), lambda x: ~is_toc(x)), "\n"))
+
+    def numbers(t: Column) -> Column:
+        technical = F.transform(F.regexp_extract_all(t, F.lit(X.TECHNICAL_NUMBER), 0), stripped)
+        limits = F.transform(F.regexp_extract_all(t, F.lit(X.BARE_LIMIT), 0), lambda m: stripped(F.regexp_extract(m, X.NUMBER, 0)))
+        return F.filter(F.array_union(technical, limits), lambda v: F.length(v) > 1)
+
+    return F.when(c.rlike("[0-9]") | c.rlike(r"(?U)\d"), let(text, numbers)).when(c.isNotNull(), F.array().cast("array<string>"))
 
 
 def references(c: Column) -> Column:
@@ -78,7 +95,7 @@ def references(c: Column) -> Column:
 def answer_numbers(c: Column) -> Column:
     """Distinct quantities in the order of the three patterns."""
     found = [F.transform(F.regexp_extract_all(c, F.lit(p), 0), stripped) for p in X.ANSWER_NUMBERS]
-    return F.array_distinct(F.concat(*found))
+    return F.when(c.rlike(r"(?U)\d"), F.array_distinct(F.concat(*found))).when(c.isNotNull(), F.array().cast("array<string>"))
 
 
 def regulation_codes(c: Column) -> Column:

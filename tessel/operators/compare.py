@@ -46,9 +46,9 @@ def character_counts(c: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.length(c) - F.length(F.replace(c, k, F.lit("")))))
 
 
-def character_bound(a: Column, b: Column) -> Column:
-    """The ratio is at most this, by the characters that both have."""
-    ca, cb = character_counts(a), character_counts(b)
+def character_bound(a: Column, b: Column, counts_a: Column | None = None, counts_b: Column | None = None) -> Column:
+    """The ratio is at most this, by the characters that both have; their counts may have been made before."""
+    ca, cb = character_counts(a) if counts_a is None else counts_a, character_counts(b) if counts_b is None else counts_b
     shared = F.aggregate(F.map_values(F.map_zip_with(ca, cb, lambda _, x, y: F.least(F.coalesce(x, F.lit(0)), F.coalesce(y, F.lit(0))))), F.lit(0), lambda s, x: s + x)
     total = F.length(a) + F.length(b)
     return F.when(total == 0, 1.0).otherwise(2.0 * shared / total)
@@ -79,11 +79,12 @@ def scored_pairs(pairs: DataFrame, found: DataFrame, floor: float = X.MATCH_FLOO
     The bounds by length and by characters lose nothing and go before the exact ratio, which runs in Python.
     """
     key = found.select("doc_id", "clause_ord", match_key(F.col("heading"), F.col("text")).alias("key"))
-    left = key.select(F.col("doc_id").alias("l_doc"), F.col("clause_ord").alias("l_ord"), F.col("key").alias("l_key"))
-    right = key.select(F.col("doc_id").alias("r_doc"), F.col("clause_ord").alias("r_ord"), F.col("key").alias("r_key"))
+    key = key.select("doc_id", "clause_ord", "key", F.explode(F.array(character_counts(F.col("key")))).alias("counts"))  # once for each clause, not for each pair
+    left = key.select(F.col("doc_id").alias("l_doc"), F.col("clause_ord").alias("l_ord"), F.col("key").alias("l_key"), F.col("counts").alias("l_counts"))
+    right = key.select(F.col("doc_id").alias("r_doc"), F.col("clause_ord").alias("r_ord"), F.col("key").alias("r_key"), F.col("counts").alias("r_counts"))
     both = pairs.select("l_doc", "r_doc").join(left, "l_doc").join(right, "r_doc")
-    near = both.where(length_bound(F.col("l_key"), F.col("r_key")) >= floor).where(character_bound(F.col("l_key"), F.col("r_key")) >= floor)
-    rows = near.repartition("l_doc", "r_doc", "l_ord").sortWithinPartitions("l_doc", "r_doc", "l_ord", "r_ord")
+    near = both.where(length_bound(F.col("l_key"), F.col("r_key")) >= floor).where(character_bound(F.col("l_key"), F.col("r_key"), F.col("l_counts"), F.col("r_counts")) >= floor)
+    rows = near.drop("l_counts", "r_counts").repartition("l_doc", "r_doc", "l_ord").sortWithinPartitions("l_doc", "r_doc", "l_ord", "r_ord")
     return rows.withColumn("score", ratio("l_key", "r_key")).where(F.col("score") >= floor).select("l_doc", "r_doc", "l_ord", "r_ord", "score")
 
 
@@ -197,20 +198,31 @@ def filtered(results: DataFrame, view: str) -> DataFrame:
     return results.where(tests[view])
 
 
+_HITS = "array<struct<label:string,value:string,unit:string,context:string,low:string,start:string>>"
+
+
 def parameter_hits(found: DataFrame, *keys: str) -> DataFrame:
-    """(keys, hit_ord, label, value, unit, context) of clauses(keys, text): the first eight distinct quantities of each."""
-    rows = found.select(*keys, F.posexplode(T.sentences(F.col("text"))).alias("s_ord", "sentence"))
-    values = F.regexp_extract_all("sentence", F.lit(X.PARAMETER_VALUE), 1)
-    units = F.regexp_extract_all("sentence", F.lit(X.PARAMETER_VALUE), 2)
-    rows = rows.select(*keys, "s_ord", "sentence", F.posexplode(F.arrays_zip(values.alias("v"), units.alias("u"))).alias("m_ord", "m"))
-    rows = rows.withColumn("unit", T.normalized_unit(F.col("m.u"))).where("unit <> ''")
-    rows = rows.select(
-        *keys, "s_ord", "m_ord", T.label_of(F.col("sentence"), F.col("unit")).alias("label"), F.concat_ws(" ", T.compact(F.col("m.v")), "unit").alias("value"), "unit", T.excerpt(F.col("sentence"), 260).alias("context"), F.lower(F.substring("sentence", 1, 80)).alias("_s")
-    )
-    first = Window.partitionBy(*keys, "label", F.lower("value"), "_s").orderBy("s_ord", "m_ord")
-    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    rows = rows.withColumn("hit_ord", F.row_number().over(Window.partitionBy(*keys).orderBy("s_ord", "m_ord"))).where(F.col("hit_ord") <= X.HITS_PER_CLAUSE)
-    return rows.select(*keys, "hit_ord", "label", "value", "unit", "context")
+    """(keys, hit_ord, label, value, unit, context) of clauses(keys, text): the first eight distinct quantities of each.
+
+    A clause is worked on in its own row, so nothing is shuffled.
+    """
+
+    def hits_of(sentence: Column) -> Column:
+        def hit(m: Column) -> Column:
+            unit = T.normalized_unit(F.regexp_extract(m, X.PARAMETER_VALUE, 2))
+            value = F.concat_ws(" ", T.compact(F.regexp_extract(m, X.PARAMETER_VALUE, 1)), unit)
+            return F.struct(T.label_of(sentence, unit).alias("label"), value.alias("value"), unit.alias("unit"), T.excerpt(sentence, 260).alias("context"), F.lower(value).alias("low"), F.lower(F.substring(sentence, 1, 80)).alias("start"))
+
+        return F.filter(F.transform(F.regexp_extract_all(sentence, F.lit(X.PARAMETER_VALUE), 0), hit), lambda h: h["unit"] != "")
+
+    def first_of(kept: Column, hit: Column) -> Column:
+        known = F.exists(kept, lambda k: (k["label"] == hit["label"]) & (k["low"] == hit["low"]) & (k["start"] == hit["start"]))
+        return F.when((F.size(kept) >= X.HITS_PER_CLAUSE) | known, kept).otherwise(F.concat(kept, F.array(hit)))
+
+    # sentences without a digit have no quantity
+    telling = F.filter(T.sentences(F.col("text")), lambda s: s.rlike("[0-9]"))
+    hits = F.aggregate(F.flatten(F.transform(telling, hits_of)), F.array().cast(_HITS), first_of)
+    return found.select(*keys, F.posexplode(hits).alias("n", "h")).select(*keys, (F.col("n") + 1).alias("hit_ord"), "h.label", "h.value", "h.unit", "h.context")
 
 
 def parameter_matrix(results: DataFrame, *by: str, limit: int = X.MATRIX_ROWS) -> DataFrame:
