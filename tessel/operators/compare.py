@@ -129,7 +129,7 @@ def classified(results: DataFrame) -> DataFrame:
     rules = [
         (F.col("left").isNull() & F.col("right").isNotNull(), "新增要求", "中", F.lit("右侧文档包含左侧未匹配到的条款。")),
         (F.col("right").isNull() & F.col("left").isNotNull(), "删除要求", "中", F.lit("左侧文档中的条款在右侧未匹配到。")),
-        (F.col("left").isNull(), "无法判断", "高", F.lit("缺少可比较文本。")),
+        (F.col("left").isNull(), X.NO_VERDICT, "高", F.lit("缺少可比较文本。")),
         (F.col("_ln") == F.col("_rn"), "无实质变化", "低", F.lit("两个条款文本一致或高度一致。")),
         (score < 0.5, "疑似无对应条款", "中", F.lit("两个片段匹配度较低，暂不判定为实质数值变化。")),
         ((F.size("_lv") > 0) & (F.size("_rv") > 0) & (F.col("_lv") != F.col("_rv")), "阈值/数值变化", "高", numbers),
@@ -162,15 +162,28 @@ def ordered(results: DataFrame, *by: str) -> DataFrame:
     return results.withColumn("result_ord", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
-def conclusion(results: DataFrame, *by: str) -> DataFrame:
-    """One row for each group: counts of types and risks, headline, caveats and the first six findings of substance."""
+def conclusion(results: DataFrame, *by: str, top: int = 0) -> DataFrame:
+    """One row for each group of ordered results: counts of types and risks, headline, caveats and the first six findings of substance.
+
+    top: how many of the first results come along as top_results. Types of substance rank before all others, so the first six of
+    them are among the first six results, and no group is collected beyond these.
+    """
     kind = F.col("change_type")
-    base = results.groupBy(*by).agg(
+    score = F.round("score", 3).alias("score")
+    finding = F.struct("result_ord", "change_type", "risk", score, F.coalesce("left.heading", "right.heading", F.lit("未命名条款")).alias("heading"), "summary")
+    result = F.struct("result_ord", "change_type", "risk", score, F.coalesce("left.heading", F.lit("")).alias("left_heading"), F.coalesce("right.heading", F.lit("")).alias("right_heading"), "summary")
+
+    def counted(c: str, values) -> Column:
+        names = sorted(values)
+        found = F.map_from_arrays(F.array(*[F.lit(v) for v in names]), F.array(*[F.count_if(F.col(c) == v) for v in names]))
+        return F.map_filter(found, lambda _, n: n > 0).alias(c + "_counts")
+
+    out = results.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(kind.isin(*X.SUBSTANTIVE)).alias("substantive"), F.count_if(kind == "新增要求").alias("additions"), F.count_if(kind == "删除要求").alias("deletions"),
-        F.count_if(kind == "疑似无对应条款").alias("low_confidence"),
-        F.slice(F.array_sort(F.collect_list(F.when(kind.isin(*X.SUBSTANTIVE), F.struct("result_ord", "change_type", "risk", F.round("score", 3).alias("score"), F.coalesce("left.heading", "right.heading", F.lit("未命名条款")).alias("heading"), "summary")))), 1, 6).alias("key_findings"),
+        F.count_if(kind == "疑似无对应条款").alias("low_confidence"), counted("change_type", [*X.TYPE_RANK, X.NO_VERDICT]), counted("risk", X.RISK_RANK),
+        F.array_sort(F.collect_list(F.when(kind.isin(*X.SUBSTANTIVE) & (F.col("result_ord") <= 6), finding))).alias("key_findings"),
+        *([F.array_sort(F.collect_list(F.when(F.col("result_ord") <= top, result))).alias("top_results")] if top else []),
     )
-    counted = lambda c: results.groupBy(*by, c).count().groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "count")))).alias(c + "_counts"))
     n = lambda c: F.col(c).cast("string")
     headline = (
         F.when(F.col("substantive") > 0, F.concat(F.lit("初步结论：两份文档存在 "), n("substantive"), F.lit(" 条可能影响工程判断的实质差异。")))
@@ -185,7 +198,6 @@ def conclusion(results: DataFrame, *by: str) -> DataFrame:
         ),
         lambda x: x.isNotNull(),
     )
-    out = base.join(counted("change_type"), list(by)).join(counted("risk"), list(by))
     return out.withColumns({"headline": headline, "caveats": caveats, "low_confidence_ratio": F.round(F.col("low_confidence") / F.greatest(F.col("total"), F.lit(1)), 3)})
 
 

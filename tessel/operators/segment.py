@@ -45,6 +45,27 @@ def merge_pages(original: DataFrame, ocr: DataFrame, low: int = X.OCR_LOW_CHARS)
     )
 
 
+def chosen_pages(original: DataFrame, ocr: DataFrame, low: int = X.OCR_LOW_CHARS) -> DataFrame:
+    """The better of two extractions of each document, both pages(doc_id, page, text, text_source).
+
+    Texts read by OCR count where the original wants OCR and they have more characters in all; they are then merged page by page.
+    A document that has no original pages takes those of OCR.
+    """
+    chars = F.length(F.coalesce(T.stripped(F.col("text")), F.lit("")))
+    before = extraction_summary(original, low).select("doc_id", "wants_ocr", "total_text_chars")
+    after = ocr.groupBy("doc_id").agg(F.sum(chars).alias("_ocr_chars"))
+    verdict = before.join(after, "doc_id", "right").select("doc_id", F.col("wants_ocr").isNull().alias("_alone"), (F.col("wants_ocr") & (F.col("_ocr_chars") > F.col("total_text_chars"))).alias("_better"))
+    read = ocr.join(verdict, "doc_id")
+    merged = merge_pages(original, read.where("_better"), low)
+    return merged.unionByName(read.where("_alone").select("doc_id", "page", "text", "text_source"))
+
+
+def readable(pages: DataFrame) -> DataFrame:
+    """Pages of the documents that have any text at all; the others go as a whole."""
+    filled = pages.where(T.stripped(F.col("text")) != "").select("doc_id").distinct()
+    return pages.join(filled, "doc_id", "left_semi")
+
+
 def amendment_documents(pages: DataFrame) -> DataFrame:
     """(doc_id, amendment): whether one of the first two pages says so."""
     says = F.contains("text", F.lit("Amendment")) & (F.contains("text", F.lit("UN Regulation No. 13")) | F.contains("text", F.lit("Addendum 12")))
@@ -196,3 +217,42 @@ def markup_blocks(docs: DataFrame, tags=X.XML_TAGS, heading: str = X.XML_HEADING
         F.max(F.when(F.col("is_heading"), F.substring("text", 1, 180))).alias("heading"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_ord", "text"))), lambda r: r["text"]), " ").alias("text")
     )
     return out.where(F.length("text") >= 80).withColumn("heading", F.coalesce("heading", F.lit("XML text")))
+
+
+def markup_text(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): all text of markup, without its tags."""
+    return docs.withColumn("text", T.compact(F.regexp_replace("text", r"<[^>]+>", " ")))
+
+
+def markup_chunks(docs: DataFrame, tags=X.XML_TAGS, heading: str = X.XML_HEADING) -> DataFrame:
+    """(doc_id, chunk_ord from 0, heading, page, text): excerpts of the packed parts of each block of docs(doc_id, code, text).
+
+    A document without any gives windows of its whole text, named by its code. Null texts give nothing.
+    """
+    kind = "array<struct<block:bigint,part:int,heading:string,text:string>>"
+    blocks = markup_blocks(docs.select("doc_id", "text"), tags, heading).withColumn("parts", packed_chunks(F.col("text"), *X.XML_CHUNK))
+    parts = blocks.select("doc_id", "block", "heading", F.size("parts").alias("n"), F.posexplode("parts").alias("part", "text"))
+    name = F.when(F.col("n") > 1, F.concat("heading", F.lit(" / part "), (F.col("part") + 1).cast("string"))).otherwise(F.col("heading"))
+    held = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block", "part", name.alias("heading"), T.excerpt(F.col("text")).alias("text")))).cast(kind).alias("_parts"))
+    numbered = lambda w, i: F.struct(F.lit(0).alias("block"), i.alias("part"), F.concat("code", F.lit(" chunk "), (i + 1).cast("string")).alias("heading"), T.excerpt(w).alias("text"))
+    whole = F.transform(windows(F.col("_text")), numbered).cast(kind)
+    rest = markup_text(docs).withColumnRenamed("text", "_text").select("doc_id", "code", "_text")
+    out = rest.join(held, "doc_id", "left").select("doc_id", F.posexplode(F.coalesce("_parts", whole)).alias("chunk_ord", "c"))
+    return out.select("doc_id", "chunk_ord", "c.heading", F.lit(X.XML_PAGE).alias("page"), "c.text")
+
+
+def search_chunks(entries: DataFrame, pages: DataFrame, markup: DataFrame) -> DataFrame:
+    """Search chunks of PDF and markup entries alike: (doc_id, code, title, domain, region, path, chunk_ord, heading, page, text, extract_method, text_coverage).
+
+    entries(doc_id, code, title, domain, region, path) are read from pages(doc_id, page, text, text_source) where the path ends in
+    .pdf, else from markup(doc_id, text). The last two columns tell how a PDF's text was had, and are null for markup.
+    """
+    pdf = F.lower("path").endswith(".pdf")
+    mine = pages.join(entries.where(pdf).select("doc_id"), "doc_id", "left_semi")
+    found = clauses(mine)
+    places = found.select("doc_id", "clause_ord", F.concat_ws("-", "start_page", "end_page").alias("page"))
+    by_clause = clause_chunks(found).join(places, ["doc_id", "clause_ord"])
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("clause_ord", "part")) - 1
+    by_clause = by_clause.select("doc_id", order.alias("chunk_ord"), "heading", "page", "text").join(extraction_summary(mine).select("doc_id", "extract_method", "text_coverage"), "doc_id")
+    by_block = markup_chunks(markup.join(entries.where(~pdf).select("doc_id", "code"), "doc_id"))
+    return entries.select("doc_id", "code", "title", "domain", "region", "path").join(by_clause.unionByName(by_block, allowMissingColumns=True), "doc_id")

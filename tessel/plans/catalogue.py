@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import text as T
-from ..operators import compare, retrieve, segment
+from ..operators import category, compare, retrieve, segment
 from ..sources import documents as D
 from ..sources import logs
 from . import derived as V
@@ -84,6 +84,34 @@ def document_summary(spark, d):
     return V.pages(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("text") == "").alias("empty_pages"), F.max(T.stripped(F.col("text")) != "").alias("has_text"))
 
 
+_BEFORE = "CASE WHEN doc_id % 4 = 1 THEN substr(text, 1, 10) WHEN doc_id % 4 = 2 AND page % 3 = 0 THEN '' ELSE text END"
+_AFTER = "CASE WHEN doc_id % 7 = 0 THEN substr(text, 1, 5) ELSE text END"
+
+
+@query(
+    f"""WITH {V.PAGES_SQL}, a AS (SELECT doc_id, page, {_BEFORE} AS text, length(trim({_BEFORE}, {WS})) AS n FROM pages_of WHERE doc_id % 4 <> 0),
+    b AS (SELECT doc_id, page, {_AFTER} AS text, length(trim({_AFTER}, {WS})) AS n FROM pages_of WHERE doc_id % 5 <> 0),
+    sa AS (SELECT doc_id, sum(n) AS total, count(*) FILTER (WHERE n < 40) AS low, count(*) AS pages FROM a GROUP BY doc_id), sb AS (SELECT doc_id, sum(n) AS total FROM b GROUP BY doc_id),
+    v AS (SELECT sa.doc_id, low > 0 AND (low / pages >= 0.2 OR sa.total / pages < 80) AND coalesce(sb.total > sa.total, false) AS better FROM sa LEFT JOIN sb USING (doc_id)),
+    m AS (SELECT a.doc_id, a.page, v.better AND coalesce(a.n < 40 AND b.n > a.n, false) AS take, a.text AS mine, b.text AS theirs FROM a JOIN v USING (doc_id) LEFT JOIN b ON a.doc_id = b.doc_id AND a.page = b.page)
+    SELECT doc_id, page::INT AS page, CASE WHEN take THEN 'ocr' ELSE 'pypdf' END AS text_source, CASE WHEN take THEN theirs ELSE mine END AS text FROM m
+    UNION ALL SELECT doc_id, page::INT, 'ocr', text FROM b WHERE doc_id NOT IN (SELECT doc_id FROM a)"""
+)
+def extraction_choice(spark, d):
+    pages = V.pages(spark, d)
+    before = pages.where("doc_id % 4 <> 0").withColumns({"text": F.expr(_BEFORE), "text_source": F.lit("pypdf")})
+    after = pages.where("doc_id % 5 <> 0").withColumns({"text": F.expr(_AFTER), "text_source": F.lit("ocr")})
+    return segment.chosen_pages(before, after).select("doc_id", F.col("page").cast("int").alias("page"), "text_source", "text")
+
+
+_BLANKED = "CASE WHEN doc_id % 3 = 0 OR page % 2 = 0 THEN ' ' ELSE text END"
+
+
+@query(f"WITH {V.PAGES_SQL}, b AS (SELECT doc_id, page, {_BLANKED} AS text FROM pages_of) SELECT doc_id, page::INT AS page, text FROM b WHERE doc_id IN (SELECT doc_id FROM b WHERE trim(text, {WS}) <> '')")
+def readable_documents(spark, d):
+    return segment.readable(V.pages(spark, d).withColumn("text", F.expr(_BLANKED))).select("doc_id", F.col("page").cast("int").alias("page"), "text")
+
+
 # Lines and segments
 
 _TOC = f"""(trim(line, {WS}) <> '' AND (regexp_matches(line, '[.…]{{5,}}\\s*[0-9]{{1,4}}\\s*$') OR
@@ -108,18 +136,40 @@ def segment_ids(spark, d):
     return segment.segment_ids(kept.withColumn("is_heading", (F.length(line) <= 220) & line.rlike(X.HEADING))).select("doc_id", "line_ord", "is_heading", "segment")
 
 
-@query()
+_COMPACT = "trim(regexp_replace({0}, '\\s+', ' ', 'g'), ' ')"
+
+
+def _paragraphs_sql(pages: str) -> str:
+    return f"""pb AS (SELECT doc_id, page, string_split(regexp_replace(regexp_replace(text, '\\n{{2,}}', chr(1), 'g'), '([。.!?])\\s+([A-Z0-9第])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS c FROM {pages}),
+    pp AS (SELECT doc_id, page, unnest(range(0, len(c))) AS part, string_split(trim(unnest(c), {WS}), chr(10)) AS l FROM pb),
+    pl AS (SELECT doc_id, page, part, unnest(range(0, len(l))) AS n, unnest(l) AS line FROM pp),
+    pt AS (SELECT doc_id, page, part, string_agg(line, chr(10) ORDER BY n) AS text FROM pl WHERE NOT {_TOC} GROUP BY doc_id, page, part),
+    pk AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, part) AS clause_ord, substr(string_split(text, chr(10))[1], 1, 90) AS heading, text, page AS start_page, page AS end_page FROM pt WHERE length(text) >= 20)"""
+
+
+_BODY = "CASE WHEN s.carry = '' THEN x.text ELSE s.carry || chr(10) || x.text END"
+_STATE = "{{'carry': {carry}, 'heading': x.heading, 'text': x.text, 'sp': x.sp, 'ep': x.ep, 'done': {done}}}"
+_CLAUSES_SQL = f"""{V.REGULATION_PAGES_SQL}, {_paragraphs_sql("regulation_pages")},
+  cl AS (SELECT doc_id, page, line_ord, trim(line, {WS}) AS line FROM numbered WHERE trim(line, {WS}) <> ''), ck AS (SELECT *, {_HEADING} AS is_heading FROM cl WHERE NOT {_TOC} AND NOT {_NOISE}),
+  cs AS (SELECT *, sum(is_heading::INT) OVER (PARTITION BY doc_id ORDER BY line_ord) AS segment FROM ck),
+  cg AS (SELECT doc_id, segment, max(line) FILTER (WHERE is_heading) AS heading, string_agg(line, chr(10) ORDER BY line_ord) AS text, CASE WHEN segment = 0 THEN 1 ELSE min(page) END AS sp, max(page) AS ep FROM cs GROUP BY doc_id, segment),
+  cn AS (SELECT *, [{{'heading': heading, 'text': text, 'start_page': sp, 'end_page': ep}}] AS own FROM cg),
+  ci AS (SELECT doc_id, list({{'carry': '', 'heading': heading, 'text': text, 'sp': sp, 'ep': ep, 'done': own[1:0]}} ORDER BY segment) AS l FROM cn GROUP BY doc_id),
+  cf AS (SELECT doc_id, list_reduce(l[1:1] || l, lambda s, x, i: CASE WHEN length(trim({_BODY}, {WS})) < 30 THEN {_STATE.format(carry=_BODY, done="s.done")}
+    ELSE {_STATE.format(carry="''", done="s.done || [{'heading': coalesce(x.heading, substr(string_split(" + _BODY + ", chr(10))[1], 1, 90)), 'text': " + _BODY + ", 'start_page': x.sp, 'end_page': x.ep}]")} END).done AS done FROM ci),
+  cm AS (SELECT doc_id, unnest(range(1, len(done) + 1)) AS clause_ord, unnest(done) AS c FROM cf WHERE len(done) >= 2),
+  clauses_of AS (SELECT doc_id, clause_ord, c.heading AS heading, c.text AS text, c.start_page AS start_page, c.end_page AS end_page FROM cm
+    UNION ALL SELECT * FROM pk WHERE doc_id NOT IN (SELECT doc_id FROM cm))"""
+
+
+@query(f"WITH {_CLAUSES_SQL} SELECT doc_id, clause_ord::INT AS clause_ord, 'C' || lpad(clause_ord::VARCHAR, 4, '0') AS id, heading, text, start_page::INT AS start_page, end_page::INT AS end_page FROM clauses_of")
 def clauses(spark, d):
     return segment.clauses(V.regulation_pages(spark, d))
 
 
 @query(
-    f"""WITH {V.PAGES_SQL}, b AS (SELECT doc_id, page, string_split(regexp_replace(regexp_replace(text, '\\n{{2,}}', chr(1), 'g'), '([。.!?])\\s+([A-Z0-9第])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS c FROM pages_of),
-    p AS (SELECT doc_id, page, unnest(range(0, len(c))) AS part, string_split(trim(unnest(c), {WS}), chr(10)) AS l FROM b),
-    l AS (SELECT doc_id, page, part, unnest(range(0, len(l))) AS n, unnest(l) AS line FROM p),
-    t AS (SELECT doc_id, page, part, string_agg(line, chr(10) ORDER BY n) AS text FROM l WHERE NOT {_TOC} GROUP BY doc_id, page, part),
-    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, part) AS clause_ord FROM t WHERE length(text) >= 20)
-    SELECT doc_id, clause_ord::INT AS clause_ord, 'C' || lpad(clause_ord::VARCHAR, 4, '0') AS id, substr(string_split(text, chr(10))[1], 1, 90) AS heading, text, page::INT AS start_page, page::INT AS end_page FROM k"""
+    f"""WITH {V.PAGES_SQL}, {_paragraphs_sql("pages_of")}
+    SELECT doc_id, clause_ord::INT AS clause_ord, 'C' || lpad(clause_ord::VARCHAR, 4, '0') AS id, heading, text, page::INT AS start_page, page::INT AS end_page FROM (SELECT *, start_page AS page FROM pk)"""
 )
 def paragraph_fallback(spark, d):
     return segment.paragraphs(V.pages(spark, d))
@@ -171,18 +221,66 @@ def markup_blocks(spark, d):
     return segment.markup_blocks(_pages_as_docs(spark, d), _TAGS, "^(The|De|Die|Le|El|La) ").select("doc_id", "block", "heading", "text")
 
 
-@query()
+def _windows_sql(t: str, size: int, overlap: int) -> str:
+    return f"list_filter(list_transform(range(1, greatest(length({t}), 1) + 1, {size - overlap}), lambda s: trim(substr({t}, s, {size}), {WS})), lambda w: length(w) > 80)"
+
+
+#: A boundary at the second character, as a pattern without a look-ahead.
+_CUT = r"(?i)^(?:[^\p{L}\p{N}_](?:(?:S\d+(?:\.\d+)*\.?|Annex\s+\d+[A-Z]?|Appendix\s+\d+|Table\s+[A-Z0-9IVXLC]+|P[123])\b|\d+(?:\.\d+){0,5}\.?\s+[A-Z][A-Za-z-]+)|.\([a-z0-9]+\)\s+)"
+
+
+def _packed_sql(source: str, size: int, overlap: int) -> str:
+    """packed: the rows of source with the chunks of their column t as parts."""
+    return f"""ka AS (SELECT *, [1] || list_filter(range(2, length(t) + 1), lambda i: regexp_matches(substr(t, i - 1, 200), '{_CUT}')) || [length(t) + 1] AS b FROM {source}),
+    kb AS (SELECT *, list_filter(list_transform(range(1, len(b)), lambda k: trim(substr(t, b[k], b[k + 1] - b[k]), {WS})), lambda x: x <> '') AS p FROM ka),
+    kc AS (SELECT *, list_reduce([{{'now': '', 'done': p[1:0]}}] || list_transform(p, lambda x: {{'now': x, 'done': p[1:0]}}), lambda s, x: CASE WHEN s.now = '' THEN {{'now': x.now, 'done': s.done}}
+      WHEN length(s.now) + length(x.now) + 1 <= {size} THEN {{'now': s.now || ' ' || x.now, 'done': s.done}} ELSE {{'now': x.now, 'done': CASE WHEN length(s.now) > 80 THEN s.done || [s.now] ELSE s.done END}} END) AS r FROM kb),
+    kd AS (SELECT *, CASE WHEN length(r.now) > 80 THEN r.done || [r.now] ELSE r.done END AS packs FROM kc),
+    packed AS (SELECT * EXCLUDE (b, r, packs, p), CASE WHEN length(t) <= {size} THEN CASE WHEN length(t) > 80 THEN [t] ELSE p[1:0] END WHEN len(p) <= 1 THEN {_windows_sql("t", size, overlap)}
+      ELSE flatten(list_transform(packs, lambda q: CASE WHEN length(q) > {size} THEN {_windows_sql("q", size, overlap)} ELSE [q] END)) END AS parts FROM kd)"""
+
+
+@query(f"WITH {V.REGULATION_PAGES_SQL}, src AS (SELECT doc_id, page, {_COMPACT.format('text')} AS t FROM regulation_pages), {_packed_sql('src', 600, 60)} SELECT doc_id, page, unnest(range(0, len(parts)))::INT AS part, unnest(parts) AS text FROM packed")
 def structured_chunks(spark, d):
     rows = V.regulation_pages(spark, d).select("doc_id", "page", F.posexplode(segment.packed_chunks(T.compact(F.col("text")), 600, 60)).alias("part", "text"))
     return rows
 
 
-@query()
+_EXCERPT = "CASE WHEN length({0}) > 1400 THEN substr({0}, 1, 1400) || '...' ELSE {0} END"
+_CLAUSE_CHUNKS_SQL = f"""{_CLAUSES_SQL}, base AS (SELECT * EXCLUDE (text), {_COMPACT.format("text")} AS t FROM clauses_of WHERE length({_COMPACT.format("text")}) > 40),
+  long AS (SELECT * FROM base WHERE length(t) > 1100 OR regexp_matches(t, '{X.ANCHOR.replace("(?iU)", "(?i)")}')), {_packed_sql("long", 1500, 140)},
+  pieces AS (SELECT doc_id, clause_ord, start_page, end_page, heading, t, unnest(range(1, len(parts) + 1)) AS part, unnest(parts) AS x FROM packed WHERE len(parts) > 1),
+  chunks_of AS (SELECT doc_id, clause_ord, 0 AS part, heading, start_page, end_page, {_EXCERPT.format("t")} AS text FROM base
+    UNION ALL SELECT doc_id, clause_ord, part, heading || ' / parameter ' || part, start_page, end_page, {_EXCERPT.format("x")} FROM pieces WHERE {_EXCERPT.format("x")} <> {_EXCERPT.format("t")})"""
+
+
+@query(f"WITH {_CLAUSE_CHUNKS_SQL} SELECT doc_id, clause_ord::INT AS clause_ord, part::INT AS part, heading, text FROM chunks_of")
 def clause_chunks(spark, d):
     return segment.clause_chunks(segment.clauses(V.regulation_pages(spark, d)))
 
 
-_COMPACT = "trim(regexp_replace({0}, '\\s+', ' ', 'g'), ' ')"
+_HEADS = "^(The|De|Die|Le|El|La) "
+
+
+@query(
+    f"""WITH {_MARKUP}, h AS (SELECT *, regexp_matches(text, '{_HEADS}') AS is_heading FROM r), n AS (SELECT *, sum(is_heading::INT) OVER (PARTITION BY doc_id ORDER BY p_ord) AS block FROM h),
+    src AS (SELECT doc_id, block, coalesce(max(CASE WHEN is_heading THEN substr(text, 1, 180) END), 'XML text') AS heading, string_agg(text, ' ' ORDER BY p_ord) AS t FROM n GROUP BY doc_id, block HAVING length(string_agg(text, ' ' ORDER BY p_ord)) >= 80),
+    {_packed_sql("src", *X.XML_CHUNK)}, u AS (SELECT doc_id, block, heading, len(parts) AS n, unnest(range(1, len(parts) + 1)) AS part, unnest(parts) AS x FROM packed),
+    f AS (SELECT page_id AS doc_id, {_PLAIN.format("html")} AS t FROM pages WHERE page_id NOT IN (SELECT doc_id FROM u)), w AS (SELECT doc_id, {_windows_sql("t", 1200, 160)} AS w FROM f),
+    e AS (SELECT doc_id, 0 AS block, 'P' || doc_id || ' chunk ' AS heading, unnest(range(1, len(w) + 1)) AS part, unnest(w) AS x FROM w),
+    g AS (SELECT doc_id, block, part, CASE WHEN n > 1 THEN heading || ' / part ' || part ELSE heading END AS heading, x FROM u UNION ALL SELECT doc_id, block, part, heading || part, x FROM e)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY block, part) - 1)::INT AS chunk_ord, heading, 'CFR XML' AS page, {_EXCERPT.format("x")} AS text FROM g"""
+)
+def markup_chunks(spark, d):
+    return segment.markup_chunks(_pages_as_docs(spark, d).withColumn("code", F.concat(F.lit("P"), F.col("doc_id").cast("string"))), _TAGS, _HEADS)
+
+
+@query()
+def search_chunk_dispatch(spark, d):
+    pages = V.regulation_pages(spark, d).withColumn("text_source", F.when(F.col("page") % 4 == 0, "ocr").otherwise("pypdf"))
+    return segment.search_chunks(category.comparable(V.regulation_entries(spark, d)), pages, V.regulation_markup(spark, d))
+
+
 _SENTENCES = f"list_filter(list_transform(string_split(regexp_replace({_COMPACT.format('text')}, '([。.!?;；])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, {WS})), lambda x: length(x) >= 20)"
 
 
@@ -379,6 +477,21 @@ def category_report(spark, d):
     return compare.conclusion(results, "l_doc", "r_doc").select("l_doc", "r_doc", "total", "substantive", "additions", "deletions", "low_confidence_ratio", "headline")
 
 
+def _evaluations(spark, d):
+    entries = category.comparable(V.regulation_entries(spark, d))
+    return category.category_comparisons(entries, category.category_clauses(entries, V.regulation_pages(spark, d), V.regulation_markup(spark, d)))
+
+
+@query()
+def category_batch(spark, d):
+    return _evaluations(spark, d)
+
+
+@query()
+def category_markdown(spark, d):
+    return category.report(_evaluations(spark, d))
+
+
 def _sql_numbers(c: str) -> str:
     return f"list_sort(list_distinct(list_filter(list_concat({_TECH}, {_LIMIT}), lambda x: length(x) > 1)))".replace("(text,", f"({c},")
 
@@ -579,6 +692,20 @@ def llm_context(spark, d):
     return retrieve.contexts(_found(spark, d).select("q_id", "rank", F.col("doc_id").cast("string").alias("code"), F.col("source").alias("heading"), F.lit("1").alias("page"), "text"))
 
 
+_QUOTED = lambda t: "'" + t.replace("'", "''") + "'"
+
+
+@query(
+    f"""WITH {_SEARCH}, x AS (SELECT r.q_id, rank, '[' || rank || '] ' || r.doc_id || ' | ' || d.source || ' | 1' || chr(10) || {_COMPACT.format('d.text')} AS b FROM r JOIN documents d ON r.doc_id = d.doc_id WHERE rank <= 8),
+    y AS (SELECT *, 12000 - coalesce(sum(length(b)) OVER (PARTITION BY q_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM x),
+    z AS (SELECT q_id, string_agg(CASE WHEN length(b) > room THEN substr(b, 1, greatest(0, room - 20)::BIGINT) || '...' ELSE b END, chr(10) || chr(10) ORDER BY rank) AS context FROM y WHERE room > 0 GROUP BY q_id)
+    SELECT q.q_id, {_QUOTED(X.SYSTEM_MESSAGE)} AS system, {_QUOTED(X.USER_MESSAGE[0])} || question || {_QUOTED(X.USER_MESSAGE[1])} || coalesce(context, '') AS user FROM q LEFT JOIN z ON q.q_id = z.q_id"""
+)
+def llm_messages(spark, d):
+    found = _found(spark, d).select("q_id", "rank", F.col("doc_id").cast("string").alias("code"), F.col("source").alias("heading"), F.lit("1").alias("page"), "text", F.lit(False).alias("fallback"))
+    return retrieve.messages(V.questions(spark, d), found)
+
+
 # Logs, archive, corpus
 
 

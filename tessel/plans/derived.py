@@ -25,7 +25,8 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", (F.col("p") + 1).alias("page"), F.array_join(F.slice("l", F.col("p") * 20 + 1, F.lit(20)), "\n").alias("text"))
 
 
-#: Lines of regulations, one document for each brand, in the order of the parts.
+#: Lines of regulations, in the order of the parts: a document for each brand in each 2,000 parts, so that documents grow in number.
+DOC_CASE = "concat(p_brand, '/', CAST(floor(p_partkey / 2000) AS INT))"
 LINE_CASE = """CASE p_partkey % 8
   WHEN 0 THEN concat('5.', p_size, ' ', p_name)
   WHEN 1 THEN concat(p_name, ' .......... ', p_size)
@@ -36,16 +37,20 @@ LINE_CASE = """CASE p_partkey % 8
   WHEN 6 THEN concat(p_name, '. . . . . . . . . ')
   ELSE concat('The test of the ', p_type, ' takes ', p_size, ' min at ', p_size + 20, ' km/h')
 END"""
-REGULATION_LINES_SQL = f"regulation AS (SELECT p_brand AS doc_id, p_partkey AS line_ord, {LINE_CASE} AS line FROM part)"
+REGULATION_LINES_SQL = f"regulation AS (SELECT {DOC_CASE} AS doc_id, p_partkey AS line_ord, {LINE_CASE} AS line FROM part)"
+#: Pages of them, 400 parts each.
+REGULATION_PAGES_SQL = REGULATION_LINES_SQL + """,
+numbered AS (SELECT *, CAST(floor(line_ord % 2000 / 400) AS INT) + 1 AS page FROM regulation),
+regulation_pages AS (SELECT doc_id, page, string_agg(line, chr(10) ORDER BY line_ord) AS text FROM numbered GROUP BY doc_id, page)"""
 
 
 def regulation_lines(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "part").select(F.col("p_brand").alias("doc_id"), F.lit(1).alias("page"), F.col("p_partkey").alias("line_ord"), F.expr(LINE_CASE).alias("line"))
+    return read(spark, d, "part").select(F.expr(DOC_CASE).alias("doc_id"), F.lit(1).alias("page"), F.col("p_partkey").alias("line_ord"), F.expr(LINE_CASE).alias("line"))
 
 
 def regulation_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of these lines, 40 on a page."""
-    rows = regulation_lines(spark, d).withColumn("page", F.floor(F.col("line_ord") / 400).cast("int") + 1)
+    """Documents of these lines, about 16 on a page."""
+    rows = regulation_lines(spark, d).withColumn("page", F.floor(F.col("line_ord") % 2000 / 400).cast("int") + 1)
     each = rows.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_ord", "line"))), lambda r: r["line"]), "\n").alias("text"))
     return each
 
@@ -98,3 +103,20 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """Documents as chunks, their sources as headings."""
     return read(spark, d, "documents").select("doc_id", F.lit(0).alias("chunk_ord"), F.col("source").alias("heading"), "text", F.concat_ws(" ", F.col("doc_id").cast("string"), "source").alias("code_text"))
+
+
+def regulation_entries(spark: SparkSession, d: str) -> DataFrame:
+    """A manifest of the regulations: brands of one maker are a domain. Some are markup, some have no file."""
+    doc = regulation_lines(spark, d).select("doc_id").distinct()
+    n = F.crc32("doc_id")
+    path = F.concat("doc_id", F.when(n % 7 == 0, ".txt").when(n % 3 == 0, ".XML").otherwise(".pdf"))
+    return doc.select(
+        "doc_id", F.col("doc_id").alias("ord"), F.concat(F.substring("doc_id", 1, 7), F.lit("/"), F.substring_index("doc_id", "/", -1)).alias("domain"), F.concat(F.lit("R"), (n % 4).cast("string")).alias("region"),
+        F.col("doc_id").alias("code"), F.concat(F.lit("Regulation "), "doc_id").alias("title"), F.when(n % 11 == 0, "missing").otherwise("copied").alias("status"), path.alias("path"),
+    )
+
+
+def regulation_markup(spark: SparkSession, d: str) -> DataFrame:
+    """The same documents as markup, a paragraph for each line."""
+    rows = regulation_lines(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_ord", "line"))).alias("l"))  # 80 lines of each
+    return rows.select("doc_id", F.concat(F.lit("<SECTION>"), F.array_join(F.transform("l", lambda r: F.concat(F.lit("<P>"), r["line"], F.lit("</P>"))), ""), F.lit("</SECTION>")).alias("text"))

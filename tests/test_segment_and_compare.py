@@ -183,3 +183,84 @@ def test_summaries_take_few_of_one_heading(spark):
     rows = [("d", i, "Same" if i < 7 else f"H{i}", "The scope of this shall be as it is written. " * 4) for i in range(12)]
     got = retrieve.summaries(spark.createDataFrame(rows, "doc_id string, chunk_ord int, heading string, text string"), 6).orderBy("rank").collect()
     assert len(got) == 6 and sum(r.chunk_ord < 7 for r in got) == 3
+
+
+def test_chosen_pages(spark):
+    page = lambda doc, n, text, source: (doc, n, text, source)
+    original = spark.createDataFrame([page("scan", 1, "", "pypdf"), page("scan", 2, "x" * 60, "pypdf"), page("worse", 1, "y" * 30, "pypdf"), page("good", 1, "z" * 900, "pypdf"), page("null", 1, None, "pypdf")], PAGES)
+    ocr = spark.createDataFrame([page("scan", 1, "read " * 20, "ocr"), page("scan", 2, "X" * 80, "ocr"), page("worse", 1, "y" * 30, "ocr"), page("good", 1, "z" * 950, "ocr"), page("broken", 1, "only here", "ocr")], PAGES)
+    got = {(r.doc_id, r.page): (r.text_source, (r.text or "")[:1]) for r in segment.chosen_pages(original, ocr).collect()}
+    assert got == {("scan", 1): ("ocr", "r"), ("scan", 2): ("pypdf", "x"), ("worse", 1): ("pypdf", "y"), ("good", 1): ("pypdf", "z"), ("null", 1): ("pypdf", ""), ("broken", 1): ("ocr", "o")}
+    assert segment.chosen_pages(original.limit(0), ocr.limit(0)).count() == 0
+
+
+def test_readable(spark):
+    rows = spark.createDataFrame([("a", 1, " \n"), ("a", 2, "word"), ("b", 1, "  "), ("c", 1, None)], "doc_id string, page int, text string")
+    assert {(r.doc_id, r.page) for r in segment.readable(rows).collect()} == {("a", 1), ("a", 2)}
+
+
+def test_markup_chunks(spark):
+    long = " ".join(f"S7.{i} {'requirement ' * 40}" for i in range(6)).strip()
+    docs = [
+        ("two", "C1", f"<R><P>S1. Scope</P><P>{'short block of text ' * 6}</P><P>S7. Tests</P><P>As follows: {long}</P></R>"),
+        ("bare", "C2", f"<R><P>S1. Scope</P><B>{'plain words ' * 12}</B></R>"),
+        ("none", "C3", "<R/>"), ("null", "C4", None),
+    ]
+    got = [tuple(r) for r in segment.markup_chunks(spark.createDataFrame(docs, "doc_id string, code string, text string")).orderBy("doc_id", "chunk_ord").collect()]
+    assert [g[:4] for g in got if g[0] == "bare"] == [("bare", 0, "C2 chunk 1", "CFR XML")]
+    two = [g for g in got if g[0] == "two"]
+    assert [g[2] for g in two] == ["S1. Scope", *[f"S7. Tests / part {i}" for i in range(1, len(two))]] and len(two) > 2
+    assert {g[0] for g in got} == {"two", "bare"} and all(len(g[4]) <= 1403 for g in got)
+
+
+def _manifest(spark):
+    rows = [("a", 1, "brakes", "eu", "R1", "a", "copied", "a.pdf"), ("b", 2, "brakes", "us", "R2", "b", "exists", "b.XML"), ("c", 3, "brakes", "us", "R3", "c", "missing", "c.pdf"), ("d", 4, "lights", "us", "R4", "d", "copied", "d.pdf"), ("e", 5, "brakes", "eu", "R5", "e", "copied", "e.txt")]
+    return spark.createDataFrame(rows, "doc_id string, ord int, domain string, region string, code string, title string, status string, path string")
+
+
+def _sources(spark):
+    body = "5.{0} Force\nThe brake shall hold a force of at least {1} kN on a slope for all vehicles.\n"
+    text = "".join(body.format(i, 10 + i) for i in range(1, 4))
+    markup = spark.createDataFrame([("b", "<R><P>" + "The brake shall hold a force of at least 99 kN on a slope for all vehicles and trailers. " * 2 + "</P></R>")], "doc_id string, text string")
+    return pages(spark, text, doc="a").unionByName(pages(spark, text, doc="d")), markup
+
+
+def test_search_chunks_of_both_kinds(spark):
+    from tessel.operators import category
+
+    found = segment.search_chunks(category.comparable(_manifest(spark)), *_sources(spark)).collect()
+    assert {(r.doc_id, r.page, r.extract_method, r.text_coverage) for r in found} == {("a", "1-1", "pypdf", 1.0), ("d", "1-1", "pypdf", 1.0), ("b", "CFR XML", None, None)}
+    assert sorted(r.chunk_ord for r in found if r.doc_id == "a") == [0, 1, 2]
+
+
+def test_category_comparison_and_report(spark, tmp_path):
+    import json
+
+    from tessel.operators import category
+
+    entries = category.comparable(_manifest(spark))
+    found = category.category_clauses(entries, *_sources(spark))
+    out = category.category_comparisons(entries, found)
+    row = out.collect()[0]
+    assert out.count() == 1 and (row.left, row.right, row.left_clauses, row.right_clauses) == ("R1", "R2", 3, 1)
+    # the plain way: each left clause takes the best right one that is free
+    texts = {d: [(r.heading, r.text) for r in found.where(F.col("doc_id") == d).orderBy("clause_ord").collect()] for d in "ab"}
+    key = lambda c: re.sub(r"\s+", " ", f"{c[0]}\n{c[1][:1200]}").strip().lower()
+    scores = [SequenceMatcher(None, key(texts["b"][0]), key(c), autojunk=False).ratio() for c in texts["a"]]
+    matched = any(s >= X.MATCH_FLOOR for s in scores)
+    assert row.result_count == (3 if matched else 4) == len(row.top_results) and sum(row.change_type_counts.values()) == row.result_count
+    assert [r.result_ord for r in row.top_results] == list(range(1, row.result_count + 1))
+    category.write_report(out, str(tmp_path / "r"))
+    category.write_report(out, str(tmp_path / "r"))
+    lines = [x for p in sorted((tmp_path / "r" / "markdown").glob("part-*")) for x in p.read_text().splitlines()]
+    assert [x for x in lines if x.startswith("#")] == [X.REPORT_TITLE, "## brakes", "### R1 vs R2"] and f"results: {row.result_count};" in "\n".join(lines)
+    assert [json.loads(x)["left"] for p in (tmp_path / "r" / "json").glob("part-*") for x in p.read_text().splitlines()] == ["R1"]
+    assert category.report(out).collect()[0].report.startswith("## brakes\n\n### R1 vs R2\n\n" + row.headline)
+
+
+def test_messages(spark):
+    questions = spark.createDataFrame([(1, "How wide?"), (2, "None?")], "q_id int, question string")
+    found = spark.createDataFrame([(1, 2, "GB 1", "h", "2", "second", True), (1, 1, "GB 1", "h", "1", "first  text", True)], "q_id int, rank int, code string, heading string, page string, text string, fallback boolean")
+    got = {r.q_id: r for r in retrieve.messages(questions, found).collect()}
+    assert got[1].user == "Question:\nHow wide?\n\nEvidence:\n[1] GB 1 | h | 1\nfirst text\n\n[2] GB 1 | h | 2\nsecond"
+    assert f"'{X.FALLBACK_PREFIX}'" in got[1].system and got[2].system == X.SYSTEM_MESSAGE and got[2].user.endswith("Evidence:\n")
