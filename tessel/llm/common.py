@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import new_path, settled, shared_dir  # noqa: F401  operators take them from here
+
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -21,38 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which every executor can read.
-
-    Only where one process does all the work (a local master, as in tests) and the session names no folder, a temporary one takes
-    its place. Anywhere else a folder of one machine would lose rows without a word, so there the setting is required.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = getattr(spark.sparkContext, "_own_shared_dir", None)
-        if not path:
-            path = spark.sparkContext._own_shared_dir = "file://" + tempfile.mkdtemp(prefix="spark-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once and read again from a table in the shared folder: its lineage ends there, and its size is known."""
-    path = new_path(df.sparkSession, "step")
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._settled_at = path
-    return out
-
-
 def forget(*frames: DataFrame) -> None:
     """Deletes the tables of settled frames that nothing reads any more."""
     for df in frames:
