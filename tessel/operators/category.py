@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..session import settled
+from ..sources import markup as xml
 from . import compare, segment
 
 
@@ -22,7 +23,8 @@ def category_clauses(entries: DataFrame, pages: DataFrame, markup: DataFrame) ->
     """
     pdf = F.lower("path").endswith(".pdf")
     mine = segment.clauses(pages.join(entries.where(pdf).select("doc_id"), "doc_id", "left_semi"))
-    texts = segment.markup_text(markup.join(entries.where(~pdf).select("doc_id", "code"), "doc_id"))
+    coded = entries.where(~pdf).select("doc_id", "code")
+    texts = xml.texts(markup.join(coded, "doc_id", "left_semi")).join(coded, "doc_id")
     cut = texts.select("doc_id", "code", F.posexplode(segment.windows(F.col("text"), *X.XML_COMPARED)).alias("n", "text")).withColumn("clause_ord", F.col("n") + 1)
     name = F.col("clause_ord").cast("string")
     zero = F.lit(0)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import text as T
+from ..sources import markup as xml
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
@@ -208,15 +211,20 @@ def markup_paragraphs(docs: DataFrame, tags=X.XML_TAGS) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.when(F.size(kept) > 0, kept).otherwise(whole)).alias("p_ord", "text"))
 
 
-def markup_blocks(docs: DataFrame, tags=X.XML_TAGS, heading: str = X.XML_HEADING) -> DataFrame:
-    """(doc_id, block, heading, text): paragraphs from each heading to the next; blocks of under 80 characters are dropped."""
-    rows = markup_paragraphs(docs, tags)
+def markup_blocks(docs: DataFrame, tags=X.XML_TAGS, heading: str = X.XML_HEADING, read: Callable[..., DataFrame] = markup_paragraphs) -> DataFrame:
+    """(doc_id, block, heading, text): paragraphs from each heading to the next; blocks of under 80 characters are dropped.
+
+    read gives the paragraphs: markup_paragraphs takes markup of any kind, sources.markup.paragraphs well-formed XML. The whole text
+    of XML without paragraphs is one block, however short.
+    """
+    rows = read(docs, tags)
+    whole = F.col("tag").isNull() if "tag" in rows.columns else F.lit(False)
     order = Window.partitionBy("doc_id").orderBy("p_ord").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("is_heading", F.col("text").rlike(heading)).withColumn("block", F.sum(F.col("is_heading").cast("int")).over(order))
+    rows = rows.withColumns({"whole": whole, "is_heading": F.col("text").rlike(heading) & ~whole}).withColumn("block", F.sum(F.col("is_heading").cast("int")).over(order))
     out = rows.groupBy("doc_id", "block").agg(
-        F.max(F.when(F.col("is_heading"), F.substring("text", 1, 180))).alias("heading"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_ord", "text"))), lambda r: r["text"]), " ").alias("text")
+        F.max(F.when(F.col("is_heading"), F.substring("text", 1, 180))).alias("heading"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_ord", "text"))), lambda r: r["text"]), " ").alias("text"), F.max("whole").alias("whole")
     )
-    return out.where(F.length("text") >= 80).withColumn("heading", F.coalesce("heading", F.lit("XML text")))
+    return out.where((F.length("text") >= 80) | F.col("whole")).drop("whole").withColumn("heading", F.coalesce("heading", F.lit("XML text")))
 
 
 def markup_text(docs: DataFrame) -> DataFrame:
@@ -224,19 +232,20 @@ def markup_text(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", T.compact(F.regexp_replace("text", r"<[^>]+>", " ")))
 
 
-def markup_chunks(docs: DataFrame, tags=X.XML_TAGS, heading: str = X.XML_HEADING) -> DataFrame:
+def markup_chunks(docs: DataFrame, tags=X.XML_TAGS, heading: str = X.XML_HEADING, read: Callable[..., DataFrame] = markup_paragraphs, texts: Callable[[DataFrame], DataFrame] = markup_text) -> DataFrame:
     """(doc_id, chunk_ord from 0, heading, page, text): excerpts of the packed parts of each block of docs(doc_id, code, text).
 
-    A document without any gives windows of its whole text, named by its code. Null texts give nothing.
+    A document without any gives windows of its whole text, named by its code. Null texts give nothing. read and texts give
+    paragraphs and whole texts, as in markup_blocks.
     """
     kind = "array<struct<block:bigint,part:int,heading:string,text:string>>"
-    blocks = markup_blocks(docs.select("doc_id", "text"), tags, heading).withColumn("parts", packed_chunks(F.col("text"), *X.XML_CHUNK))
+    blocks = markup_blocks(docs.select("doc_id", "text"), tags, heading, read).withColumn("parts", packed_chunks(F.col("text"), *X.XML_CHUNK))
     parts = blocks.select("doc_id", "block", "heading", F.size("parts").alias("n"), F.posexplode("parts").alias("part", "text"))
     name = F.when(F.col("n") > 1, F.concat("heading", F.lit(" / part "), (F.col("part") + 1).cast("string"))).otherwise(F.col("heading"))
     held = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block", "part", name.alias("heading"), T.excerpt(F.col("text")).alias("text")))).cast(kind).alias("_parts"))
     numbered = lambda w, i: F.struct(F.lit(0).alias("block"), i.alias("part"), F.concat("code", F.lit(" chunk "), (i + 1).cast("string")).alias("heading"), T.excerpt(w).alias("text"))
     whole = F.transform(windows(F.col("_text")), numbered).cast(kind)
-    rest = markup_text(docs).withColumnRenamed("text", "_text").select("doc_id", "code", "_text")
+    rest = docs.select("doc_id", "code").join(texts(docs).select("doc_id", F.col("text").alias("_text")), "doc_id")
     out = rest.join(held, "doc_id", "left").select("doc_id", F.posexplode(F.coalesce("_parts", whole)).alias("chunk_ord", "c"))
     return out.select("doc_id", "chunk_ord", "c.heading", F.lit(X.XML_PAGE).alias("page"), "c.text")
 
@@ -245,7 +254,8 @@ def search_chunks(entries: DataFrame, pages: DataFrame, markup: DataFrame) -> Da
     """Search chunks of PDF and markup entries alike: (doc_id, code, title, domain, region, path, chunk_ord, heading, page, text, extract_method, text_coverage).
 
     entries(doc_id, code, title, domain, region, path) are read from pages(doc_id, page, text, text_source) where the path ends in
-    .pdf, else from markup(doc_id, text). The last two columns tell how a PDF's text was had, and are null for markup.
+    .pdf, else from markup(doc_id, text), which has XML. The last two columns tell how a PDF's text was had, and are null for markup.
+    XML that isn't well formed gives no chunks (sources.markup.errors tells why), and no chunk is without a token to search for.
     """
     pdf = F.lower("path").endswith(".pdf")
     mine = pages.join(entries.where(pdf).select("doc_id"), "doc_id", "left_semi")
@@ -254,5 +264,6 @@ def search_chunks(entries: DataFrame, pages: DataFrame, markup: DataFrame) -> Da
     by_clause = clause_chunks(found).join(places, ["doc_id", "clause_ord"])
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("clause_ord", "part")) - 1
     by_clause = by_clause.select("doc_id", order.alias("chunk_ord"), "heading", "page", "text").join(extraction_summary(mine).select("doc_id", "extract_method", "text_coverage"), "doc_id")
-    by_block = markup_chunks(markup.join(entries.where(~pdf).select("doc_id", "code"), "doc_id"))
-    return entries.select("doc_id", "code", "title", "domain", "region", "path").join(by_clause.unionByName(by_block, allowMissingColumns=True), "doc_id")
+    by_block = markup_chunks(markup.join(entries.where(~pdf).select("doc_id", "code"), "doc_id"), read=xml.paragraphs, texts=xml.texts)
+    out = entries.select("doc_id", "code", "title", "domain", "region", "path").join(by_clause.unionByName(by_block, allowMissingColumns=True), "doc_id")
+    return out.where(F.size(T.tokens(F.concat_ws(" ", "text", "code", "title"))) > 0)

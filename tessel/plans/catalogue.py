@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import category, compare, retrieve, segment
 from ..sources import documents as D
 from ..sources import logs
+from ..sources import markup as xml
 from . import derived as V
 from .derived import read
 
@@ -275,6 +276,44 @@ def markup_chunks(spark, d):
     return segment.markup_chunks(_pages_as_docs(spark, d).withColumn("code", F.concat(F.lit("P"), F.col("doc_id").cast("string"))), _TAGS, _HEADS)
 
 
+_XML_ROWS = f"""{V.XML_LINES_SQL}, xml_rows AS (SELECT doc_id, p_ord, tag, {_COMPACT.format("line")} AS text FROM xml_elements WHERE doc_id % 11 <> 0 AND length({_COMPACT.format("line")}) >= 8)"""
+
+
+@query(
+    f"""WITH {_XML_ROWS}, said AS (SELECT doc_id, n, CASE n % 5 WHEN 2 THEN line || ' an entry of a table' WHEN 3 THEN line || ' (' || n || ') end' WHEN 4 THEN 'note ' || line || ' of ' || n ELSE line END AS line FROM xml_lines),
+    whole AS (SELECT doc_id, '§ ' || doc_id || '.5 9 ' || string_agg(line, ' ' ORDER BY n) AS text FROM said WHERE doc_id % 11 <> 0 AND doc_id NOT IN (SELECT doc_id FROM xml_rows) GROUP BY doc_id)
+    SELECT doc_id, p_ord::INT AS p_ord, tag, text FROM xml_rows UNION ALL SELECT doc_id, 0, NULL, {_COMPACT.format("text")} FROM whole"""
+)
+def xml_paragraphs(spark, d):
+    return xml.paragraphs(V.xml_documents(spark, d))
+
+
+@query(
+    f"""WITH {_XML_ROWS}, h AS (SELECT *, regexp_matches(text, '{_HEADS}') AS is_heading FROM xml_rows), b AS (SELECT *, sum(is_heading::INT) OVER (PARTITION BY doc_id ORDER BY p_ord) AS block FROM h),
+    g AS (SELECT doc_id, block::BIGINT AS block, max(CASE WHEN is_heading THEN substr(text, 1, 180) END) AS heading, string_agg(text, ' ' ORDER BY p_ord) AS text FROM b GROUP BY doc_id, block)
+    SELECT doc_id, block, coalesce(heading, 'XML text') AS heading, text FROM g WHERE length(text) >= 80"""
+)
+def xml_blocks(spark, d):
+    return segment.markup_blocks(V.xml_documents(spark, d), heading=_HEADS, read=xml.paragraphs).where(F.length("text") >= 80).select("doc_id", "block", "heading", "text")
+
+
+@query("SELECT doc_id, 0 AS section_ord, doc_id::VARCHAR || '.5' AS section, '<SECTION N=\"1 > 0\"><SECTNO>§ ' || doc_id || '.5 <b>9</b></SECTNO>' AS head, '</SECTION>' AS tail FROM documents WHERE doc_id % 11 <> 0")
+def xml_sections(spark, d):
+    return xml.sections(V.xml_documents(spark, d)).select("doc_id", "section_ord", "section", F.substring_index("text", "</SECTNO>", 1).alias("head"), F.substring("text", -10, 10).alias("tail")).withColumn("head", F.concat("head", F.lit("</SECTNO>")))
+
+
+@query(
+    """WITH k AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'XML' WHEN 2 THEN 'xml' ELSE 'txt' END AS kind, regexp_matches(coalesce(text, ''), '[^ \t\n\x0b\x0c\r]') AS filled FROM documents)
+    SELECT doc_id, CASE WHEN kind = 'txt' THEN 'format' WHEN doc_id % 13 = 0 THEN 'missing' WHEN kind = 'pdf' THEN 'empty' ELSE 'malformed' END AS reason
+    FROM k WHERE kind = 'txt' OR doc_id % 13 = 0 OR (kind = 'pdf' AND NOT filled) OR (kind <> 'pdf' AND doc_id % 11 = 0)"""
+)
+def bad_sources(spark, d):
+    entries = read(spark, d, "documents").select("doc_id", F.concat(F.lit("a.b/"), F.col("doc_id").cast("string"), F.expr("CASE doc_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.XML' WHEN 2 THEN '.xml' ELSE '.txt' END")).alias("path"))
+    here = F.col("doc_id") % 13 != 0
+    found = D.bad_sources(entries, V.pages(spark, d).where(here), V.xml_documents(spark, d).where(here))
+    return found.select("doc_id", F.substring_index("reason", ":", 1).alias("reason"))
+
+
 @query()
 def search_chunk_dispatch(spark, d):
     pages = V.regulation_pages(spark, d).withColumn("text_source", F.when(F.col("page") % 4 == 0, "ocr").otherwise("pypdf"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import markup as xml
 
 PAGES = "doc_id string, page int, text string, text_source string"
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -49,7 +50,7 @@ def docx_text(raw: bytes) -> str:
     out = []
     for p in root.iter(f"{_WORD}p"):
         text = "".join((e.text or "") if e.tag == f"{_WORD}t" else marks.get(e.tag, "") for e in p.iter())
-        if text.strip():
+        if text := text.strip():
             out.append(text)
     return "\n".join(out)
 
@@ -86,24 +87,40 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).select("path", format_of(F.col("path")).alias("kind"), "content")
     out = files.where("kind <> 'rejected'").mapInPandas(pages, PAGES)
-    return out.withColumn("text", F.when(F.col("text_source") == "pypdf", T.clean_lines(F.col("text"))).otherwise(F.col("text")))
+    return out.withColumn("text", F.when(F.col("text_source") == "docx", F.col("text")).otherwise(T.clean_lines(F.col("text"))))
 
 
-def read_markup(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, text): markup files as whole texts, for markup_paragraphs and markup_blocks."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
+def refused(files: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, reason) of files(doc_id, path) that can't be used: 'format' by their suffix, 'empty' without any text on pages(doc_id, text).
 
-
-def section(docs: DataFrame, number: str) -> DataFrame:
-    """(doc_id, section, text): the SECTION elements of docs(doc_id, text) whose number, in digits and dots, is this one."""
-    found = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?s)<SECTION>.*?</SECTION>"), 0)).alias("text"))
-    no = F.regexp_replace(F.regexp_extract("text", r"(?s)<SECTNO>(.*?)</SECTNO>", 1), r"[^0-9.]", "")
-    return found.withColumn("section", no).where(F.col("section") == number).select("doc_id", "section", "text")
+    A damaged file has no text. So one bad file doesn't stop the others, and none goes without a word.
+    """
+    filled = pages.where(T.stripped(F.col("text")) != "").select("doc_id").distinct()
+    bad = F.col("kind") == "rejected"
+    rows = files.select("doc_id", format_of(F.col("path")).alias("kind")).join(filled.withColumn("filled", F.lit(True)), "doc_id", "left")
+    return rows.where(bad | F.col("filled").isNull()).select("doc_id", F.when(bad, "format").otherwise("empty").alias("reason"))
+
+
+def bad_sources(entries: DataFrame, pages: DataFrame, markup: DataFrame) -> DataFrame:
+    """(doc_id, reason) of entries(doc_id, path) that give nothing to search: 'format' unless PDF or XML, 'missing' where nothing was read,
+    'empty' where all pages are blank or markup holds no text, 'malformed' with the parser's words for XML that isn't well formed."""
+    kind = F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1))
+    rows = entries.select("doc_id", kind.alias("kind"))
+    here = pages.groupBy("doc_id").agg(F.max(T.stripped(F.col("text")) != "").alias("filled"))
+    of_pages = rows.where("kind = 'pdf'").join(here, "doc_id", "left").where(~F.coalesce("filled", F.lit(False))).select("doc_id", F.when(F.col("filled").isNull(), "missing").otherwise("empty").alias("reason"))
+    read = xml.elements(markup.join(rows.where("kind = 'xml'").select("doc_id"), "doc_id", "left_semi"), ())
+    there = markup.select("doc_id", F.lit(True).alias("there")).distinct().join(read.groupBy("doc_id").agg(F.max("error").alias("error"), F.max(F.col("text").isNotNull()).alias("filled")), "doc_id", "left")
+    why = F.when(F.col("there").isNull(), "missing").when(F.col("error").isNotNull(), F.concat(F.lit("malformed: "), "error")).when(F.col("filled").isNull(), "empty")
+    of_markup = rows.where("kind = 'xml'").join(there, "doc_id", "left").select("doc_id", why.alias("reason")).where(F.col("reason").isNotNull())
+    others = rows.where(~F.col("kind").isin("pdf", "xml")).select("doc_id", F.lit("format").alias("reason"))
+    return of_pages.unionByName(of_markup).unionByName(others)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    schema = "domain string, region string, code string, title string, filename string, status string, path string, source_url string, bytes long, note string, local_source string"
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    """The entries of manifests; a file that isn't JSON gives none."""
+    schema = "domain string, region string, code string, title string, filename string, status string, path string, source_url string, bytes long, note string, local_source string, _broken string"
+    found = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
+    return found.where(F.col("_broken").isNull()).drop("_broken")
 
 
 def corpus_files(manifest: DataFrame, files: DataFrame) -> DataFrame:

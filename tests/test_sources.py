@@ -70,9 +70,3 @@ def test_corpus(spark):
     assert sorted(r.path for r in documents.corpus_files(manifest, files).collect()) == ["a/b.pdf", "c.XML"]
     one = files.select("path", F.lit("1").alias("size"), F.lit("2").alias("modified"))
     assert documents.fingerprint(one, "v1").first() == documents.fingerprint(one.orderBy(F.desc("path")), "v1").first() != documents.fingerprint(one, "v2").first()
-
-
-def test_section(spark):
-    xml = "<R><SECTION><SECTNO>§ 571.223</SECTNO><P>x</P></SECTION><SECTION><SECTNO>§ 571.224</SECTNO></SECTION></R>"
-    got = documents.section(spark.createDataFrame([("d", xml)], "doc_id string, text string"), "571.223").collect()
-    assert len(got) == 1 and "<P>x</P>" in got[0].text
