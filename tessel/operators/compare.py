@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import text as T
+from .assign import assigned, best_matches  # noqa: F401
 
 
 def match_key(heading: Column, text: Column) -> Column:
@@ -88,27 +89,9 @@ def scored_pairs(pairs: DataFrame, found: DataFrame, floor: float = X.MATCH_FLOO
     return rows.withColumn("score", ratio("l_key", "r_key")).where(F.col("score") >= floor).select("l_doc", "r_doc", "l_ord", "r_ord", "score")
 
 
-_MATCHES = "array<struct<l_ord:int,r_ord:int,score:double>>"
-
-
-def assigned(scored: DataFrame) -> DataFrame:
-    """One-to-one matches: each left clause in order takes the best right one that is still free, the first of equals."""
-    each = scored.groupBy("l_doc", "r_doc", "l_ord").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("worse"), F.col("r_ord").cast("int").alias("r_ord")))).alias("choices"))
-    pairs = each.groupBy("l_doc", "r_doc").agg(F.array_sort(F.collect_list(F.struct(F.col("l_ord").cast("int").alias("l_ord"), "choices"))).alias("lefts"))
-    state = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast(_MATCHES).alias("done"))
-
-    def step(s: Column, x: Column) -> Column:
-        best = F.get(F.filter(x["choices"], lambda c: ~F.array_contains(s["used"], c["r_ord"])), F.lit(0))
-        match = F.struct(x["l_ord"].alias("l_ord"), best["r_ord"].alias("r_ord"), (-best["worse"]).alias("score"))
-        return F.when(best.isNull(), s).otherwise(F.struct(F.concat(s["used"], F.array(best["r_ord"])).alias("used"), F.concat(s["done"], F.array(match)).alias("done")))
-
-    done = pairs.select("l_doc", "r_doc", F.aggregate("lefts", state, step)["done"].alias("done"))
-    return done.select("l_doc", "r_doc", F.explode("done").alias("m")).select("l_doc", "r_doc", "m.*")
-
-
 def matched(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """All results of each pair: matches, left clauses without one (score 0) and right clauses without one, as structs."""
-    links = assigned(scored_pairs(pairs, found))
+    links = best_matches(pairs, found.select("doc_id", "clause_ord", match_key(F.col("heading"), F.col("text")).alias("key")))
     clause = F.struct("clause_ord", "id", "heading", "text", "start_page", "end_page")
     left = pairs.select("l_doc", "r_doc").join(found.select(F.col("doc_id").alias("l_doc"), F.col("clause_ord").alias("l_ord"), clause.alias("left")), "l_doc")
     right = pairs.select("l_doc", "r_doc").join(found.select(F.col("doc_id").alias("r_doc"), F.col("clause_ord").alias("r_ord"), clause.alias("right")), "r_doc")

@@ -501,6 +501,24 @@ def pair_ratio(spark, d):
     return compare.scored_pairs(pairs, found)
 
 
+_SCORES = "(a.p_partkey * 7919 + b.p_partkey * 104729) % 97 % 20 / 20.0"
+
+
+@query(
+    f"""WITH RECURSIVE s AS (SELECT a.p_brand AS l_doc, a.p_brand || ' new' AS r_doc, a.p_partkey AS l_ord, b.p_partkey AS r_ord, ({_SCORES})::DOUBLE AS score FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size % 10 = b.p_size % 10 AND b.p_partkey % 3 > 0 AND ({_SCORES}) >= 0.32),
+    c AS (SELECT l_doc, r_doc, l_ord, list({{'r_ord': r_ord, 'score': score}} ORDER BY score DESC, r_ord) AS choices, row_number() OVER (PARTITION BY l_doc ORDER BY l_ord) AS n FROM s GROUP BY l_doc, r_doc, l_ord),
+    t AS (SELECT l_doc, r_doc, n, l_ord, choices[1] AS best, [choices[1].r_ord] AS used FROM c WHERE n = 1
+      UNION ALL SELECT l_doc, r_doc, n, l_ord, best, CASE WHEN best IS NULL THEN used ELSE used || [best.r_ord] END
+      FROM (SELECT c.l_doc, c.r_doc, c.n, c.l_ord, t.used, list_filter(c.choices, lambda x: NOT list_contains(t.used, x.r_ord))[1] AS best FROM t JOIN c ON t.l_doc = c.l_doc AND c.n = t.n + 1))
+    SELECT l_doc, r_doc, l_ord::INT AS l_ord, best.r_ord::INT AS r_ord, best.score AS score FROM t WHERE best IS NOT NULL"""
+)
+def clause_assignment(spark, d):
+    parts = read(spark, d, "part")
+    side = lambda s, *more: parts.select(F.col("p_brand").alias("brand"), (F.col("p_size") % 10).alias("size"), F.col("p_partkey").alias(s), *more)
+    rows = side("l_ord").join(side("r_ord").where("r_ord % 3 > 0"), ["brand", "size"]).withColumn("score", (F.col("l_ord") * 7919 + F.col("r_ord") * 104729) % 97 % 20 / 20.0)
+    return compare.assigned(rows.where("score >= 0.32").select(F.col("brand").alias("l_doc"), F.concat("brand", F.lit(" new")).alias("r_doc"), "l_ord", "r_ord", "score"))
+
+
 @query()
 def clause_match(spark, d):
     pairs, found = _versions_as_documents(spark, d)
