@@ -39,15 +39,15 @@ def shared_line_positions(docs: DataFrame, min_chars: int = 40, min_docs: int =
     return lost.groupBy("doc_id", "print").agg(F.collect_set("pos").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """docs with its columns, text replaced, and a struct column line_dedup(n_lines, n_dropped).
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, counts: str | None = "line_dedup") -> DataFrame:
+    """docs with its columns, text replaced, and a struct column counts(n_lines, n_dropped), in place of one of that name; None: no such column.
 
     A key is the line without ASCII white space at its ends, A-Z lower-cased. Keys of at least min_chars code points in at
     least min_docs distinct doc_ids lose all their lines except in the largest of these ids. A null or empty text is one
     empty line and comes back as an empty text. Rows that share a doc_id count as one document; each keeps its own text. A null
     doc_id is one more document, never the keeper if there is another.
     """
-    names = docs.columns
+    names = [n for n in docs.columns if n != counts]
     drops = shared_line_positions(docs, min_chars, min_docs).select(F.col("doc_id").alias("_op6_drop_id"), F.col("print").alias("_op6_drop_print"), F.col("drop").alias("_op6_drop"))
     rows = docs.withColumn("_op6_print", F.xxhash64(_text("text")))
     joined = rows.join(drops, F.col("doc_id").eqNullSafe(F.col("_op6_drop_id")) & (F.col("_op6_print") == F.col("_op6_drop_print")), "left")
@@ -56,8 +56,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     done = joined.withColumn("_op6_n", F.size(lines)).withColumn(
         "_op6_kept", F.when(F.col("_op6_drop").isNull(), _text("text")).otherwise(F.array_join(_at(lines, kept), "\n"))
     )
-    counts = F.struct(F.col("_op6_n").cast("long").alias("n_lines"), F.coalesce(F.size("_op6_drop"), F.lit(0)).cast("long").alias("n_dropped"))
-    return done.select(*[F.col("_op6_kept").alias("text") if n == "text" else c for n, c in zip(names, quoted(names))], counts.alias("line_dedup"))
+    found = F.struct(F.col("_op6_n").cast("long").alias("n_lines"), F.coalesce(F.size("_op6_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    return done.select(*[F.col("_op6_kept").alias("text") if n == "text" else c for n, c in zip(names, quoted(names))], *([found.alias(counts)] if counts else []))
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

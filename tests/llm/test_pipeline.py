@@ -47,4 +47,38 @@ def test_pipeline(spark, tmp_path):
     pieces = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert set(pieces.doc_id) == set(kept[3])
     assert (pieces.groupby("doc_id").length.sum() == pieces.groupby("doc_id").doc_tokens.max()).all()
-    assert "pipeline" in entry.queries() and len([q for q in entry.queries() if q.startswith("op")]) == 10
+    assert "pipeline" in entry.queries() and len([q for q in entry.queries() if q.startswith("op")]) == 13
+
+
+KIND = "doc_id long, text string, lang string, source string, n_chars long, line_dedup string, keeper int"
+
+
+def staged(spark, folder, rows, labels):
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "more", 1) for i, t in rows], KIND)
+    frame.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    now, kept = frame, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(folder))
+        assert now.columns == frame.columns, name
+        path = f"{folder}/after-{len(kept)}"
+        now.write.parquet(path)
+        now = spark.read.parquet(path)
+        kept.append(sorted((r.doc_id, r.text) for r in now.collect()))
+    return kept, corpus_pipeline.pack(spark, now, str(folder)).collect()
+
+
+def test_stages_with_clashing_columns_repeated_rows_and_a_long_text(spark, tmp_path):
+    docs, labels = corpus()
+    long = "\n".join(prose(random.Random(i), 40) for i in range(1000, 1150))
+    rows = [*docs[:100], docs[8], docs[8], (300, long), (301, "")]
+    kept, pieces = staged(spark, tmp_path, rows, labels)
+    assert [sum(i == 8 for i, _ in k) for k in kept] == [3, 3, 3, 3]  # rows of one document stay or go together
+    assert all(sum(i == 300 for i, _ in k) == 1 for k in kept)
+    whole = [r for r in pieces if r.doc_id == 300]
+    assert sum(r.length for r in whole) == whole[0].doc_tokens > 2048
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    kept, pieces = staged(spark, tmp_path, [], [])
+    assert kept == [[], [], [], []] and pieces == []
