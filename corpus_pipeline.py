@@ -15,34 +15,49 @@ from tessel.session import prepared
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble accepts; it learns from the labels of those in docs that aren't held out."""
+    """Documents that the rule ensemble accepts; it learns from the labels of those in docs that aren't held out.
+
+    A null text counts as an empty one and is scored like any other. Repeated rows are judged each for itself, alike; an empty table, or one
+    without labels, loses nothing here.
+    """
     prepared(spark)
     return rule_ensemble.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the learned decision list."""
+    """Documents that pass the base rules and the learned decision list.
+
+    A null text has no words and fails the base rules, as an empty one does. Repeated rows are judged alike; without labels the base
+    rules decide alone.
+    """
     prepared(spark)
     return decision_list.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that others share; n_chars follows the text."""
+    """All documents, without lines that others share; n_chars follows the text.
+
+    A null text becomes an empty one. Rows that repeat a doc_id count as one document, and each keeps its own text; a shared line stays
+    in the largest doc_id. Other columns pass, whatever their names.
+    """
     prepared(spark)
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, counts=None)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*quoted(docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each class of near-duplicates."""
+    """One document, that of the least id, of each class of near-duplicates.
+
+    Texts without words are never duplicates. Rows that share a doc_id are one document and stay or go together; rows without an id stay.
+    """
     prepared(spark)
     return minhash.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2,048 tokens."""
+    """Pieces of the documents in sequences of 2,048 tokens; a null or empty text is its closing token alone, a repeated row is packed again."""
     prepared(spark)
     return packing.pack_documents(docs, packing.tokenizer_path())
 
