@@ -115,7 +115,7 @@ def expanded(c: Column) -> Column:
 def tokens(c: Column) -> Column:
     """Words of the lower-cased, expanded text in order, then pairs of all its CJK characters, which may straddle gaps."""
     text = expanded(F.lower(c))
-    cjk = F.regexp_replace(text, r"[^一-鿿]", "")
+    cjk = F.regexp_replace(text, r"[^一-鿿]+", "")
     none = F.array().cast("array<string>")
     grams = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substring(x, i, F.lit(2)))
     pairs = F.when(F.length(cjk) > 1, let(cjk, grams)).otherwise(none)
