@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..session import settled
 from ..sources import markup as xml
+from ..sources import store
 from . import compare, segment
 
 
@@ -74,12 +75,27 @@ def report(evaluations: DataFrame) -> DataFrame:
     return rows.select("domain", F.concat(F.lit("## "), "domain", F.lit("\n\n"), F.array_join(F.transform("s", lambda x: x["section"]), "\n")).alias("report"))
 
 
-def write_report(evaluations: DataFrame, path: str) -> None:
-    """The report under path: json with one line for each pair, and markdown, both in the order of domains and of the manifest.
+def report_folder(spark: SparkSession, path: str) -> str | None:
+    """The folder of the report that was last written whole under path, with json and markdown in it; None before there is one."""
+    return store.version(spark, path)[1].get("report")
+
+
+def write_report(evaluations: DataFrame, path: str) -> str:
+    """A report under path: json with one line for each pair, and markdown, both in the order of domains and of the manifest; its folder.
 
     Rows are parted by ranges of that order, so the files, read by name, are one report, and a large domain takes several of them.
-    Whatever a former report left there is replaced.
+    Readers ask report_folder: it changes to the new report once both forms are there, so a write that fails leaves the former one.
     """
+    spark, under = evaluations.sparkSession, path
+    path = store.new_folder(under)
+    _write_report(evaluations, path)
+    while not store.publish(spark, under, store.version(spark, under)[0] + 1, {"report": path}):
+        pass  # another report came first; this one follows it
+    store.expire(spark, under, lambda c: [c["report"]])
+    return path
+
+
+def _write_report(evaluations: DataFrame, path: str) -> None:
     order = ["domain", "l_ord", "r_ord"]
     # read twice, worked out once: the Markdown is made from the lines that were written
     evaluations.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").json(f"{path}/json")

@@ -13,6 +13,8 @@ from ..operators import category, compare, retrieve, segment
 from ..sources import documents as D
 from ..sources import logs
 from ..sources import markup as xml
+from ..sources import store
+from ..session import new_path
 from . import derived as V
 from .derived import read
 
@@ -827,6 +829,34 @@ def corpus_scan(spark, d):
     return D.corpus_files(manifest, files).select("part")
 
 
+@query(
+    """WITH c AS (SELECT 'lang/' || lang AS path, doc_id, source FROM documents WHERE lang <> 'fr')
+    SELECT path, doc_id, source || CASE WHEN path = 'lang/es' THEN ' 2' ELSE ' 1' END AS text FROM c"""
+)
+def corpus_cache(spark, d):
+    """Chunks of a file for each language, read again after one file has changed, one has gone and one is new."""
+    docs = read(spark, d, "documents")
+    files = docs.groupBy(F.concat(F.lit("lang/"), "lang").alias("path")).agg(F.count(F.lit(1)).alias("size")).withColumn("modified", F.lit("1"))
+    rows = docs.select(F.concat(F.lit("lang/"), "lang").alias("path"), "doc_id", "source")
+    chunked = lambda some: rows.join(some, "path").select("path", "doc_id", F.concat_ws(" ", "source", "modified").alias("text"))
+    folder = new_path(spark, "cache")
+    store.cached_chunks(files.where("path <> 'lang/de'"), folder, chunked, "v1")
+    later = files.where("path <> 'lang/fr'").withColumn("modified", F.when(F.col("path") == "lang/es", "2").otherwise("1"))
+    return store.cached_chunks(later, folder, chunked, "v1").select("path", "doc_id", "text")
+
+
+@query(
+    f"""WITH {_ARCHIVE} SELECT content_sha256, doc_id, access_count, first_uploaded_at, last_uploaded_at, filenames, uploaded_by FROM a"""
+)
+def archive_store(spark, d):
+    """The archive after two batches, the second of which came twice."""
+    uploads = read(spark, d, "documents").select(F.col("text").alias("content"), F.concat("lang", F.lit(".txt")).alias("filename"), F.col("source").alias("uploader"), (F.col("n_chars") * 1000 + F.col("doc_id")).alias("at"), "doc_id")
+    folder = new_path(spark, "archive")
+    for number, part in ((0, 0), (1, 1), (1, 1)):
+        store.merge_archive(uploads.where(F.col("doc_id") % 2 == part).drop("doc_id"), folder, number, parts=16)
+    return store.read_archive(spark, folder).withColumns({k: F.array_join(k, ",") for k in ("filenames", "uploaded_by")})
+
+
 @query("SELECT count(*)::BIGINT AS files, sha256(string_agg(h, chr(10) ORDER BY h) || chr(10) || 'v1') AS fingerprint FROM (SELECT sha256(concat_ws('|', s_name, s_suppkey::VARCHAR, s_nationkey::VARCHAR)) AS h FROM supplier)")
 def corpus_fingerprint(spark, d):
     files = read(spark, d, "supplier").select(F.col("s_name").alias("path"), F.col("s_suppkey").cast("string").alias("size"), F.col("s_nationkey").cast("string").alias("modified"))

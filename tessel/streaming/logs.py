@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.logs import USAGE, archived, merged
+from ..sources.logs import USAGE
+from ..sources.store import merge_archive
 
 
 def usage_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -20,15 +21,6 @@ def counts_by_window(rows: DataFrame, width: str = "1 hour", late: str = "1 hour
 
 
 def keep_archive(uploads: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Merges each micro-batch of uploads into a new version of the archive under folder.
-
-    A version's name is its batch's number, so a batch that runs again after a failure writes the same version again.
-    """
-
-    def merge(batch: DataFrame, number: int) -> None:
-        new = archived(batch)
-        if number:
-            new = merged(batch.sparkSession.read.parquet(f"{folder}/v{number - 1}"), new)
-        new.write.mode("overwrite").parquet(f"{folder}/v{number}")
-
-    return uploads.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Merges each micro-batch of uploads into the archive under folder (see sources.store): a batch that runs again after a failure
+    counts once, and only the parts that it touches are written."""
+    return uploads.writeStream.foreachBatch(lambda batch, number: merge_archive(batch, folder, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -235,6 +235,7 @@ def test_search_chunks_of_both_kinds(spark):
 
 def test_category_comparison_and_report(spark, tmp_path):
     import json
+    from pathlib import Path
 
     from tessel.operators import category
 
@@ -251,10 +252,10 @@ def test_category_comparison_and_report(spark, tmp_path):
     assert row.result_count == (3 if matched else 4) == len(row.top_results) and sum(row.change_type_counts.values()) == row.result_count
     assert [r.result_ord for r in row.top_results] == list(range(1, row.result_count + 1))
     category.write_report(out, str(tmp_path / "r"))
-    category.write_report(out, str(tmp_path / "r"))
-    lines = [x for p in sorted((tmp_path / "r" / "markdown").glob("part-*")) for x in p.read_text().splitlines()]
+    now = Path(category.write_report(out, str(tmp_path / "r")))
+    lines = [x for p in sorted((now / "markdown").glob("part-*")) for x in p.read_text().splitlines()]
     assert [x for x in lines if x.startswith("#")] == [X.REPORT_TITLE, "## brakes", "### R1 vs R2"] and f"results: {row.result_count};" in "\n".join(lines)
-    assert [json.loads(x)["left"] for p in (tmp_path / "r" / "json").glob("part-*") for x in p.read_text().splitlines()] == ["R1"]
+    assert [json.loads(x)["left"] for p in (now / "json").glob("part-*") for x in p.read_text().splitlines()] == ["R1"]
     assert category.report(out).collect()[0].report.startswith("## brakes\n\n### R1 vs R2\n\n" + row.headline)
 
 

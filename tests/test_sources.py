@@ -5,7 +5,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from tessel.sources import documents, logs
+from tessel.sources import documents, logs, store
 from tessel.streaming import logs as streams
 
 
@@ -61,7 +61,7 @@ def test_archive_stream(spark, tmp_path):
     spark.createDataFrame([("x", "a.pdf", "u", "1")], UPLOADS).write.json(f"{tmp_path}/up")
     q = streams.keep_archive(spark.readStream.schema(UPLOADS).json(f"{tmp_path}/up"), f"{tmp_path}/archive", f"{tmp_path}/cp")
     q.awaitTermination(120)
-    assert spark.read.parquet(f"{tmp_path}/archive/v0").select("access_count").first()[0] == 1
+    assert store.read_archive(spark, f"{tmp_path}/archive").select("access_count").first()[0] == 1
 
 
 def test_corpus(spark):
