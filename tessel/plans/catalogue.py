@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import text as T
-from ..operators import category, compare, retrieve, segment
+from ..operators import category, compare, ranges, retrieve, segment
 from ..sources import documents as D
 from ..sources import logs
 from ..sources import markup as xml
@@ -170,6 +170,11 @@ def clauses(spark, d):
     return segment.clauses(V.regulation_pages(spark, d))
 
 
+@query(ORACLES["clauses"])
+def clauses_by_ranges(spark, d):
+    return ranges.clauses(V.regulation_pages(spark, d), pages_of_range=2, segments_of_range=8)
+
+
 @query(
     f"""WITH {V.PAGES_SQL}, {_paragraphs_sql("pages_of")}
     SELECT doc_id, clause_ord::INT AS clause_ord, 'C' || lpad(clause_ord::VARCHAR, 4, '0') AS id, heading, text, page::INT AS start_page, page::INT AS end_page FROM (SELECT *, start_page AS page FROM pk)"""
