@@ -203,12 +203,14 @@ def parameter_hits(found: DataFrame, *keys: str) -> DataFrame:
     """
 
     def hits_of(sentence: Column) -> Column:
-        def hit(m: Column) -> Column:
-            unit = T.normalized_unit(F.regexp_extract(m, X.PARAMETER_VALUE, 2))
-            value = F.concat_ws(" ", T.compact(F.regexp_extract(m, X.PARAMETER_VALUE, 1)), unit)
-            return F.struct(T.label_of(sentence, unit).alias("label"), value.alias("value"), unit.alias("unit"), T.excerpt(sentence, 260).alias("context"), F.lower(value).alias("low"), F.lower(F.substring(sentence, 1, 80)).alias("start"))
+        # what several expressions need is worked out once: the lower-cased sentence, then each match's unit, then its value
+        def hit(m: Column, low: Column) -> Column:
+            number = T.compact(F.regexp_extract(m, X.PARAMETER_VALUE, 1))
+            made = lambda unit, value: F.struct(T.label_of(low, unit).alias("label"), value.alias("value"), unit.alias("unit"), T.excerpt(sentence, 260).alias("context"), F.lower(value).alias("low"), F.substring(low, 1, 80).alias("start"))
+            return T.let(T.let(F.regexp_extract(m, X.PARAMETER_VALUE, 2), T.normalized_unit), lambda unit: T.let(F.concat_ws(" ", number, unit), lambda value: made(unit, value)))
 
-        return F.filter(F.transform(F.regexp_extract_all(sentence, F.lit(X.PARAMETER_VALUE), 0), hit), lambda h: h["unit"] != "")
+        found = F.regexp_extract_all(sentence, F.lit(X.PARAMETER_VALUE), 0)
+        return F.filter(T.let(F.lower(sentence), lambda low: F.transform(found, lambda m: hit(m, low))), lambda h: h["unit"] != "")
 
     def first_of(kept: Column, hit: Column) -> Column:
         known = F.exists(kept, lambda k: (k["label"] == hit["label"]) & (k["low"] == hit["low"]) & (k["start"] == hit["start"]))
@@ -222,7 +224,8 @@ def parameter_hits(found: DataFrame, *keys: str) -> DataFrame:
 
 def parameter_matrix(results: DataFrame, *by: str, limit: int = X.MATRIX_ROWS) -> DataFrame:
     """Rows of labels side by side, of classified results(by, result_ord, left, right): where values differ, or one side has
-    none, or the change is of values, tests or scope. The most telling limit rows of each group."""
+    none, or the change is of values, tests or scope. The most telling limit rows of each group. A side's location is there where it
+    has a value, its heading where it has a clause."""
     keys = [*by, "result_ord"]
     sides = []
     for side in ("left", "right"):
@@ -235,10 +238,14 @@ def parameter_matrix(results: DataFrame, *by: str, limit: int = X.MATRIX_ROWS) -
     rows = sides[0].join(sides[1], [*keys, "label"], "full")
     distinct = lambda s: F.array_distinct(F.coalesce(F.col(f"_{s}"), F.array().cast("array<string>")))
     rows = rows.withColumns({"changed": F.array_sort(distinct("left")) != F.array_sort(distinct("right")), **{f"{s}_values": F.array_join(F.slice(distinct(s), 1, 8), "；") for s in ("left", "right")}})
-    info = results.select(*keys, "change_type", "risk", F.round("score", 3).alias("score"))
+    place = lambda s: F.concat(F.lit("P"), F.col(f"{s}.start_page").cast("string"), F.lit("-"), F.col(f"{s}.end_page").cast("string")).alias(f"_{s}_place")
+    headings = [F.coalesce(f"{s}.heading", F.lit("")).alias(f"{s}_heading") for s in ("left", "right")]
+    info = results.select(*keys, "change_type", "risk", F.round("score", 3).alias("score"), place("left"), place("right"), *headings)
+    located = [F.when(F.col(f"_{s}").isNotNull(), F.col(f"_{s}_place")).otherwise("").alias(f"{s}_location") for s in ("left", "right")]
     rows = rows.join(info, keys).where(F.col("changed") | F.col("change_type").isin("阈值/数值变化", "测试方法变化", "适用范围变化"))
     order = [F.col("changed").desc(), risk_rank(F.col("risk")).desc(), T.ranked(F.col("label"), X.LABEL_RANK).desc(), F.col("score").desc(), F.col("result_ord"), F.col("label")]
     n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return rows.withColumn("row_ord", n).where(F.col("row_ord") <= limit).select(
-        *by, "row_ord", F.col("label").alias("parameter"), "change_type", "risk", "score", "changed", "left_values", "right_values", F.coalesce("left_context", F.lit("")).alias("left_context"), F.coalesce("right_context", F.lit("")).alias("right_context")
+        *by, "row_ord", F.col("label").alias("parameter"), "change_type", "risk", "score", "changed", "left_values", "right_values", F.coalesce("left_context", F.lit("")).alias("left_context"), F.coalesce("right_context", F.lit("")).alias("right_context"),
+        *located, "left_heading", "right_heading",
     )

@@ -466,9 +466,6 @@ def parameter_hits(spark, d):
 # Comparison
 
 
-_PAIR_SQL = "SELECT a.p_partkey AS l_part, b.p_partkey AS r_part, {0} AS a, {1} AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey"
-
-
 @query("SELECT a.p_partkey AS l_part, b.p_partkey AS r_part FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND a.p_size = b.p_size")
 def doc_pairs(spark, d):
     entries = read(spark, d, "part").select(F.concat_ws("|", "p_brand", "p_size").alias("domain"), F.col("p_partkey").alias("ord"))
@@ -629,11 +626,13 @@ _QUANTITY = f"(?i)([-+]?\\d+(?:[\\s\\x{{00a0}}]\\d{{3}})*(?:\\.\\d+)?)\\s*({X.PA
     e AS (SELECT *, row_number() OVER (PARTITION BY brand, result_ord, side ORDER BY n) AS hit FROM d WHERE again = 1),
     f AS (SELECT brand, result_ord, label, coalesce(list(value ORDER BY hit) FILTER (WHERE side = 'l'), []) AS lv, coalesce(list(value ORDER BY hit) FILTER (WHERE side = 'r'), []) AS rv,
       coalesce(max(t) FILTER (WHERE side = 'l'), '') AS left_context, coalesce(max(t) FILTER (WHERE side = 'r'), '') AS right_context FROM e WHERE hit <= 8 GROUP BY brand, result_ord, label),
-    j AS (SELECT f.*, list_sort(lv) <> list_sort(rv) AS changed, o.change_type, o.risk, round(o.score, 3) AS score FROM f JOIN o USING (brand, result_ord)),
+    j AS (SELECT f.*, list_sort(lv) <> list_sort(rv) AS changed, o.change_type, o.risk, round(o.score, 3) AS score, o.part FROM f JOIN o USING (brand, result_ord)),
     r AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY changed DESC, {_sql_rank('risk', X.RISK_RANK)} DESC, {_sql_rank('label', X.LABEL_RANK)} DESC, score DESC, result_ord, label) AS row_ord
       FROM j WHERE changed OR change_type IN ('阈值/数值变化', '测试方法变化', '适用范围变化'))
-    SELECT brand, row_ord::INT AS row_ord, label AS parameter, change_type, risk, score, changed, array_to_string(lv[1:8], '；') AS left_values, array_to_string(rv[1:8], '；') AS right_values, left_context, right_context
-    FROM r WHERE row_ord <= 50"""
+    SELECT brand, row_ord::INT AS row_ord, label AS parameter, change_type, risk, score, changed, array_to_string(lv[1:8], '；') AS left_values, array_to_string(rv[1:8], '；') AS right_values, left_context, right_context,
+      CASE WHEN len(lv) > 0 THEN 'P' || p_size || '-' || (p_size + p_partkey % 3) ELSE '' END AS left_location, CASE WHEN len(rv) > 0 THEN 'P' || p_size || '-' || (p_size + p_partkey % 3) ELSE '' END AS right_location,
+      p_name AS left_heading, CASE WHEN p_partkey % 7 = 5 THEN '' ELSE p_name END AS right_heading
+    FROM r JOIN part ON p_partkey = part WHERE row_ord <= 50"""
 )
 def parameter_matrix(spark, d):
     return compare.parameter_matrix(_classes(spark, d), "brand")
@@ -712,6 +711,32 @@ def document_answer(spark, d):
     return retrieve.answer_text(q, found.select("q_id", "rank", F.col("doc_id").cast("string").alias("code"), "heading", (F.col("chunk_ord") + 1).cast("string").alias("page"), "text", "fallback"))
 
 
+_ROUTES = f"""u AS (SELECT conv_id || '-' || turn AS q_id, coalesce(text, '') AS question, conv_id % (SELECT max(doc_id) + 1 FROM documents) AS doc_id FROM conversations WHERE role = 'user'),
+  w AS (SELECT doc_id, source, list_filter(list_transform(range(1, greatest(length(t), 1) + 1, 1040), lambda s: trim(substr(t, s, 1200), {WS})), lambda x: length(x) > 80) AS w FROM (SELECT doc_id, source, coalesce(text, '') AS t FROM documents)),
+  k AS (SELECT doc_id, unnest(w) AS text, source FROM w), kt AS (SELECT doc_id, list_distinct(flatten(list({_TOKENS.format("text || ' ' || doc_id::VARCHAR")}))) AS ct FROM k GROUP BY doc_id),
+  s AS (SELECT q_id, question, regexp_matches(question, '{X.SUMMARY_QUESTION.replace("(?iU)", "(?i)")}') AS summary, regexp_matches(question, '{X.OVERVIEW_QUESTION.replace("(?iU)", "(?i)")}') AND len({_TOKENS.format("question")}) <= 8 AS overview,
+    len(list_intersect(list_distinct({_TOKENS.format("question")}), ct)) > 0 AS hit FROM u JOIN kt USING (doc_id)),
+  routes AS (SELECT q_id, question, CASE WHEN summary THEN 'summary' WHEN hit THEN 'search' WHEN overview THEN 'overview' ELSE 'fallback' END AS route FROM s)"""
+
+
+@query(f"WITH {_ROUTES} SELECT q_id, route, route = 'fallback' AS fallback FROM routes")
+def document_routes(spark, d):
+    return retrieve.routed(*_asked(spark, d)).select("q_id", "route", "fallback").distinct()
+
+
+@query(
+    f"""WITH {_ROUTES} SELECT q_id, CASE WHEN route = 'fallback' OR length(question) >= 120 OR {_isin(f"lower({_COMPACT.format('question')})", X.COMPLEX_WORDS)} THEN 'pro' ELSE 'flash' END AS tier,
+    CASE WHEN route = 'fallback' THEN 'keyword miss; full-document semantic fallback' WHEN length(question) >= 120 THEN 'long question' WHEN {_isin(f"lower({_COMPACT.format('question')})", X.COMPLEX_WORDS)} THEN 'complex regulatory reasoning'
+      ELSE 'direct retrieval answer' END AS reason FROM routes"""
+)
+def document_tier(spark, d):
+    """The tier of a question about one document by the first of its chunks, with the flag of its route."""
+    q, chunks = _asked(spark, d)
+    found = retrieve.routed(q, chunks).where("rank = 1").join(chunks, ["doc_id", "chunk_ord"])
+    asked = q.join(found.select("q_id"), "q_id", "left_semi")
+    return retrieve.tier_of(asked, found.select("q_id", "rank", "text", "fallback")).select("q_id", "tier", "reason")
+
+
 _RE2 = lambda p: p.replace("(?iU)", "(?i)")
 
 
@@ -741,10 +766,12 @@ def question_router(spark, d):
 
 @query(
     f"""WITH {_SEARCH}, x AS (SELECT r.q_id, sum(length(d.text)) AS context FROM r JOIN documents d ON r.doc_id = d.doc_id WHERE rank <= 8 GROUP BY r.q_id)
-    SELECT q.q_id, CASE WHEN length(question) >= 120 OR coalesce(context, 0) >= 9000 OR {_isin(f"lower({_COMPACT.format('question')})", X.COMPLEX_WORDS)} THEN 'pro' ELSE 'flash' END AS tier FROM q LEFT JOIN x ON q.q_id = x.q_id"""
+    SELECT q.q_id, CASE WHEN length(question) >= 120 OR coalesce(context, 0) >= 9000 OR {_isin(f"lower({_COMPACT.format('question')})", X.COMPLEX_WORDS)} THEN 'pro' ELSE 'flash' END AS tier,
+    CASE WHEN length(question) >= 120 THEN 'long question' WHEN coalesce(context, 0) >= 9000 THEN 'large retrieved context' WHEN {_isin(f"lower({_COMPACT.format('question')})", X.COMPLEX_WORDS)} THEN 'complex regulatory reasoning' ELSE 'direct retrieval answer' END AS reason
+    FROM q LEFT JOIN x ON q.q_id = x.q_id"""
 )
 def llm_tier(spark, d):
-    return retrieve.tier_of(V.questions(spark, d), _found(spark, d).withColumn("fallback", F.lit(False))).select("q_id", "tier")
+    return retrieve.tier_of(V.questions(spark, d), _found(spark, d).withColumn("fallback", F.lit(False))).select("q_id", "tier", "reason")
 
 
 @query(
@@ -862,7 +889,11 @@ def archive_store(spark, d):
     return store.read_archive(spark, folder).withColumns({k: F.array_join(k, ",") for k in ("filenames", "uploaded_by")})
 
 
-@query("SELECT count(*)::BIGINT AS files, sha256(string_agg(h, chr(10) ORDER BY h) || chr(10) || 'v1') AS fingerprint FROM (SELECT sha256(concat_ws('|', s_name, s_suppkey::VARCHAR, s_nationkey::VARCHAR)) AS h FROM supplier)")
+@query(
+    "WITH h AS (SELECT sha256(concat_ws('|', s_name, s_suppkey::VARCHAR, s_nationkey::VARCHAR)) AS h FROM supplier) SELECT count(*)::BIGINT AS files, sha256(count(*)::VARCHAR || chr(10) || "
+    + " || chr(10) || ".join(f"sum(('0x' || substr(h, {15 * k + 1}, 15))::BIGINT::HUGEINT)::VARCHAR" for k in range(4))
+    + " || chr(10) || 'v1') AS fingerprint FROM h"
+)
 def corpus_fingerprint(spark, d):
     files = read(spark, d, "supplier").select(F.col("s_name").alias("path"), F.col("s_suppkey").cast("string").alias("size"), F.col("s_nationkey").cast("string").alias("modified"))
     return D.fingerprint(files, "v1")

@@ -72,7 +72,7 @@ SCORE_CASE = "CASE WHEN p_partkey % 7 = 5 THEN 0.0 ELSE (40 + p_partkey % 60) /
 
 def versions(spark: SparkSession, d: str) -> DataFrame:
     """(part, brand, left, right, score) with clauses as structs; a new version that is missing is null."""
-    clause = lambda text: F.struct(F.col("p_partkey").cast("int").alias("clause_ord"), F.col("p_name").alias("heading"), text.alias("text"), F.lit(1).alias("start_page"), F.lit(1).alias("end_page"))
+    clause = lambda text: F.struct(F.col("p_partkey").cast("int").alias("clause_ord"), F.col("p_name").alias("heading"), text.alias("text"), F.col("p_size").alias("start_page"), (F.col("p_size") + F.col("p_partkey") % 3).cast("int").alias("end_page"))
     rows = read(spark, d, "part").withColumns({"_old": F.expr(OLD_CASE), "_new": F.expr(NEW_CASE), "score": F.expr(SCORE_CASE).cast("double")})
     return rows.select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("brand"), clause(F.col("_old")).alias("left"), F.when(F.col("_new").isNotNull(), clause(F.col("_new"))).alias("right"), "score")
 
@@ -86,7 +86,8 @@ SENTENCE_CASE = (
 
 
 def sentences(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "lineitem")
+    # the work is in the texts that are made here, and a table of small rows may come in a single part
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").repartition("l_orderkey", "l_linenumber")
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.element_at(F.array(*[F.lit(u) for u in UNITS]), (F.col("l_suppkey") % 12 + 1).cast("int")).alias("unit"), F.expr(SENTENCE_CASE).alias("text"))
 
 
