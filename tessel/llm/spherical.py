@@ -1,13 +1,15 @@
 """Near-duplicates of embeddings by spherical-cap filters of structured random product codes.
 
-A filter is the cap of all vectors whose cosine with its direction reaches a bound. A product code gives CODES ** PARTS
-directions: the coordinates are dealt out among PARTS, each part has CODES random codewords, and a direction is one codeword
-of each. Which directions a vector reaches is decoded part by part; a choice goes on only if the best codewords of the other
-parts could still lift it over the bound. Several independent codes are used, behind one random rotation: the chance that two
-vectors at an angle share a filter of one code is measured on random pairs, which makes it a function of dimensions and angle
-alone, and bound and number of codes are chosen so that even two balls at the widest angle at which members may link share a
-filter with a chance of RECALL, and two vectors at the angle of a link with one of LINK_RECALL. Balls that share one are compared in
-double precision.
+A filter is the cap of all vectors whose cosine with its direction reaches a bound. A product code gives WORDS ** PARTS
+directions: the coordinates are dealt out among PARTS, each part has random codewords, and a direction is one codeword of each. Which
+directions a vector reaches is decoded part by part; a choice goes on only if the best codewords of the other parts could still lift it
+over the bound. Several independent codes are used, behind one random rotation.
+
+With more vectors caps get smaller, so that a filter holds about HELD of them, and codewords and codes more. The chance that two vectors at an
+angle share a filter of one code is measured on random pairs, which makes it a function of dimensions, bounds and angle alone; the
+number of codes follows, so that two vectors at the angle of a link meet with a chance of LINK_RECALL. A ball of several vectors has wider
+caps: it meets what its members may link with, at the angle of a link and its radius more, with one of RECALL. Vectors that share
+a filter are compared in double precision; a pair that shares several counts in the first of them.
 
 Tight balls come first: vectors whose best product code (a code of each of BLOCKS parts of the space) is the same are held
 against a few anchors of it, and those within RADIUS of one are its ball. All of a ball are linked to each other by the triangle inequality on the sphere, and two balls are often
@@ -22,9 +24,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,14 +35,16 @@ from .common import settled, skew_join, table
 from .components import connected_components
 
 SIMILAR = 0.9
-#: Of filters: the parts of a product code and the codewords of each.
-PARTS, CODES = 2, 16
+#: Of filters: the parts of a product code, and how many codewords each may have. More balls take smaller caps and more codewords.
+PARTS, WORDS = 2, (16, 32, 64, 128, 256, 512, 1024, 2048)
+#: Vectors that a filter should hold, and the narrowest caps that few vectors get.
+HELD, LEAST_CAP = 64, 0.3
 #: Of balls: parts and codewords of the one code by which near vectors meet.
 BLOCKS, BALL_CODES = 4, 24
 #: The least chance that two balls which may hold a link share a filter, that of two vectors at a link's angle, and the most codes.
 RECALL, LINK_RECALL, MOST_CODES = 0.995, 0.9995, 128
 #: Random pairs of vectors that measure the chance of sharing a filter: so many for each of so many codes.
-TRIALS, TRIAL_CODES = 256, 48
+TRIALS, TRIAL_CODES = 256, 24
 #: Degrees around an anchor within which vectors are one ball, and anchors of a filter. Twice RADIUS is far below the link's angle.
 RADIUS, ANCHORS = 6.0, 8
 #: Members of a block in comparisons.
@@ -79,21 +83,22 @@ def reach(cap: float, dims: int) -> float:
 
 
 class ProductCode:
-    """CODES random codewords for each of PARTS sets of coordinates, fixed by the seed."""
+    """words random codewords for each of PARTS sets of coordinates, fixed by the seed."""
 
-    def __init__(self, dims: int, seed: int) -> None:
+    def __init__(self, dims: int, seed: int, words: int) -> None:
         rng = np.random.default_rng([17, seed])
+        self.size = words
         self.parts = np.array_split(rng.permutation(dims), PARTS)
-        self.words = [_unit(rng.normal(size=(CODES, len(p)))).T / math.sqrt(PARTS) for p in self.parts]
+        self.words = [_unit(rng.normal(size=(words, len(p)))).T / math.sqrt(PARTS) for p in self.parts]
 
-    def decode(self, x: np.ndarray, cap: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, direction) for all directions of the code that rows of x reach."""
+    def decode(self, x: np.ndarray, cap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, direction) for all directions of the code that rows of x reach; cap has the bound of each row."""
         scores = [x[:, p] @ w for p, w in zip(self.parts, self.words)]
         best = np.array([s.max(axis=1) for s in scores])
         rows, total, found = np.arange(len(x)), np.zeros(len(x)), np.zeros(len(x), np.int64)
         for k, s in enumerate(scores):
-            at, word = np.nonzero(total[:, None] + s[rows] >= (cap - best[k + 1 :].sum(axis=0)[rows])[:, None])
-            total, found, rows = total[at] + s[rows[at], word], found[at] * CODES + word, rows[at]
+            at, word = np.nonzero(total[:, None] + s[rows] >= (cap - best[k + 1 :].sum(axis=0))[rows][:, None])
+            total, found, rows = total[at] + s[rows[at], word], found[at] * self.size + word, rows[at]
         return rows, found
 
 
@@ -104,51 +109,65 @@ def at_angle(rng: np.random.Generator, x: np.ndarray, angle: float) -> np.ndarra
     return math.cos(angle) * x + math.sin(angle) * _unit(y)
 
 
-def shares_filter(cap: float, angle: float, dims: int) -> float:
-    """The chance that two vectors at the angle share a filter of one code, as TRIALS random pairs for each of TRIAL_CODES show."""
+@lru_cache(maxsize=4096)
+def shares_filter(cap: float, other: float, angle: float, dims: int, words: int) -> float:
+    """The chance that two vectors at the angle, with bounds cap and other, share a filter of one code, as TRIALS random pairs for each of
+    TRIAL_CODES show."""
     rng, hits = np.random.default_rng([23, dims]), 0
     for k in range(TRIAL_CODES):
-        code, x = ProductCode(dims, 10_000 + k), _unit(rng.normal(size=(TRIALS, dims)))
-        mine, theirs = (np.unique(r * CODES**PARTS + f) for r, f in (code.decode(x, cap), code.decode(at_angle(rng, x, angle), cap)))
-        hits += len(np.unique(np.intersect1d(mine, theirs, assume_unique=True) // CODES**PARTS))
+        code, x = ProductCode(dims, 10_000 + k, words), _unit(rng.normal(size=(TRIALS, dims)))
+        sides = ((x, cap), (at_angle(rng, x, angle), other))
+        mine, theirs = (r * words**PARTS + f for r, f in (code.decode(y, np.full(len(y), c)) for y, c in sides))
+        hits += len(np.unique(np.intersect1d(mine, theirs) // words**PARTS))
     return hits / (TRIALS * TRIAL_CODES)
 
 
 @dataclass(frozen=True)
 class Caps:
-    """The filters of count product codes, and the cosine that a filter's vectors reach; no code is one filter of all vectors."""
+    """The filters of count product codes: the cosine with a direction that single vectors must reach, and that balls of several must."""
 
     dims: int
     cap: float
+    wide: float
     count: int
+    words: int
 
     @staticmethod
-    def of(dims: int, balls: int, link: float, widest: float) -> Caps:
-        """The widest caps that hold about BLOCK of the balls, of as many codes as both recalls take."""
-        if balls <= BLOCK:
-            return Caps(dims, -2.0, 0)
-        out, space = None, max(dims, 4)  # zeros added to a vector leave its angles alone
-        caps = np.arange(0, 95) / 100
-        start = next((k for k, cap in enumerate(caps) if balls * reach(cap, space) <= BLOCK), len(caps) - 1)
-        for cap in caps[start::-1]:
-            chances = [(shares_filter(cap, a, space), r) for a, r in ((widest, RECALL), (link, LINK_RECALL))]
-            count = max(math.ceil(math.log(1 - r) / math.log1p(-h)) if 0 < h < 1 else (MOST_CODES + 1 if h == 0 else 2) for h, r in chances)
-            out = Caps(dims, float(cap), min(count, MOST_CODES))
-            if count <= MOST_CODES:
-                break
-        return out
+    def of(dims: int, balls: int, link: float, radius: float) -> Caps:
+        """Caps that hold about HELD of the balls each, of as many codes as both recalls take.
+
+        Single vectors need only meet at the angle of a link. A ball's centre may be farther from what its members link with, by its radius:
+        it reaches the filters of wider caps, so that only balls pay for their radius.
+        """
+        space = max(dims, 4)  # zeros added to a vector leave its angles alone
+        cap = next((c for c in np.arange(round(100 * LEAST_CAP), 95) / 100 if balls * reach(c, space) <= HELD), 0.94)
+
+        def codes(cap: float, words: int) -> int:
+            h = shares_filter(cap, cap, link, space, words)
+            return math.ceil(math.log(1 - LINK_RECALL) / math.log1p(-h)) if 0 < h < 1 else (MOST_CODES + 1 if h == 0 else 2)
+
+        while (words := next((w for w in WORDS if codes(cap, w) <= MOST_CODES), None)) is None and cap > 0.02:
+            cap = round(cap - 0.02, 2)
+        words = words or WORDS[-1]
+        count, wide = min(codes(cap, words), MOST_CODES), cap
+
+        def meets(wide: float) -> bool:
+            pairs = ((cap, wide, link + radius), (wide, wide, link + 2 * radius))
+            return all(1 - (1 - shares_filter(*caps, min(math.pi, a), space, words)) ** count >= RECALL for *caps, a in pairs)
+
+        while wide > -0.9 and not meets(wide):
+            wide = round(wide - 0.02, 2)
+        return Caps(dims, float(cap), float(wide), count, words)
 
     def rotation(self) -> np.ndarray:
         space = max(self.dims, 4)
         q, r = np.linalg.qr(np.random.default_rng(29).normal(size=(space, space)))
         return (q * np.sign(np.diag(r)))[: self.dims]
 
-    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def decode(self, x: np.ndarray, is_ball: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) for all filters that rows of x reach; filters of all codes are numbered through."""
-        if not self.count:
-            return np.arange(len(x)), np.zeros(len(x), np.int64)
-        x = x @ self.rotation()
-        found = [(r, k * CODES**PARTS + f) for k in range(self.count) for r, f in [ProductCode(x.shape[1], k).decode(x, self.cap)]]
+        x, cap = x @ self.rotation(), np.where(is_ball, self.wide, self.cap)
+        found = [(r, k * self.words**PARTS + f) for k in range(self.count) for r, f in [ProductCode(x.shape[1], k, self.words).decode(x, cap)]]
         return np.concatenate([r for r, _ in found]), np.concatenate([f for _, f in found])
 
 
@@ -228,43 +247,41 @@ def _compared_balls(balls: DataFrame, similar: float) -> DataFrame:
     link = math.acos(similar)
     widest = min(math.pi, link + 2 * math.radians(RADIUS))
     dims = balls.select(F.size("v")).first()
-    caps = Caps.of(dims[0] if dims else 1, balls.count(), link, widest)
-    width = max(1, -(-caps.count * CODES**PARTS // 64)) * 8
+    caps = Caps.of(dims[0] if dims else 1, balls.count(), link, math.radians(RADIUS))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
                 x = _matrix(part.column(1))
-                rows, found = caps.decode(x)
-                bits = np.zeros((len(x), width), np.uint8)
-                np.bitwise_or.at(bits, (rows, found >> 3), (1 << (found & 7)).astype(np.uint8))
-                order = np.argsort(rows, kind="stable")
+                rows, found = caps.decode(x, part.column(2).to_numpy() > 0)
+                order = np.lexsort((found, rows))
                 filters = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[order], np.arange(len(x) + 1)), pa.int32()), pa.array(found[order], pa.int32()))
-                columns = [pa.array([y.tobytes() for y in x], pa.binary()), pa.array([y.tobytes() for y in bits], pa.binary()), filters]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), *columns], ["ball", "radius", "size", "x", "bits", "filters"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array([y.tobytes() for y in x], pa.binary()), filters], ["ball", "radius", "size", "x", "filters"])
 
-    coded = settled(balls.select("ball", "v", "radius", "size").mapInArrow(decode, "ball long, radius double, size long, x binary, bits binary, filters array<int>"))
+    coded = settled(balls.select("ball", "v", "radius", "size").mapInArrow(decode, "ball long, radius double, size long, x binary, filters array<int>"))
     lists = coded.select("ball", F.explode("filters").alias("filter"))
     sizes = lists.groupBy("filter").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
     dealt = skew_join(lists, sizes, "filter").withColumn("mine", F.pmod(F.xxhash64("ball"), F.col("n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
     dealt = dealt.select("ball", "filter", "mine", other).select("ball", "filter", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     more = dealt.groupBy("filter", "i", "j").agg(F.count(F.lit(1)).alias("here")).where("here > 1").select("filter", "i", "j")
-    rows = dealt.join(more, ["filter", "i", "j"], "left_semi").join(coded.drop("filters"), "ball")
-
-    def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        here, i, j = map(int, key)
-        pdf = pdf.sort_values("ball", ignore_index=True)
-        side = np.arange(len(pdf))
-        left, right = (side, side) if i == j else (side[pdf.mine == i], side[pdf.mine == j])
-        ids, size, radius = pdf.ball.to_numpy(), pdf["size"].to_numpy(), pdf.radius.to_numpy()
+    rows = dealt.join(more, ["filter", "i", "j"], "left_semi").join(coded, "ball").select("filter", "i", "j", "mine", "ball", "radius", "size", "x", "filters")
+    rows = rows.repartition("filter", "i", "j").sortWithinPartitions("filter", "i", "j", "ball")
+
+    def compare(here: int, i: int, j: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = pa.Table.from_batches(parts).combine_chunks()
+        ids, mine, radius, size = (block.column(c).to_numpy() for c in ("ball", "mine", "radius", "size"))
+        side = np.arange(len(ids))
+        left, right = (side, side) if i == j else (side[mine == i], side[mine == j])
         if not len(left) or not len(right):
-            return pd.DataFrame({"kind": [], "a": [], "b": [], "n": []}, dtype="int64")
-        x = np.frombuffer(b"".join(pdf.x), np.float64).reshape(len(pdf), -1)
+            return
+        x = np.frombuffer(b"".join(block.column("x").to_pylist()), np.float64).reshape(len(ids), -1)
         cosine = np.clip(x[left] @ x[right].T, -1.0, 1.0)
-        near = cosine >= math.cos(widest) - _EPS
+        near = cosine >= (math.cos(widest) - _EPS if radius.any() else similar)
         p, q = np.nonzero(np.triu(near, 1) if i == j else near)
+        if not len(p):
+            return
         cosine, p, q = cosine[p, q], left[p], right[q]
         both = radius[p] + radius[q]
         angle, single = np.arccos(cosine), both == 0
@@ -272,19 +289,42 @@ def _compared_balls(balls: DataFrame, similar: float) -> DataFrame:
         sure = single | (angle + both <= link - _EPS)
         p, q, sure = p[linked], q[linked], sure[linked]
         # a filter below this one that both reach has the pair
-        bits = np.frombuffer(b"".join(pdf.bits), np.uint64).reshape(len(pdf), -1)[:, : here // 64 + 1].copy()
-        bits[:, -1] &= np.uint64((1 << (here % 64)) - 1)
-        fresh = np.concatenate([~(bits[p[at : at + 65_536]] & bits[q[at : at + 65_536]]).any(axis=1) for at in range(0, len(p), 65_536)] or [np.zeros(0, bool)])
+        lists = block.column("filters").combine_chunks()
+        values, of = lists.flatten().to_numpy(), np.repeat(side, lists.value_lengths().to_numpy())
+        lower = values < here
+        names, place = np.unique(values[lower], return_inverse=True)
+        bits = np.zeros((len(ids), len(names) // 8 + 1), np.uint8)
+        np.bitwise_or.at(bits, (of[lower], place >> 3), (1 << (place & 7)).astype(np.uint8))
+        fresh = np.concatenate([~(bits[p[at : at + 16_384]] & bits[q[at : at + 16_384]]).any(axis=1) for at in range(0, len(p), 16_384)] or [np.zeros(0, bool)])
         p, q, sure = p[fresh], q[fresh], sure[fresh]
         opened = np.stack([np.minimum(ids[p[~sure]], ids[q[~sure]]), np.maximum(ids[p[~sure]], ids[q[~sure]])])
         p, q = p[sure], q[sure]
-        whole = np.bincount(p, size[q], len(pdf)) + np.bincount(q, size[p], len(pdf))
-        counted, least = np.flatnonzero(whole), _stars(p, q, len(pdf))
+        whole = np.bincount(p, size[q], len(ids)) + np.bincount(q, size[p], len(ids))
+        counted, least = np.flatnonzero(whole), _stars(p, q, len(ids))
         tied = np.flatnonzero(least != side)
         kinds = [(0, ids[counted], ids[counted], whole[counted].astype(np.int64)), (1, ids[least[tied]], ids[tied], tied), (2, *opened, opened[0])]
-        return pd.concat([pd.DataFrame({"kind": k, "a": a, "b": b, "n": n}) for k, a, b, n in kinds])
+        for kind, a, b, n in kinds:
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(c, pa.int64()) for c in (a, b, n))], ["kind", "a", "b", "n"])
 
-    return rows.groupBy("filter", "i", "j").applyInPandas(compare, "kind int, a long, b long, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts = None, []
+        for b in batches:
+            keys = np.stack([b.column(c).to_numpy() for c in ("filter", "i", "j")], 1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+                if begin == end:
+                    continue
+                now = tuple(keys[begin].tolist())
+                if now != key and parts:
+                    yield from compare(*key, parts)
+                    parts = []
+                key = now
+                parts.append(b.slice(begin, end - begin))
+        if parts:
+            yield from compare(*key, parts)
+
+    return rows.mapInArrow(run, "kind int, a long, b long, n long")
 
 
 def _open_links(open_pairs: DataFrame, members: DataFrame, similar: float) -> DataFrame:

@@ -222,28 +222,50 @@ def test_spherical_filters_meet(dims, balls):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1000, dims))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    caps = spherical.Caps.of(dims, balls, np.arccos(0.9), np.arccos(0.9) + np.radians(2 * spherical.RADIUS))
+    caps = spherical.Caps.of(dims, balls, np.arccos(0.9), np.radians(spherical.RADIUS))
     assert caps.count <= spherical.MOST_CODES
-    pairs = lambda y: np.unique(np.stack(caps.decode(y), axis=1), axis=0)
-    mine = {tuple(r) for r in pairs(x).tolist()}
-    for cosine, least in [(0.79, 0.985), (0.9, 0.997), (0.91, 0.997), (0.92, 0.997), (0.97, 0.997)]:
-        met = {r[0] for r in pairs(at_cosine(rng, x, cosine)).tolist() if tuple(r) in mine}
-        assert len(met) / len(x) >= least, cosine
+    pairs = lambda y, ball: {tuple(r) for r in np.stack(caps.decode(y, np.full(len(y), ball)), axis=1).tolist()}
+    mine = [pairs(x, ball) for ball in (False, True)]
+    link, radius = np.arccos(0.9), np.radians(spherical.RADIUS)
+    cases = [(c, 0, 0, 0.997) for c in (0.9, 0.91, 0.92, 0.97)] + [(np.cos(link + radius), 0, 1, 0.985), (np.cos(link + radius), 1, 0, 0.985), (np.cos(link + 2 * radius), 1, 1, 0.985)]
+    for cosine, a, b, least in cases:
+        met = {r[0] for r in mine[a] & pairs(at_cosine(rng, x, cosine), bool(b))}
+        assert len(met) / len(x) >= least, (cosine, a, b)
+
+
+def test_spherical_filters_leave_most_pairs_alone():
+    """Comparisons over all pairs, with repeats, from the share of the sphere that a filter holds."""
+
+    def work(balls):
+        caps = spherical.Caps.of(64, balls, np.arccos(0.9), np.radians(spherical.RADIUS))
+        return balls**2 * caps.count * caps.words**spherical.PARTS * spherical.reach(caps.cap, 64) ** 2
+
+    sizes = [1_000, 20_000, 40_000, 640_000, 1_280_000, 20_480_000, 40_960_000]
+    found = {n: work(n) for n in sizes}
+    assert found[1_000] < 0.6 * 1_000**2 and found[20_000] < 0.2 * 20_000**2 and found[1_280_000] < 0.01 * 1_280_000**2
+    for n in (20_000, 640_000, 20_480_000):
+        assert found[2 * n] < 3.2 * found[n], n
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    caps = spherical.Caps.of(64, 4000, np.arccos(0.9), np.radians(spherical.RADIUS))
+    _, held = np.unique(caps.decode(x, np.zeros(4000, bool))[1], return_counts=True)
+    assert (held.astype(np.int64) ** 2).sum() < 0.35 * 4000**2
 
 
 def test_product_code_decodes_all():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(200, 21))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    code = spherical.ProductCode(21, 4)
-    directions = np.zeros((spherical.CODES**2, 21))
-    for i in range(spherical.CODES):
-        for j in range(spherical.CODES):
-            directions[i * spherical.CODES + j, code.parts[0]] = code.words[0][:, i]
-            directions[i * spherical.CODES + j, code.parts[1]] = code.words[1][:, j]
+    code = spherical.ProductCode(21, 4, 16)
+    directions = np.zeros((16**2, 21))
+    for i in range(16):
+        for j in range(16):
+            directions[i * 16 + j, code.parts[0]] = code.words[0][:, i]
+            directions[i * 16 + j, code.parts[1]] = code.words[1][:, j]
     assert np.allclose(np.linalg.norm(directions, axis=1), 1)
     for cap in (0.0, 0.3, 0.5):
-        assert set(zip(*map(np.ndarray.tolist, code.decode(x, cap)))) == set(zip(*map(np.ndarray.tolist, np.nonzero(x @ directions.T >= cap))))
+        assert set(zip(*map(np.ndarray.tolist, code.decode(x, np.full(len(x), cap))))) == set(zip(*map(np.ndarray.tolist, np.nonzero(x @ directions.T >= cap))))
 
 
 @pytest.mark.parametrize("block", [512, 16])
