@@ -192,3 +192,28 @@ def truncated_json(c: Column, limit: int = 12000) -> Column:
     """A JSON text, or where it is too long an object with its beginning."""
     cut = F.to_json(F.struct(F.lit(True).alias("truncated"), F.substring(c, 1, limit).alias("preview")))
     return F.when(F.length(c) > limit, cut).otherwise(c)
+
+
+def normalized_email(c: Column) -> Column:
+    return F.lower(stripped(c))
+
+
+def clean_path(c: Column) -> Column:
+    """The path with / between its parts, without empty and . parts, and with .. parts taken back; what leads out of the top stays there."""
+    parts = F.filter(F.split(F.replace(c, F.lit("\\"), F.lit("/")), "/"), lambda p: ~p.isin("", "."))
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(parts, none, lambda s, p: F.when(p != "..", F.concat(s, F.array(p))).when(F.size(s) > 0, F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(s))
+    return F.concat(F.when(F.startswith(F.replace(c, F.lit("\\"), F.lit("/")), F.lit("/")), "/").otherwise(""), F.array_join(kept, "/"))
+
+
+def is_under(path: Column, parent: Column) -> Column:
+    """Whether a path is this folder or lies in it, part by part."""
+    a, b = clean_path(path), F.rtrim(clean_path(parent), F.lit("/"))
+    return (a == b) | F.startswith(a, F.concat(b, F.lit("/")))
+
+
+def shown_path(path: Column, root: Column) -> Column:
+    """The path below root, with / between its parts; one from elsewhere as it is but for that."""
+    a, b = clean_path(path), F.rtrim(clean_path(root), F.lit("/"))
+    below = F.regexp_replace(F.substr(a, F.length(b) + 2), "^$", ".")
+    return F.when(is_under(path, root), below).otherwise(F.replace(path, F.lit("\\"), F.lit("/")))

@@ -79,6 +79,30 @@ def page_merge(spark, d):
     return out.select("doc_id", F.col("page").cast("int").alias("page"), "text_source", F.length("text").cast("long").alias("chars"))
 
 
+_AMENDED = """CASE WHEN page = n % 3 + 1 THEN CASE n % 5 WHEN 0 THEN concat('Amendment to UN Regulation No. 13', chr(10), text) WHEN 1 THEN concat('Addendum 12: UN Regulation No. 13', chr(10), text) WHEN 2 THEN concat('Amendment 3 of Addendum 12', chr(10), text) ELSE text END ELSE text END"""
+
+
+@query(
+    f"""WITH {V.REGULATION_PAGES_SQL}, n AS (SELECT *, length(doc_id) + CAST(regexp_extract(doc_id, '([0-9]+)/', 1) AS INT) AS n FROM regulation_pages), a AS (SELECT doc_id, page, {_AMENDED} AS text FROM n),
+    f AS (SELECT doc_id, bool_or(page <= 2 AND contains(text, 'Amendment') AND (contains(text, 'UN Regulation No. 13') OR contains(text, 'Addendum 12'))) AS amendment FROM a GROUP BY doc_id)
+    SELECT doc_id, amendment, count(*) FILTER (WHERE NOT amendment OR page > 1)::BIGINT AS pages_read FROM a JOIN f USING (doc_id) GROUP BY doc_id, amendment"""
+)
+def amendment_documents(spark, d):
+    pages = V.regulation_pages(spark, d).withColumn("n", F.length("doc_id") + F.regexp_extract("doc_id", "([0-9]+)/", 1).cast("int")).withColumn("text", F.expr(_AMENDED)).drop("n")
+    told = segment.amendment_documents(pages)
+    return pages.join(told, "doc_id").groupBy("doc_id", "amendment").agg(F.count_if(~F.col("amendment") | (F.col("page") > 1)).alias("pages_read"))
+
+
+@query(
+    """SELECT s_suppkey, lower(trim(' ' || s_name || '@Mail.COM ')) AS email, s_suppkey % 3 <> 1 AS under,
+    CASE s_suppkey % 3 WHEN 0 THEN s_nationkey || '/' || s_name WHEN 1 THEN '/data/../etc/' || s_name ELSE '.' END AS shown FROM supplier"""
+)
+def names_and_paths(spark, d):
+    path = F.expr("CASE s_suppkey % 3 WHEN 0 THEN concat('/data/./x/..//', s_nationkey, '\\\\', s_name) WHEN 1 THEN concat('/data/../etc/', s_name) ELSE '/data/' END")
+    root = F.lit("/data/")
+    return read(spark, d, "supplier").select("s_suppkey", T.normalized_email(F.concat(F.lit(" "), "s_name", F.lit("@Mail.COM "))).alias("email"), T.is_under(path, root).alias("under"), T.shown_path(path, root).alias("shown"))
+
+
 @query(
     f"""WITH {V.PAGES_SQL} SELECT doc_id, count(*)::BIGINT AS pages, count(*) FILTER (WHERE text = '')::BIGINT AS empty_pages,
     bool_or(trim(text, {WS}) <> '') AS has_text FROM pages_of GROUP BY doc_id"""

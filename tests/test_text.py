@@ -64,3 +64,11 @@ def test_labels(spark, sentence, unit, want):
 @pytest.mark.parametrize(("question", "want"), [("What temperature?", "temperature"), ("I know", "force"), ("the barrier", "pressure"), ("hello", ""), ("角度", "angle")])
 def test_intents(spark, question, want):
     assert one(spark, question, T.intent_of) == want
+
+
+def test_paths_and_addresses(spark):
+    rows = [("/a/b/c", "/a/b", True, "c"), ("/a/bc", "/a/b", False, "/a/bc"), ("/a/b/../c", "/a/b", False, "/a/b/../c"), ("a\\b\\c", "a", True, "b/c"), ("/a/b/", "/a/./b/", True, "."), ("/../a", "/", True, "a"), (None, "/a", None, None)]
+    df = spark.createDataFrame([r[:2] for r in rows], "path string, root string")
+    got = df.select(T.is_under(F.col("path"), F.col("root")).alias("under"), T.shown_path(F.col("path"), F.col("root")).alias("shown")).collect()
+    assert [tuple(r) for r in got] == [r[2:] for r in rows]
+    assert spark.range(1).select(T.normalized_email(F.lit(" A@B.C\n"))).first()[0] == "a@b.c"
