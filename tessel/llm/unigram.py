@@ -7,6 +7,7 @@ becomes its UTF-8 bytes. Scores are added in double precision, and where they ar
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -22,6 +23,10 @@ SPACE = "▁"
 _UNKNOWN_PENALTY = 10.0
 #: Segments that a worker remembers, and the characters of one at most, so that their bytes are bounded.
 MOST, LONGEST = 300_000, 64
+#: Characters of a text that its stream gets at a time.
+PART = 4096
+#: A text's line feeds, and its words with the space marks in front of them.
+_STRETCH = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 _LEAST = float("-inf")
 
 
@@ -35,6 +40,8 @@ class Vocabulary:
             self.automaton.add_word(piece, (len(piece), score, i))
         self.automaton.make_automaton()
         self.longest = max(len(p) for p, _, _ in pieces)
+        #: All that a piece begins with, from two characters on.
+        self.begun = {p[:k] for p, _, _ in pieces for k in range(2, len(p) + 1)}
         self.single = {p for p, _, _ in pieces if len(p) == 1}
         self.unknown = min(s for _, s, _ in pieces) - _UNKNOWN_PENALTY
         self.bytes_at = bytes_at
@@ -123,15 +130,22 @@ def _count_with_unknown(v: Vocabulary, text: str) -> tuple[int, float]:
 
 
 class StreamingViterbi:
-    """Ids of a text that comes in parts of any size.
+    """Ids of a text that comes in parts of any size, from one stream.
 
     A window of the last `longest` positions is all that later pieces can start from. Whenever the backpointer paths of all of
-    them meet in one boundary, the ids up to it are final: they are given out and forgotten.
+    them meet in one boundary, the ids up to it are final: they are given out and forgotten. Ahead of a space mark, and about a
+    line feed, the next character tells more: positions survive only if what stands between them and it begins a piece. Where none does, all
+    paths have met at the character itself.
+
+    known, if given, remembers stretches between two such points by their text and the character behind them. One that comes
+    again while no path is open is skipped; ids are the same without it.
     """
 
-    def __init__(self, v: Vocabulary) -> None:
+    def __init__(self, v: Vocabulary, known: dict[str, tuple[int, ...]] | None = None) -> None:
         self.v = v
+        self.known = known
         self.tail = ""  # the last longest - 1 characters, which pieces may still reach back into
+        self.last = ""  # the last character of all
         self.at = self.done = 0
         # of the positions from done to at: the best score, the length of the last piece there, and its id or its character's bytes
         self.best: list[float] = [0.0]
@@ -140,9 +154,37 @@ class StreamingViterbi:
         self.widest = 0  # the most positions that were ever waiting
 
     def feed(self, part: str) -> list[int]:
-        v, out = self.v, []
-        for start in range(0, len(part), 4 * v.longest):
-            piece = part[start : start + 4 * v.longest]
+        """The ids that are final once part has come, behind those given out before."""
+        out: list[int] = []
+        if not part:
+            return out
+        stretches = _STRETCH.findall(part)
+        if self.last == "\n" or part[0] == "\n" or (part[0] == SPACE and self.last != SPACE):
+            self._converge(part[0], out)
+        self.last = part[-1]
+        known = self.known
+        for here, then in zip(stretches, stretches[1:]):
+            if self.at == self.done and known is not None:
+                key = here + then[0]
+                ids = known.get(key)
+                if ids is not None:
+                    out += ids
+                    self.at = self.done = self.at + len(here)
+                    continue
+                n = len(out)
+                self._advance(here, out)
+                if self._converge(then[0], out) and len(here) <= LONGEST and len(known) < MOST:
+                    known[key] = tuple(out[n:])
+            else:
+                self._advance(here, out)
+                self._converge(then[0], out)
+        self._advance(stretches[-1], out)  # what follows it isn't known yet
+        return out
+
+    def _advance(self, stretch: str, out: list[int]) -> None:
+        v = self.v
+        for start in range(0, len(stretch), 4 * v.longest):
+            piece = stretch[start : start + 4 * v.longest]
             old, text, n = len(self.tail), self.tail + piece, len(piece)
             base = self.at - self.done - old + 1  # where in the lists the end of text[0] stands
             best, length, ids = self.best, self.length, self.ids
@@ -166,7 +208,14 @@ class StreamingViterbi:
             self.tail = text[-(v.longest - 1) :] if v.longest > 1 else ""
             if self.at - self.done >= v.longest:
                 out += self._commit(self.at - self.done - v.longest + 1)
-        return out
+
+    def _converge(self, then: str, out: list[int]) -> bool:
+        """Whether the character that comes next leaves no open path; the ids up to it are given out in that case."""
+        tail, begun = self.tail, self.v.begun
+        if any(tail[-k:] + then in begun for k in range(1, min(len(tail), self.at - self.done) + 1)):
+            return False
+        out += self.finish()
+        return True
 
     def _commit(self, first: int) -> list[int]:
         """Gives out what the paths of all positions from first on, an index of the lists, have in common."""
@@ -195,16 +244,11 @@ class StreamingViterbi:
         return out
 
     def finish(self) -> list[int]:
-        """The ids of all that was fed; what follows is a text of its own, or starts where no piece reaches back."""
+        """The ids of all that was fed and not given out; what follows is a text of its own, or starts where no piece reaches back."""
         out = self._commit(len(self.best) - 1)
         self.tail, self.best = "", [0.0]
         return out
 
-    def skip(self, n: int) -> None:
-        """Goes on behind n characters that are known from elsewhere, from where no path is open to where none can be."""
-        self.at += n
-        self.done = self.at
-
 
 class Worker:
     """A vocabulary with the results of frequent segments, one for each worker process."""
@@ -214,7 +258,7 @@ class Worker:
     def __init__(self, path: str) -> None:
         self.v = Vocabulary.load(path)
         self.counts: dict[str, tuple[int, float]] = {}
-        self.ids: dict[str, bytes] = {}
+        self.ids: dict[str, tuple[int, ...]] = {}
 
     @classmethod
     def of(cls, path: str) -> Worker:
@@ -234,24 +278,18 @@ class Worker:
             total += r[1]
         return n, total
 
-    def encode(self, text: str) -> array:
-        """Ids, from one stream over the text.
+    def encoded(self, text: str) -> Iterator[list[int]]:
+        """Final ids after each part of the text, all from one stream; the last are those that waited for the end."""
+        s = StreamingViterbi(self.v, self.ids)
+        for at in range(0, len(text), PART):
+            part = text[at : at + PART].replace(" ", SPACE)
+            yield s.feed(part if at else SPACE + part)
+        yield s.finish()
 
-        At a boundary that every segmentation has, all paths of the stream have met: what lies between two of these is skipped if its
-        ids are remembered. The ids are those of the stream without that.
-        """
-        known, out, s = self.ids, [], StreamingViterbi(self.v)
-        for seg in self.v.segments(text):
-            r = known.get(seg)
-            if r is None:
-                r = array("I", s.feed(seg) + s.finish()).tobytes()
-                if len(seg) <= LONGEST and len(known) < MOST:
-                    known[seg] = r
-            else:
-                s.skip(len(seg))
-            out.append(r)
+    def encode(self, text: str) -> array:
         ids = array("I")
-        ids.frombytes(b"".join(out))
+        for final in self.encoded(text):
+            ids.extend(final)
         return ids
 
     def decode(self, ids) -> str:

@@ -371,6 +371,52 @@ def test_remembered_parts_change_nothing():
         assert list(w.encode(t)) == want == list(w.encode(t)), t
 
 
+def test_one_stream_gives_ids_out_before_the_end():
+    """What the query runs gets a text in parts and commits where paths meet, in one word as well as in prose."""
+    w, rng = unigram.Worker.of(unigram.model_path()), random.Random(8)
+    for t in (prose(rng, 4000), "".join(rng.choice("abcdefgh") for _ in range(20_000)), "é" * 9000):
+        given = list(w.encoded(t))
+        assert len(given) == -(-len(t) // unigram.PART) + 1
+        assert all(given[:-1]) and len(given[-1]) < sum(map(len, given)) / 10
+        assert sum(given, []) == list(w.encode(t))
+        s = unigram.StreamingViterbi(w.v, {})
+        for i in range(0, len(t), 500):
+            s.feed(t[i : i + 500].replace(" ", unigram.SPACE))
+        assert s.widest < 100 + 5 * w.v.longest
+
+
+def test_stream_where_pieces_cross_spaces_and_lines():
+    """Points ahead of spaces and about line feeds aren't boundaries by themselves: it depends on the pieces."""
+    rng = random.Random(3)
+    pieces = ["a", "b", "▁", "\n", "a▁b", "▁▁", "b\na", "\n\n", "▁a", "ab▁▁a", "b▁"]
+    v = unigram.Vocabulary([(p, -float(rng.randint(1, 9)), i) for i, p in enumerate(pieces)], 20, 276)
+    score = {p: next(s for _, (_, s, i) in v.automaton.iter(p) if i == k) for k, p in enumerate(pieces)}
+
+    def best(text):
+        top, back = [0.0], [""]
+        for end in range(1, len(text) + 1):
+            found = [(top[end - len(p)] + score[p], len(p), p) for p in pieces if text[:end].endswith(p)]
+            s, _, p = max(found)
+            top.append(s)
+            back.append(p)
+        out, at = [], len(text)
+        while at:
+            out.insert(0, pieces.index(back[at]))
+            at -= len(back[at])
+        return out
+
+    known = {}
+    for _ in range(300):
+        text = "".join(rng.choice("ab▁\n") for _ in range(rng.randint(1, 40)))
+        for memory in (None, known):
+            for size in (1, 3, 50):
+                s, out = unigram.StreamingViterbi(v, memory), []
+                for i in range(0, len(text), size):
+                    out += s.feed(text[i : i + size])
+                assert out + s.finish() == best(text), text
+    assert known
+
+
 def test_unigram_ties():
     v = unigram.Vocabulary([("a", -1.0, 0), ("b", -1.0, 1), ("ab", -2.0, 2), ("ba", -2.0, 3), ("aba", -3.0, 4)], 5, 261)
     s = unigram.StreamingViterbi(v)
