@@ -1,8 +1,8 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-1. Document frequencies: a shingle's weight is its count times 1 + ln(1 / f), f the share of documents that hold it, or
-   FREQUENT where f is less: rarer shingles all weigh the same. So only shingles in at least that share of documents need
-   their exact frequency, and there are at most 1 / FREQUENT times the mean number of shingles of a document, however large the
+1. Document frequencies: a shingle's weight is its count times the root of 1 + ln(1 / f), f the share of documents that hold
+   it, or FREQUENT where f is less. The root, because a copy's edits are the rarest shingles of all: undamped they outweigh what it
+   shares. Only shingles in at least that share of documents need their exact frequency, and there are at most 1 / FREQUENT times the mean number of shingles of a document, however large the
    corpus. A first pass adds occurrences up in hashed buckets; no bucket below the bound can hold such a shingle. A second
    pass counts the shingles of the other buckets exactly.
 2. Signatures: consistent weighted samples of each text, in bands; rows of one text have one representative.
@@ -35,9 +35,10 @@ SHINGLE, SIMILAR = 5, 0.8
 #: Bands of weighted samples: at 0.8, one of them agrees with a chance of 0.9998.
 BANDS, ROWS = 12, 3
 #: The share of documents below which shingles all count as equally rare.
-FREQUENT = 0.05
-#: Buckets of the first pass, and parts in which their counts are added up. Both are fixed, as is the size of the whole vector.
-BUCKET_BITS, SLICES = 17, 64
+FREQUENT = 0.005
+#: Buckets of the first pass, and parts in which their counts are added up. Both are fixed, as is the size of the whole vector. A bucket
+#: has FREQUENT of the documents by chance alone only where they have 2,600 shingles each; more of them are counted exactly then.
+BUCKET_BITS, SLICES = 19, 64
 #: Texts of a block in comparisons, and bytes of their shingles; a longer text is a block of its own.
 BLOCK, BLOCK_BYTES = 512, 8 << 20
 #: Comparisons up to which all of a bucket's members outside its largest component are pivots at once.
@@ -52,11 +53,17 @@ def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, docs = np.zeros(1 << BUCKET_BITS, np.int64), 0
+    total, docs, waiting, n = np.zeros(1 << BUCKET_BITS, np.int64), 0, [], 0
     for b in batches:
         docs += b.num_rows
         for _, _, h, _ in row_shingles(b.column(0), SHINGLE):
-            total += np.bincount((h >> _BUCKET_SHIFT).view(np.int64), minlength=len(total))
+            waiting.append((h >> _BUCKET_SHIFT).view(np.int64))
+            n += len(h)
+            if n >= len(total):
+                total += np.bincount(np.concatenate(waiting), minlength=len(total))
+                waiting, n = [], 0
+    if waiting:
+        total += np.bincount(np.concatenate(waiting), minlength=len(total))
     parts = [p.tobytes() for p in np.split(total, SLICES)]
     yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([docs] * SLICES, pa.int64()), pa.array(parts, pa.binary())], ["slice", "docs", "counts"])
 
@@ -72,7 +79,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def inverse_frequency(share: np.ndarray) -> np.ndarray:
-    return (1.0 - np.log(np.maximum(share, FREQUENT))).astype(np.float32)
+    return np.sqrt(1.0 - np.log(np.maximum(share, FREQUENT))).astype(np.float32)
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -352,7 +359,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> NearDuplicates
 
     # rows of one doc_id with different texts tie these together
     several = members.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("doc_id")
-    tied = members.join(several, "doc_id", "left_semi").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")).where("u <> v")
+    tied = skew_join(members, several, "doc_id", "left_semi").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")).where("u <> v")
     first = buckets.where("rep <> pivot").groupBy(F.col("pivot").alias("u"), F.col("rep").alias("v")).agg(F.max("size").alias("size"))
     links = settled(_links_of_pivots(first, compared, sampler, similar).unionByName(tied).distinct())
     # what a round leaves: members of buckets that weren't pivots yet

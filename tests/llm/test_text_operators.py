@@ -142,7 +142,7 @@ class Weighted:
         self.n = len(texts)
 
     def weights(self, text):
-        return {s: k * (1 - math.log(max(self.df[s] / self.n, minhash.FREQUENT))) for s, k in word_shingles(text).items()}
+        return {s: k * math.sqrt(1 - math.log(max(self.df[s] / self.n, minhash.FREQUENT))) for s, k in word_shingles(text).items()}
 
     def __call__(self, a, b):
         a, b = self.weights(a), self.weights(b)
