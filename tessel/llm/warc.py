@@ -23,6 +23,8 @@ CRLF = "\r\n"
 VERSION = "WARC/1.1"
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 100
+#: Bytes that the head of an HTTP chunk may have, and chunks of a body that are closed into one list at a time.
+HEAD, GROUP = 4096, 128
 _SEPARATOR = f"{VERSION}{CRLF}"
 _HTTP = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}"
 
@@ -119,24 +121,40 @@ def _field(head: Column, name: str) -> Column:
 
 
 def _dechunked(body: Column) -> Column:
-    """What a body in HTTP chunked coding holds, by the sizes that its chunks give; null if they don't fit."""
+    """What a body in HTTP chunked coding holds, by the sizes that its chunks give; null if they don't fit.
+
+    A fold goes from one chunk's head to the next by a running sum of sizes. It holds the body once, reads HEAD bytes at each head and, of
+    chunks, only where they lie; GROUP of them at a time are closed into one list, so that a step copies no more than about the
+    root of their number. A head longer than HEAD bytes doesn't fit.
+    """
     # no body has more chunks than lines that begin with a hexadecimal digit
-    steps = F.sequence(F.lit(1), F.greatest(F.regexp_count(body, F.lit(r"(?m)^[0-9A-Fa-f]")), F.lit(1)))
-    start = F.struct(body.cast("binary").alias("rest"), F.array().cast("array<binary>").alias("parts"), F.lit(False).alias("ended"))
+    most = F.greatest(F.regexp_count(body, F.lit(r"(?m)^[0-9A-Fa-f]")), F.lit(1))
+    nothing = F.array().cast("array<binary>")
+    start = F.struct(body.cast("binary").alias("body"), F.lit(1).alias("at"), nothing.alias("parts"), F.lit(False).alias("ended"))
 
     def step(now: Column, _: Column) -> Column:
-        head = F.regexp_extract(now["rest"].cast("string"), r"^[0-9A-Fa-f]{1,7}[^\r\n]*\r\n", 0)
+        head = F.regexp_extract(F.substring(now["body"], now["at"], F.lit(HEAD)).cast("string"), r"^[0-9A-Fa-f]{1,7}[^\r\n]*\r\n", 0)
         size = F.coalesce(F.conv(F.regexp_extract(head, "^[0-9A-Fa-f]+", 0), 16, 10).cast("int"), F.lit(0))
-        at = F.octet_length(head)
+        first = now["at"] + F.octet_length(head)
+        whole = (first + size + 1 <= F.octet_length(now["body"]))
         more = F.struct(
-            F.substring(now["rest"], at + size + 3, F.octet_length(now["rest"])).alias("rest"),
-            F.concat(now["parts"], F.array(F.substring(now["rest"], at + 1, size))).alias("parts"), (size == 0).alias("ended"),
+            now["body"].alias("body"), (first + size + 2).alias("at"),
+            F.concat(now["parts"], F.array(F.substring(now["body"], first, size))).alias("parts"), (size == 0).alias("ended"),
+        )
+        return F.when(now["ended"] | (head == "") | ((size > 0) & ~whole), now).otherwise(more)
+
+    joined = lambda parts: F.unhex(F.array_join(F.transform(parts, F.hex), ""))
+
+    def group(now: Column, _: Column) -> Column:
+        opened = F.struct(now["body"].alias("body"), now["at"].alias("at"), nothing.alias("parts"), now["ended"].alias("ended"))
+        inner = F.aggregate(F.sequence(F.lit(1), F.lit(GROUP)), opened, step)
+        return F.aggregate(
+            F.array(inner), now,
+            lambda old, new: F.struct(new["body"].alias("body"), new["at"].alias("at"), F.concat(old["parts"], F.array(joined(new["parts"]))).alias("parts"), new["ended"].alias("ended")),
         )
-        return F.when(now["ended"] | (head == ""), now).otherwise(more)
 
-    done = F.aggregate(steps, start, step)
-    joined = F.aggregate(done["parts"], F.lit("").cast("binary"), lambda a, b: F.concat(a, b)).cast("string")
-    return F.when(done["ended"], joined)
+    done = F.aggregate(F.sequence(F.lit(1), F.ceil(most / GROUP).cast("int")), start, lambda now, i: F.when(now["ended"], now).otherwise(group(now, i)))
+    return F.aggregate(F.array(done), F.lit(None).cast("string"), lambda _, d: F.when(d["ended"] & d["body"].isNotNull(), joined(d["parts"]).cast("string")))
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

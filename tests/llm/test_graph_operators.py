@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessel.llm import spherical, url_equivalence, warc
 from tessel.llm.components import connected_components
@@ -88,6 +89,24 @@ def test_foreign_records(spark, tmp_path):
     assert sorted(got) == [(False, text), (True, text)]
 
 
+def test_chunked_bodies(spark):
+    """Chunks of any number, cut anywhere in a character, with extensions; bodies that don't fit give null."""
+
+    def chunked(parts):
+        return b"".join(b"%x\r\n%s\r\n" % (len(p), p) for p in parts) + b"0\r\n\r\n"
+
+    rng = random.Random(4)
+    text = "".join(rng.choice("ab é日😀\r\n0f") for _ in range(40_000)).encode()
+    cuts = sorted(rng.sample(range(1, len(text)), 5000))
+    many = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+    cases = [(chunked(many), text.decode()), (chunked([]), ""), (b"3;x=y\r\nabc\r\n0\r\n\r\n", "abc"), (chunked(many)[:-7], None), (b"7\r\nabc", None), (b"no size", None), (b"", None), (None, None)]
+    cases += [(chunked([b"x"] * n), "x" * n) for n in (127, 128, 129, 256)]
+    frame = spark.createDataFrame([(i, bytearray(c) if c is not None else None) for i, (c, _) in enumerate(cases)], "i int, body binary")
+    # as the reader does, with the body as a string of bytes that may be cut inside a character
+    got = {r.i: r.t for r in frame.select("i", warc._dechunked(F.col("body").cast("string")).alias("t")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
 def test_warc_of_nothing(spark):
     path = new_path(spark, "warc")
     warc.write_warc(spark.createDataFrame([], PAGES), path)
