@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm import decision_list, line_dedup, minhash, packing, rule_ensemble
-from tessel.llm.common import new_path, quoted, table
+from tessel.llm.common import forget, quoted, settled, table
 from tessel.session import prepared
 
 
@@ -75,12 +75,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            path = new_path(spark, f"stage{i}")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    """All stages over documents; each result is written to the shared folder and read again by the next.
+
+    A stage's table goes once the next one's is written; the last stage reads its input as the result is read, so that one stays.
+    """
+    docs, read = table(spark, sf_dir, "documents"), []
+    for _, stage in STAGES[:-1]:
+        docs = settled(stage(spark, docs, sf_dir))
+        forget(*read)
+        read = [docs]
+    return STAGES[-1][1](spark, docs, sf_dir)
