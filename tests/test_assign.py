@@ -74,3 +74,25 @@ def test_few_ratios_are_worked_out():
         score, j = rights.best(i, x, 0.32)
         assert (score, -j) == max((SequenceMatcher(None, y, x, autojunk=False).ratio(), -n) for n, y in enumerate(rights.keys))
     assert rights.verified < 40 * 40 / 3
+
+
+@pytest.mark.parametrize("block", [5, 65536])
+def test_scores_of_cells_end_where_turns_end(spark, block, monkeypatch):
+    monkeypatch.setattr(assign, "SCORED", block)
+    score = lambda l, r: (l * 7919 + r * 104729) % 97 % 5 / 5.0  # noqa: E731, E741
+    lefts, rights = [(p, "r", i) for p in "ab" for i in range(3, 20)], [(p, "r", j) for p in "ab" for j in range(14)]
+    got = assign.assigned_by(spark.createDataFrame(lefts, "l_doc string, r_doc string, l_ord int"), spark.createDataFrame(rights, "l_doc string, r_doc string, r_ord int"), score, 0.32).collect()
+    want = turns({(i, j): score(i, j) for i in range(3, 20) for j in range(14)}, range(3, 20), range(14), 0.32)
+    for p in "ab":
+        assert {(r.l_ord, r.r_ord, r.score) for r in got if r.l_doc == p} == want
+
+
+def test_equal_texts_are_compared_once():
+    """Copies, each of which was compared with all others before."""
+    rights = assign.Rights(list(range(600)), [f"the part shall be {i % 6} mm wide" for i in range(600)], [None] * 600)
+    taken = []
+    for i in range(600):
+        score, j = rights.best(i, f"the part shall be {i % 5} mm wide", 0.32)
+        rights.held[j] = i
+        taken.append(j)
+    assert sorted(taken) == list(range(600)) and taken[:5] == [0, 1, 2, 3, 4] and rights.verified <= 30
