@@ -72,3 +72,26 @@ def test_paths_and_addresses(spark):
     got = df.select(T.is_under(F.col("path"), F.col("root")).alias("under"), T.shown_path(F.col("path"), F.col("root")).alias("shown")).collect()
     assert [tuple(r) for r in got] == [r[2:] for r in rows]
     assert spark.range(1).select(T.normalized_email(F.lit(" A@B.C\n"))).first()[0] == "a@b.c"
+
+
+def test_patterns_of_ascii_find_the_same(spark):
+    """Texts of ASCII take shorter patterns; with a character of another script behind them they take the patterns as they are."""
+    import random
+
+    rng = random.Random(8)
+    words = ["12", "1,234.5", "3000000", "-4", "+5", " ", "\n", "  ", "mm", "km/h", "K", "degrees C", "degree", "minus", "at least", "shall be", "%", "dB(A)", "dB", "C", "GB/T", "ISO 9001", "UN R13", ". The", "\x0b", "\x1c", ".....", "x_1", "ohm/V", "s", "?"]
+    texts = ["".join(rng.choices(words, k=rng.randrange(1, 14))) for _ in range(1500)]
+    t, wide = F.col("t"), F.concat("t", F.lit(" 。"))
+    from tessel.operators import compare
+
+    fs = [T.answer_numbers, T.requirement_numbers, T.references, T.sentences, T.compact, T.stripped]
+    ascii_, other = ([f(c).cast("string").alias(f"f{i}") for i, f in enumerate(fs)] for c in (t, wide))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    assert T.of_ascii(T.X.ANSWER_NUMBERS[1]) != T.X.ANSWER_NUMBERS[1]
+    for a, b in zip(df.select("i", *ascii_[:3]).orderBy("i").collect(), df.select("i", *other[:3]).orderBy("i").collect()):
+        assert a == b, texts[a.i]
+    plain = [r.asDict() for r in df.select("i", T.compact(t).alias("c"), T.stripped(t).alias("s"), F.trim(F.regexp_replace("t", r"(?U)\s+", " ")).alias("c0"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("s0")).collect()]
+    assert all(r["c"] == r["c0"] and r["s"] == r["s0"] for r in plain)
+    hits = lambda c: {(r.i, r.hit_ord, r.label, r.value, r.unit) for r in compare.parameter_hits(df.select("i", c.alias("text")), "i").collect()}
+    long = F.concat(F.lit("measured "), F.regexp_replace("t", r"[.?\n]", ","))
+    assert hits(F.concat(long, F.lit(" and so on"))) == hits(F.concat(long, F.lit(" and so 。n")))
