@@ -44,3 +44,16 @@ def test_matrix_of_one_sided_and_empty_clauses(spark):
 def test_versions_are_dealt_out(spark, sf):
     # parts are few bytes: a table of many fits one split, and all texts were made and judged in it
     assert "RepartitionByExpression" in plan(catalogue._classes(spark, sf))
+
+
+def test_filters_work_out_a_result_once(spark, sf):
+    df = queries()["result_filters"](spark, sf)
+    assert scans(df) == 1 and "Window" not in plan(df)
+
+
+def test_views_are_what_filters_keep(spark, sf):
+    results = catalogue._classes(spark, sf).cache()
+    found = {(r["view"], r["part"]) for r in compare.in_views(results).select("view", "part").collect()}
+    assert found == {(v, r["part"]) for v in ("actionable", "high", "parameter", "all") for r in compare.filtered(results, v).select("part").collect()}
+    empty = spark.createDataFrame([(1, None, None, None)], "part int, change_type string, risk string, summary string")
+    assert [r["view"] for r in compare.in_views(empty).collect()] == ["all"]
