@@ -1,9 +1,13 @@
 """Plans whose work and memory must not grow faster than their input."""
 
+import random
 import re
+from difflib import SequenceMatcher
+
+import pytest
 
 from __spark_entry__ import queries
-from tessel.operators import compare
+from tessel.operators import assign, compare
 from tessel.plans import catalogue
 
 
@@ -57,3 +61,31 @@ def test_views_are_what_filters_keep(spark, sf):
     assert found == {(v, r["part"]) for v in ("actionable", "high", "parameter", "all") for r in compare.filtered(results, v).select("part").collect()}
     empty = spark.createDataFrame([(1, None, None, None)], "part int, change_type string, risk string, summary string")
     assert [r["view"] for r in compare.in_views(empty).collect()] == ["all"]
+
+
+@pytest.mark.parametrize("table", [assign.TABLE, 24])
+def test_matching_characters_are_the_matchers(table, monkeypatch):
+    monkeypatch.setattr(assign, "TABLE", table)
+    of = random.Random(5)
+    for letters in ("ab", "abc", "abcdefgh ", "aé漢𝔘 x"):
+        for _ in range(300):
+            a, b = ("".join(of.choice(letters) for _ in range(of.choice([0, 1, 2, 7, 8, 9, 15, 16, 17, of.randint(0, 60)]))) for _ in range(2))
+            a = of.choice([a, b, b[: len(b) // 2] + a[:3] + b[len(b) // 2 :]])
+            blocks = SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
+            assert assign.matching_characters(assign.places(b), b, a) == sum(x.size for x in blocks)
+
+
+def test_usual_texts_are_matched_by_runs(monkeypatch):
+    # the matcher's loops over characters were nine tenths of the work of a category
+    monkeypatch.setattr(assign, "SequenceMatcher", None)
+    rights = assign.Rights([1, 2, 3], ["the width of the plate", "", "the force on the plate"], [None] * 3)
+    score, i = rights.best(1, "the force of a plate", 0.32)
+    assert i == 2 and score == SequenceMatcher(None, "the force on the plate", "the force of a plate", autojunk=False).ratio()
+    assert rights.best(2, "", 0.32) == (1.0, 1)
+    got = compare.ratios(["the force of a plate", ""], ["the force on the plate", ""], 0.32).tolist()
+    assert got == [[score, -1.0], [-1.0, 1.0]]
+
+
+def test_pairs_of_a_category_are_found_once(spark, sf):
+    # each step above held the manifest twice, and planned and read it again
+    assert "p_partkey" not in plan(queries()["category_batch"](spark, sf))
