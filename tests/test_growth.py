@@ -5,9 +5,12 @@ import re
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from tessel.operators import assign, compare
+from tessel.functions import fixed as X
+from tessel.functions import text as T
+from tessel.operators import assign, compare, segment
 from tessel.plans import catalogue
 
 
@@ -89,3 +92,26 @@ def test_usual_texts_are_matched_by_runs(monkeypatch):
 def test_pairs_of_a_category_are_found_once(spark, sf):
     # each step above held the manifest twice, and planned and read it again
     assert "p_partkey" not in plan(queries()["category_batch"](spark, sf))
+
+
+def test_paragraphs_are_worked_out_once_and_headed_behind_the_shuffle(spark):
+    # the text of a paragraph was made for its length, for itself and, split anew, for its heading, which was shuffled with it
+    df = segment.paragraphs(spark.createDataFrame([("a", 1, "x")], "doc_id string, page int, text string"))
+    above, below = plan(df).split("Window", 1)
+    assert "substring_index" in above and "substring" not in below and below.count("Filter") == 1
+    assert plan(df).count("[.…]{5,}") == 1
+
+
+def test_paragraphs_of_odd_texts(spark):
+    texts = [
+        "One sentence that is long enough. Another one that is long enough too!\n\nA third paragraph\r\nwith two lines here",
+        "Title of it ........ 12\n\n\nTitle of it ........ 12\n\nreal line of enough length\nTitle of it ........ 13\nlast line",
+        "  wide blanks around a sentence. Next sentence is here\u0085and its second line third", "第一条 这是一个足够长的句子，用来测试分段的规则。 第二条 这也是一个足够长的句子，用来测试。", "", None, "short", "....................\n\na.b.c.d.e.f is a text of many dots", "x" * 19 + "\x1c", "\x1dy line of some length\n", "a\n" * 30,
+        "\n \nTitle ........ 9\n\t\nbody of the page that follows",
+    ]
+    pages = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "doc_id int, page int, text string")
+    chunks = pages.select("doc_id", F.posexplode(F.split("text", X.PARAGRAPH_BREAK)).alias("part", "chunk"))
+    plain = chunks.select("doc_id", "part", F.array_join(F.filter(T.lines(T.stripped(F.col("chunk"))), lambda x: ~T.is_toc(x)), "\n").alias("text")).where(F.length("text") >= 20)
+    want = [(r["doc_id"], r["text"], r["h"]) for r in plain.withColumn("h", F.substring(F.element_at(T.lines(F.col("text")), 1), 1, 90)).orderBy("doc_id", "part").collect()]
+    got = [(r["doc_id"], r["text"], r["heading"]) for r in segment.paragraphs(pages).orderBy("doc_id", "clause_ord").collect()]
+    assert got == want and len(got) > 10
