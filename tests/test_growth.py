@@ -89,9 +89,10 @@ def test_usual_texts_are_matched_by_runs(monkeypatch):
     assert got == [[score, -1.0], [-1.0, 1.0]]
 
 
-def test_pairs_of_a_category_are_found_once(spark, sf):
+@pytest.mark.parametrize("name", ["category_batch", "category_markdown"])
+def test_pairs_of_a_category_are_found_once(name, spark, sf):
     # each step above held the manifest twice, and planned and read it again
-    assert "p_partkey" not in plan(queries()["category_batch"](spark, sf))
+    assert "p_partkey" not in plan(queries()[name](spark, sf))
 
 
 def test_paragraphs_are_worked_out_once_and_headed_behind_the_shuffle(spark):
