@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from tessel.functions import fixed as X
 from tessel.functions import text as T
-from tessel.operators import assign, compare, segment
-from tessel.plans import catalogue
+from tessel.operators import assign, category, compare, segment
+from tessel.plans import catalogue, derived
+from tessel.session import settled
 
 
 def plan(df) -> str:
@@ -116,3 +117,48 @@ def test_paragraphs_of_odd_texts(spark):
     want = [(r["doc_id"], r["text"], r["h"]) for r in plain.withColumn("h", F.substring(F.element_at(T.lines(F.col("text")), 1), 1, 90)).orderBy("doc_id", "part").collect()]
     got = [(r["doc_id"], r["text"], r["heading"]) for r in segment.paragraphs(pages).orderBy("doc_id", "clause_ord").collect()]
     assert got == want and len(got) > 10
+
+
+@pytest.mark.parametrize("small", [0, 30, assign.SMALL])
+@pytest.mark.parametrize("table", [assign.TABLE, 24])
+def test_parts_of_all_sizes_are_matched_alike(small, table, monkeypatch):
+    monkeypatch.setattr(assign, "SMALL", small)
+    monkeypatch.setattr(assign, "TABLE", table)
+    of = random.Random(7)
+    for letters in ("ab", "abcdefgh ", "aé漢𝔘 x"):
+        for _ in range(150):
+            a, b = ("".join(of.choice(letters) for _ in range(of.choice([0, 1, 2, 8, 16, of.randint(0, 60)]))) for _ in range(2))
+            a = of.choice([a, b, b[: len(b) // 2] + a[:3] + b[len(b) // 2 :]])
+            blocks = SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
+            assert assign.matching_characters(None, b, a) == sum(x.size for x in blocks)
+
+
+def test_exact_ratios_only_where_no_bound_decides():
+    # a text with the same characters came first, and its ratio was worked out before the bound of a closer text was known
+    left = "the width of the plate"
+    rights = assign.Rights([1, 2], [left[::-1], left + " x"], [None] * 2)
+    score, i = rights.best(1, left, 0.32)
+    assert i == 1 and score == SequenceMatcher(None, left + " x", left, autojunk=False).ratio() and rights.verified == 1
+
+
+def test_one_side_alone_is_judged_without_its_text(spark):
+    # most results of a category have one side, and their texts were searched for numbers and references all the same
+    one = ("h", "The width shall be at least 5 mm as in GB 12.")
+    rows = [(1, one, None, 0.0), (2, None, one, 0.0), (3, None, None, 0.0), (4, one, one, 1.0), (5, one, ("h", one[1].replace("5", "6")), 0.9), (6, one, ("h", None), 0.9)]
+    side = "struct<heading:string,text:string>"
+    df = compare.classified(spark.createDataFrame(rows, f"n int, left {side}, right {side}, score double"))
+    assert re.search(r"isnotnull\(left#\d+\) AND isnotnull\(right#\d+\)", plan(df))
+    got = {r["n"]: (r["change_type"], r["risk"], len(r["evidence"])) for r in df.collect()}
+    assert got[1] == ("删除要求", "中", 1) and got[2] == ("新增要求", "中", 1) and got[3][2] == 0
+    assert got[4] == ("无实质变化", "低", 2) and got[5] == ("阈值/数值变化", "高", 2) and got[6][2] == 1
+
+
+def test_documents_of_a_category_are_folded_once(spark, sf, monkeypatch):
+    # segments were folded for the documents that have enough clauses, and again to find those that haven't
+    seen = []
+    monkeypatch.setattr(category, "settled", lambda df: seen.append(df) or settled(df))
+    entries = category.comparable(derived.regulation_entries(spark, sf))
+    found = category.category_clauses(entries, derived.regulation_pages(spark, sf), derived.regulation_markup(spark, sf))
+    assert ["found" in df.columns for df in seen] == [True, False]
+    plain = segment.useful_clauses(segment.clauses(derived.regulation_pages(spark, sf).join(entries.where("lower(path) like '%.pdf'").select("doc_id"), "doc_id", "left_semi")))
+    assert sorted(found.where("id like 'C%'").select(plain.columns).collect()) == sorted(plain.collect())
