@@ -61,3 +61,32 @@ def test_scored_pairs_are_those_of_all_pairs(spark, texts, clauses, monkeypatch)
                     score = SequenceMatcher(None, key(y), key(x), autojunk=False).ratio()
                     want += [(l, r, i, j, score)] if score >= 0.32 else []
     assert sorted(tuple(x) for x in got) == sorted(want)
+
+
+def test_pairs_of_texts_are_worked_out_once(spark, monkeypatch):
+    """Documents of many clauses were cut into cells of 64, and each worked out the ratios of the same texts again."""
+    seen, of = [], cells.in_cells
+    monkeypatch.setattr(cells, "in_cells", lambda left, right, cell, *more: seen.append(left.select(*cell).distinct().count()) or of(left, right, cell, *more))
+    df = spark.range(1000).selectExpr("if(id < 500, 'a', 'b') AS doc_id", "CAST(id AS INT) AS clause_ord", "'H' AS heading", "concat('the brake shall hold ', id % 7, ' mm') AS text")
+    got = compare.scored_pairs(spark.createDataFrame([("a", "b")], "l_doc string, r_doc string"), df)
+    assert got.count() == 500 * 500 and seen == [1]
+
+
+@pytest.mark.parametrize("known, chars", [(1 << 21, 1 << 24), (8, 1 << 24), (1 << 10, 30)])
+def test_remembered_ratios_are_those_of_the_matcher(known, chars, monkeypatch):
+    monkeypatch.setattr(compare, "KNOWN", known)
+    monkeypatch.setattr(compare, "KNOWN_CHARS", chars)
+    monkeypatch.setattr(compare, "_matching", lambda m=compare.Matching(): m)
+    rng = random.Random(9)
+    texts = ["", *("".join(rng.choice("abc é漢") for _ in range(rng.randint(1, 20))) for _ in range(30))]
+    for _ in range(4):
+        lefts, rights = rng.sample(texts, 12), rng.sample(texts, 20)
+        got = compare.ratios(lefts, rights, 0.32)
+        for x, row in zip(lefts, got.tolist()):
+            for y, score in zip(rights, row):
+                want = SequenceMatcher(None, y, x, autojunk=False).ratio()
+                assert score == want if want >= 0.32 else score < 0.32
+    worked_out = compare._matching().worked_out
+    compare.ratios(lefts, rights, 0.32)
+    if known > 1000 and chars > 1000:
+        assert compare._matching().worked_out == worked_out > 0
